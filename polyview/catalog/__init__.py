@@ -1,4 +1,4 @@
 """All runnable queries."""
 
-from polyview.catalog import boxes, labels  # noqa: F401
+from polyview.catalog import accuracy, boxes, labels  # noqa: F401
 from polyview.catalog.registry import CHECKS, QUERIES  # noqa: F401
