@@ -88,3 +88,17 @@ def with_quantiles(df, keys, value, probs, fits=None):
 def ratio(num: Column, den: Column) -> Column:
     """``num / den``; 0 when the denominator is 0."""
     return F.when(den == 0, F.lit(0.0)).otherwise(F.try_divide(num, den))
+
+
+def medians(df: DataFrame, keys: Sequence[str], values: dict[str, Column], fits: bool | None = None) -> DataFrame:
+    """Medians of several columns per group, in one pass while groups are small."""
+    keys = list(keys)
+    if fits is None:
+        fits = group_fits(df.select(*keys), keys)
+    if fits:
+        return df.groupBy(*keys).agg(*[F.percentile(c, F.lit(0.5)).alias(n) for n, c in values.items()])
+    out = None
+    for name, col in values.items():
+        one = quantiles(df, keys, col, {name: 0.5}, fits=False)
+        out = one if out is None else out.join(one, keys)
+    return out

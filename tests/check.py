@@ -1,8 +1,12 @@
-"""Run queries against their SQL: python tests/check.py [sf] [name ...]."""
+"""Run queries against their SQL: python tests/check.py [sf] [name ...].
+
+WINDOW_LIMIT=0 forces every scan onto tiles.
+"""
 
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 import traceback
@@ -13,6 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import duckdb  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
+from polyview.plans.scan import LIMIT_SETTING  # noqa: E402
 from polyview.session import build  # noqa: E402
 
 TABLES = (
@@ -76,6 +81,8 @@ def main():
     wanted = sys.argv[2:] or list(entry.queries())
     sf_dir = f"/root/testdata/sf{sf}"
     spark, con = build(), oracle(sf_dir)
+    if os.environ.get("WINDOW_LIMIT"):
+        spark.conf.set(LIMIT_SETTING, os.environ["WINDOW_LIMIT"])
     bad = 0
     for name in wanted:
         start = time.time()
