@@ -1,4 +1,4 @@
 """All runnable queries."""
 
-from polyview.catalog import accuracy, boxes, labels, ordered, robust  # noqa: F401
+from polyview.catalog import accuracy, boxes, labels, ordered, points, robust  # noqa: F401
 from polyview.catalog.registry import CHECKS, QUERIES  # noqa: F401

@@ -117,21 +117,20 @@ def smallest_eigenvalue(cov: dict[str, Column]) -> Column:
     return q + 2 * p * F.cos(phi + third_turn)
 
 
-def eigenvector(value: Column, cov: dict[str, Column]) -> list[Column]:
-    """Unit eigenvector: the largest cross product of two rows of ``A - value * I``.
-
-    Its dominant component is made positive.
-    """
+def eigenvector_candidates(value: Column, cov: dict[str, Column]) -> Column:
+    """The cross products of the rows of ``A - value * I``: the longest as (size, x, y, z)."""
     xx, yy, zz = cov["xx"] - value, cov["yy"] - value, cov["zz"] - value
     rows = [[xx, cov["xy"], cov["xz"]], [cov["xy"], yy, cov["yz"]], [cov["xz"], cov["yz"], zz]]
-    options = [cross(rows[0], rows[1]), cross(rows[0], rows[2]), cross(rows[1], rows[2])]
-    sizes = [dot(o, o) for o in options]
-    best = lambda i: F.when((sizes[0] >= sizes[1]) & (sizes[0] >= sizes[2]), options[0][i]).when(
-        sizes[1] >= sizes[2], options[1][i]
-    ).otherwise(options[2][i])
-    v = [best(i) for i in range(3)]
-    length = F.sqrt(F.greatest(*sizes))
+    sized = []
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        c = cross(rows[i], rows[j])
+        sized.append(F.struct(dot(c, c).alias("size"), c[0].alias("x"), c[1].alias("y"), c[2].alias("z")))
+    return F.greatest(*sized)
+
+
+def unit_positive(v: Vector) -> list[Column]:
+    """Unit vector whose dominant component is positive."""
     m = major_axis(v)
     lead = F.when(m == 0, v[0]).when(m == 1, v[1]).otherwise(v[2])
-    sign = F.when(lead < 0, -1.0).otherwise(1.0)
-    return [F.try_divide(c * sign, length) for c in v]
+    scale = F.when(lead < 0, -1.0).otherwise(1.0) / norm(v)
+    return [F.when(norm(v) > 0, c * scale) for c in v]
