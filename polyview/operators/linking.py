@@ -1,13 +1,18 @@
-"""Match edges to conflict-free global ids."""
+"""Match edges to conflict-free global ids, and the graph operators around them."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polyview.functions import boxes as B
+from polyview.plans import rounds
+from polyview.plans.scan import along, number, numbered
+from polyview.plans.spatial import overlapping, within_radius
 from polyview.plans.stats import with_aggregates
+from polyview.session import cut
 
 
 def allowed_pairs(edges: DataFrame, keys: Sequence[str], min_ratio: float = 0.0) -> DataFrame:
@@ -21,3 +26,243 @@ def allowed_pairs(edges: DataFrame, keys: Sequence[str], min_ratio: float = 0.0)
     if min_ratio > 0:
         kept = kept.filter(F.col("hit_ratio") >= min_ratio)
     return kept.select(*edges.columns)
+
+
+def _ranked(edges: DataFrame, ratio: str, seq: str) -> Column:
+    return F.struct((-F.col(ratio)).alias("r"), F.col(seq).alias("s"))
+
+
+def match_one_to_one(edges: DataFrame, ref: Column, target: Column, ratio: str, seq: str) -> DataFrame:
+    """Greedy one-to-one matching by ratio descending, then input order."""
+    kind = edges.select(ref.alias("id")).schema["id"].dataType
+    side = lambda n, c: F.struct(F.lit(n).alias("side"), c.cast(kind).alias("id"))
+    keyed = edges.select(
+        _ranked(edges, ratio, seq).alias("p"), side(0, ref).alias("a"), side(1, target).alias("b"),
+        F.struct(*edges.columns).alias("e"),
+    )
+    return rounds.greedy_match(keyed).select("e.*")
+
+
+def global_ids(nodes: DataFrame, edges: DataFrame, ratio: str, seq: str, sequence: str) -> DataFrame:
+    """Global ids of all detections: edges merge unless a cluster would hold an image twice.
+
+    ``nodes(node, part, <sequence>)`` lists every detection; ``edges(a, b)`` name nodes.
+    Ids count from 1 in the order of each cluster's first node within its sequence;
+    every other member is ``removed``.
+    """
+    known = nodes.select("node")
+    unknown = edges.select(F.explode(F.array("a", "b")).alias("node")).join(known, "node", "left_anti")
+    bad = unknown.limit(1).collect()
+    if bad:
+        raise ValueError(f"match edge names an unknown detection: {bad[0]['node']}")
+    clusters = rounds.constrained_clusters(nodes, edges.select(_ranked(edges, ratio, seq).alias("p"), "a", "b"))
+    heads = clusters.filter(F.col("node") == F.col("cluster")).select(sequence, "cluster")
+    ids = along(heads, [sequence], [F.col("cluster")], {"global_id": number()})
+    return clusters.join(ids.select("cluster", "global_id"), "cluster").withColumn(
+        "removed", F.col("node") != F.col("cluster")
+    )
+
+
+def survivors(mapping: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Detections and remaining detections per frame."""
+    return mapping.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("detections"), F.count_if(~F.col("removed")).alias("kept"),
+        F.countDistinct("global_id").alias("ids"),
+    )
+
+
+def component_sizes(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+
+
+def small_component_share(parts: DataFrame, limit: int = 500) -> DataFrame:
+    """Components and the share of rows in components under ``limit``."""
+    sizes = component_sizes(parts)
+    small = F.sum(F.when(F.col("size") < limit, F.col("size")).otherwise(0))
+    return sizes.agg(
+        F.count(F.lit(1)).alias("components"), F.max("size").alias("largest"),
+        F.coalesce(F.try_divide(small, F.sum("size")), F.lit(1.0)).alias("small_share"),
+    )
+
+
+def box_nms(det: DataFrame, keys: Sequence[str], ident: str, score: str, threshold: float, fits=None) -> DataFrame:
+    """Boxes kept by score; a kept box suppresses later boxes with IoU at or above the threshold.
+
+    Equal boxes are folded to their best one first: the best copy suppresses the rest,
+    and whatever suppresses it would suppress them too.
+    """
+    keys = list(keys)
+    p = F.struct((-F.col(score)).alias("s"), F.col(ident).alias("i"))
+    best = det.groupBy(*keys, *B.SIDES).agg(F.min(p).alias("p"))
+    pairs = overlapping(best, best, keys, fits).filter(
+        (F.col("a.p") < F.col("b.p")) & (B.iou(B.sides("a."), B.sides("b.")) >= threshold)
+    )
+    node = lambda s: F.struct(*keys, F.col(f"{s}.p.i").alias("i"))
+    lost = rounds.suppress(pairs.select(node("a").alias("better"), node("b").alias("worse")))
+    kept = best.select(F.struct(*keys, F.col("p.i").alias("i")).alias("node")).join(lost, "node", "left_anti")
+    flat = kept.select(*[F.col(f"node.{k}").alias(k) for k in keys], F.col("node.i").alias(ident))
+    return det.join(flat, [*keys, ident], "left_semi")
+
+
+def track_nms(rows: DataFrame, video: str, track: str, frame: str, scores: DataFrame, threshold: float) -> DataFrame:
+    """Tracks kept by score; IoU is taken over the frames both tracks have.
+
+    ``rows`` holds one box per (video, track, frame), ``scores`` one score per track.
+    """
+    side = rows.select(video, frame, F.col(track).alias("track"), *B.SIDES)
+    both = overlapping(side, side, [video, frame]).filter(F.col("a.track") < F.col("b.track"))
+    inter = both.groupBy(video, F.col("a.track").alias("x"), F.col("b.track").alias("y")).agg(
+        F.sum(B.intersection(B.sides("a."), B.sides("b."))).alias("inter")
+    ).filter("inter > 0")
+    # Union areas need the frames both tracks have, for pairs that overlap at all.
+    areas = side.select(video, frame, "track", B.area(B.sides()).alias("area"))
+    shared = inter.join(areas.withColumnRenamed("track", "x").withColumnRenamed("area", "ax"), [video, "x"]).join(
+        areas.withColumnRenamed("track", "y").withColumnRenamed("area", "ay"), [video, "y", frame]
+    )
+    union = shared.groupBy(video, "x", "y", "inter").agg((F.sum("ax") + F.sum("ay")).alias("areas"))
+    hits = union.filter(F.col("inter") / (F.col("areas") - F.col("inter")) >= threshold)
+    score = lambda t, n: scores.select(video, F.col(track).alias(t), F.col("score").alias(n))
+    ranked = hits.join(score("x", "sx"), [video, "x"]).join(score("y", "sy"), [video, "y"])
+    first = (F.col("sx") > F.col("sy")) | ((F.col("sx") == F.col("sy")) & (F.col("x") < F.col("y")))
+    node = lambda c: F.struct(F.col(video), c.alias("track"))
+    edges = ranked.select(
+        node(F.when(first, F.col("x")).otherwise(F.col("y"))).alias("better"),
+        node(F.when(first, F.col("y")).otherwise(F.col("x"))).alias("worse"),
+    )
+    lost = rounds.suppress(edges).select(F.col(f"node.{video}").alias(video), F.col("node.track").alias(track))
+    return scores.join(lost, [video, track], "left_anti")
+
+
+def window_nms(pairs: DataFrame, width: int) -> DataFrame:
+    """Similar index pairs thinned by similarity; ``pairs(i, j, sim)`` with i < j."""
+    p = F.struct((-F.col("sim")).alias("s"), "i", "j")
+    return rounds.window_suppress(pairs.select(p.alias("p"), "i", "j"), width).select(
+        "i", "j", (-F.col("p.s")).alias("sim")
+    )
+
+
+def associate(det: DataFrame, trk: DataFrame, keys: Sequence[str], threshold: float, track_threshold: float, new_score: float, fits=None):
+    """Detections against tracks of a frame: one-to-one matches, unmatched tracks, new detections, links.
+
+    Matches are greedy by IoU; a track is matched when its pair reaches ``track_threshold``.
+    A detection without any IoU at ``threshold`` and with a high score starts a new track.
+    """
+    keys = list(keys)
+    pairs = overlapping(
+        det.select(*keys, "det_id", "score", *B.SIDES), trk.select(*keys, "trk_id", *B.SIDES), keys, fits
+    ).select(
+        *keys, F.col("a.det_id").alias("det_id"), F.col("b.trk_id").alias("trk_id"),
+        F.round(B.iou(B.sides("a."), B.sides("b.")), 9).alias("iou"),
+    ).filter("iou > 0")
+    pairs = cut(pairs)
+    seq = pairs.withColumn("seq", F.struct(*keys, "det_id", "trk_id"))
+    matched = match_one_to_one(seq, F.struct(*keys, "det_id"), F.struct(*keys, "trk_id"), "iou", "seq").drop("seq")
+    links = pairs.filter(F.col("iou") >= threshold)
+    lone = trk.join(matched.filter(F.col("iou") >= track_threshold), [*keys, "trk_id"], "left_anti")
+    fresh = det.filter(F.col("score") >= new_score).join(links, [*keys, "det_id"], "left_anti")
+    return matched, lone.select(*keys, "trk_id"), fresh.select(*keys, "det_id"), links
+
+
+def dbscan(points: DataFrame, ident: str, eps: float, least: int) -> DataFrame:
+    """Density clusters of 3-D points ``(ident, x, y, z)``; noise is -1.
+
+    Equal points are folded.  Cells have a diagonal of ``eps``, so the points of a cell
+    are neighbours: a cell with ``least`` points is all core without looking at pairs,
+    and the core points of a cell always share a cluster.  Pairs are formed between
+    neighbouring cells only, counted for sparse cells, and reduced to cell links.
+    """
+    axes = ["x", "y", "z"]
+    cells = ["cx", "cy", "cz"]
+    size = eps / 3**0.5 * (1 - 1e-9)
+    located = points.groupBy(*axes).agg(F.count(F.lit(1)).alias("n"), F.min(ident).alias("loc"))
+    located = cut(located.withColumns({c: F.floor(F.col(a) / size) for c, a in zip(cells, axes)}))
+    full = located.groupBy(*cells).agg((F.sum("n") >= least).alias("dense"))
+    placed = located.join(full, cells)
+
+    offsets = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3)]
+    spread = lambda df, steps: df.withColumn(
+        "o", F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("ijk", s)]) for s in steps]))
+    ).select(
+        F.struct("loc", "n", *axes, *cells).alias("a"), *[(F.col(c) + F.col(f"o.{n}")).alias(c) for c, n in zip(cells, "ijk")]
+    )
+    near = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in axes), F.lit(0.0))
+    packed = lambda df: df.select(*cells, F.struct("loc", "n", *axes, *cells, *(["cluster"] if "cluster" in df.columns else [])).alias("b"))
+
+    sparse = placed.filter(~F.col("dense"))
+    counted = spread(sparse, offsets).join(packed(located), cells).filter(F.sqrt(near) <= eps)
+    found = counted.groupBy(F.col("a.loc").alias("loc")).agg(F.sum("b.n").alias("degree")).filter(F.col("degree") >= least)
+    core = cut(
+        placed.filter("dense").select(*located.columns).union(
+            sparse.join(found, "loc", "left_semi").select(*located.columns)
+        )
+    )
+    cell = F.struct(*cells)
+    forward = [s for s in offsets if s > (0, 0, 0)]
+    touching = spread(core, forward).join(packed(core), cells).filter(F.sqrt(near) <= eps)
+    links = touching.select(
+        F.struct(*[F.col(f"a.{c}").alias(c) for c in cells]).alias("a"), F.struct(*[F.col(f"b.{c}").alias(c) for c in cells]).alias("b")
+    ).distinct()
+    per_cell = core.groupBy(*cells).agg(F.min("loc").alias("first")).select(cell.alias("node"), "first")
+    parts = rounds.components(per_cell, links)
+    # Clusters are numbered by their first core point.
+    firsts = parts.groupBy("component").agg(F.min("first").alias("first"))
+    named = numbered(firsts, [F.col("first")], "cluster", start=0).select("component", "cluster")
+    cores = cut(
+        core.withColumn("node", cell).join(parts.select("node", "component"), "node").join(named, "component")
+        .select(*located.columns, "cluster")
+    )
+    rest = located.join(cores.select("loc"), "loc", "left_anti")
+    border = spread(rest, offsets).join(packed(cores), cells).filter(F.sqrt(near) <= eps)
+    owned = border.groupBy(F.col("a.loc").alias("loc")).agg(F.min("b.cluster").alias("cluster"))
+    label = cores.select(*axes, "cluster").union(
+        rest.join(owned, "loc", "left").select(*axes, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    )
+    return points.join(label, axes)
+
+
+def main_cluster(labelled: DataFrame) -> DataFrame:
+    """Largest cluster (lowest label on ties) and whether the second one is too big to ignore."""
+    sizes = labelled.filter("cluster >= 0").groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    top = sizes.orderBy(F.col("size").desc(), "cluster").limit(2)
+    ranked = along(top, [], [F.col("size").desc(), F.col("cluster")], {"r": number()}, fits=True)
+    one = ranked.agg(
+        F.max(F.when(F.col("r") == 1, F.col("cluster"))).alias("cluster"),
+        F.max(F.when(F.col("r") == 1, F.col("size"))).alias("size"),
+        F.coalesce(F.max(F.when(F.col("r") == 2, F.col("size"))), F.lit(0)).alias("second"),
+    )
+    limit = F.least(F.lit(32), F.ceil(F.col("size") * 0.2))
+    return one.withColumn("ambiguous", F.col("second") >= limit)
+
+
+def scene_clusters(labelled: DataFrame, share: float = 0.01) -> DataFrame:
+    """Rows of clusters with at least ``share`` of all rows, else of the largest cluster."""
+    sizes = labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    ranked = with_aggregates(
+        sizes, [], __n=F.sum("size"),
+        __top=F.max(F.when(F.col("cluster") >= 0, F.struct("size", (-F.col("cluster")).alias("c")))),
+    )
+    big = (F.col("cluster") >= 0) & (F.col("size") >= share * F.col("__n"))
+    any_ = with_aggregates(ranked.withColumn("__big", big), [], __any=F.max("__big"))
+    keep = F.when(F.col("__any"), F.col("__big")).otherwise(F.col("cluster") == -F.col("__top.c"))
+    return labelled.join(any_.filter(keep).select("cluster"), "cluster", "left_semi")
+
+
+def reciprocal_pairs(points: DataFrame, reach: float) -> DataFrame:
+    """Cross-frame nearest neighbours that are each other's nearest, within ``reach``."""
+    pairs = within_radius(points, reach, "node", carry=["part"]).filter("a_part <> b_part")
+    both = pairs.select(
+        F.col("a_id").alias("x"), F.col("a_part").alias("xp"), F.col("b_id").alias("y"), F.col("b_part").alias("yp"), "dist"
+    )
+    both = both.union(both.select("y", "yp", "x", "xp", "dist"))
+    nearest = both.groupBy("x", "xp", "yp").agg(F.min(F.struct("dist", "y")).alias("m")).select("x", "xp", F.col("m.y").alias("y"), "yp", "m.dist")
+    mirrored = nearest.select(F.col("y").alias("x"), F.col("yp").alias("xp"), F.col("x").alias("y"), F.col("xp").alias("yp"))
+    return nearest.join(mirrored, ["x", "xp", "y", "yp"], "left_semi").filter("x < y").select("x", "y", "dist")
+
+
+def complete_link(points: DataFrame, reach: float, gate) -> DataFrame:
+    """Clusters of cross-frame points in which every pair passes the gate."""
+    pairs = reciprocal_pairs(points, reach)
+    edges = pairs.select(
+        F.struct("dist", "x", "y").alias("p"), F.col("x").alias("a"), F.col("y").alias("b")
+    )
+    return rounds.constrained_clusters(points, edges, gate)
