@@ -7,6 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Sequential greedy matching per group: edges {g, k, s} in order, kept when both ends are free.
+NONE = "list_filter([{'g': es[1].g, 'k': es[1].k, 's': es[1].s}], lambda q: false)"
+GREEDY = f"""list_reduce(list_prepend({NONE}, list_transform(es, lambda q: [q])), lambda acc, o:
+ CASE WHEN len(list_filter(acc, lambda q: q.g=o[1].g OR q.k=o[1].k))>0 THEN acc ELSE list_concat(acc, o) END)"""
+
 QUERIES: dict[str, Callable] = {}
 CHECKS: dict[str, str] = {}
 

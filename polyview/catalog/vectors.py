@@ -50,7 +50,11 @@ def similar_frames(spark, d):
     return V.similar_frames(_vectors(spark, d), 5, 0.3).withColumn("sim", F.round("sim", 6))
 
 
-@query("window_nms")
+@query("window_nms", f"""WITH {SIM}, ls AS (SELECT list({{'i':i,'j':j,'s':sim}} ORDER BY sim DESC, i, j) AS es FROM p),
+k AS (SELECT unnest(list_reduce(list_prepend(list_filter([es[1]], lambda q: false), list_transform(es, lambda q: [q])), lambda acc, o:
+ CASE WHEN len(list_filter(acc, lambda q: (o[1].i>=q.i-10 AND o[1].i<least(q.i+11,q.j)) OR (o[1].i>=greatest(q.i+1,q.j-10) AND o[1].i<=q.j+10)
+  OR (o[1].j>=q.i-10 AND o[1].j<least(q.i+11,q.j)) OR (o[1].j>=greatest(q.i+1,q.j-10) AND o[1].j<=q.j+10)))>0 THEN acc ELSE list_concat(acc,o) END)) AS m FROM ls)
+SELECT m.i AS i, m.j AS j, round(m.s,6) AS sim FROM k""")
 def window_nms(spark, d):
     from polyview.operators.linking import window_nms as thin
 

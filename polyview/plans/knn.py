@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from polyview.session import cut
 
 PIVOTS = 32
+PIVOT_ROWS = 1_024
 BLOCK_ROWS = 2_048
 
 
 def _pivots(sources: DataFrame) -> np.ndarray:
-    rows = sources.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()
+    wanted = max(1, min(PIVOTS, sources.count() // PIVOT_ROWS))
+    rows = sources.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
     return np.array([r["vec"] for r in rows], dtype=float)
 
 
