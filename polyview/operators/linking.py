@@ -28,8 +28,9 @@ def allowed_pairs(edges: DataFrame, keys: Sequence[str], min_ratio: float = 0.0)
     return kept.select(*edges.columns)
 
 
-def _ranked(edges: DataFrame, ratio: str, seq: str) -> Column:
-    return F.struct((-F.col(ratio)).alias("r"), F.col(seq).alias("s"))
+def _ranked(ratio: str, seq: str, a: Column, b: Column) -> Column:
+    """Priority of an edge: ratio descending, input order, then its ends, which makes it unique."""
+    return F.struct((-F.col(ratio)).alias("r"), F.col(seq).alias("s"), a.alias("a"), b.alias("b"))
 
 
 def match_one_to_one(edges: DataFrame, ref: Column, target: Column, ratio: str, seq: str) -> DataFrame:
@@ -37,25 +38,74 @@ def match_one_to_one(edges: DataFrame, ref: Column, target: Column, ratio: str,
     kind = edges.select(ref.alias("id")).schema["id"].dataType
     side = lambda n, c: F.struct(F.lit(n).alias("side"), c.cast(kind).alias("id"))
     keyed = edges.select(
-        _ranked(edges, ratio, seq).alias("p"), side(0, ref).alias("a"), side(1, target).alias("b"),
+        _ranked(ratio, seq, ref, target).alias("p"), side(0, ref).alias("a"), side(1, target).alias("b"),
         F.struct(*edges.columns).alias("e"),
     )
     return rounds.greedy_match(keyed).select("e.*")
 
 
-def global_ids(nodes: DataFrame, edges: DataFrame, ratio: str, seq: str, sequence: str) -> DataFrame:
+# Sequences up to this many edges are clustered inside one row's arrays.
+SMALL_EDGES = 256
+
+
+def _small_clusters(edges: DataFrame, sequence: str) -> DataFrame:
+    """The sequential scan over each sequence's sorted edges, as one array fold per sequence.
+
+    The fold keeps the clusters as arrays of (part, node); an edge joins two clusters
+    unless they share a part, which also covers an edge inside one cluster.
+    """
+    row = F.struct("p", F.struct(F.col("a_part").alias("part"), F.col("a").alias("node")).alias("a"),
+                   F.struct(F.col("b_part").alias("part"), F.col("b").alias("node")).alias("b"))
+    listed = edges.groupBy(sequence).agg(F.array_sort(F.collect_list(row)).alias("es"))
+    kind = listed.select(F.array(F.array(F.col("es")[0]["a"]))).schema[0].dataType.simpleString()
+    home = lambda acc, n: F.coalesce(F.get(F.filter(acc, lambda c: F.array_contains(c, n)), F.lit(0)), F.array(n))
+
+    def step(acc, e):
+        both = F.array(F.struct(home(acc, e["a"]).alias("x"), home(acc, e["b"]).alias("y")))
+        parts = lambda side: F.transform(side, lambda n: n["part"])
+        apart = F.filter(acc, lambda c: ~F.array_contains(c, e["a"]) & ~F.array_contains(c, e["b"]))
+        return F.get(F.transform(both, lambda q: F.when(F.arrays_overlap(parts(q["x"]), parts(q["y"])), acc).otherwise(
+            F.concat(apart, F.array(F.concat(q["x"], q["y"])))
+        )), F.lit(0))
+
+    folded = listed.select(F.explode(F.aggregate("es", F.expr(f"cast(array() as {kind})"), step)).alias("c"))
+    members = F.transform("c", lambda n: n["node"])
+    return folded.select(F.explode(members).alias("node"), F.array_min(members).alias("cluster"))
+
+
+def global_ids(
+    nodes: DataFrame, edges: DataFrame, ratio: str, seq: str, sequence: str, small: int = SMALL_EDGES
+) -> DataFrame:
     """Global ids of all detections: edges merge unless a cluster would hold an image twice.
 
-    ``nodes(node, part, <sequence>)`` lists every detection; ``edges(a, b)`` name nodes.
-    Ids count from 1 in the order of each cluster's first node within its sequence;
-    every other member is ``removed``.
+    ``nodes(node, part, <sequence>)`` lists every detection; ``edges(a, b)`` name nodes
+    of one sequence.  Sequences with few edges are folded one by one, the others take
+    rounds over all of them at once; both give the sequential result.  Ids count from 1
+    in the order of each cluster's first node within its sequence; every other member is
+    ``removed``.
     """
-    known = nodes.select("node")
-    unknown = edges.select(F.explode(F.array("a", "b")).alias("node")).join(known, "node", "left_anti")
-    bad = unknown.limit(1).collect()
-    if bad:
-        raise ValueError(f"match edge names an unknown detection: {bad[0]['node']}")
-    clusters = rounds.constrained_clusters(nodes, edges.select(_ranked(edges, ratio, seq).alias("p"), "a", "b"))
+    nodes = cut(nodes)
+    side = lambda e: nodes.select(F.col("node").alias(e), F.col("part").alias(f"{e}_part"), F.col(sequence).alias(f"{e}_seq"))
+    ranked = edges.select(_ranked(ratio, seq, F.col("a"), F.col("b")).alias("p"), "a", "b")
+    known = ranked.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    wrong = F.when(F.col("a_part").isNull() | F.col("b_part").isNull(), "unknown detection in match edge").when(
+        F.col("a_seq") != F.col("b_seq"), "match edge between sequences"
+    )
+    checked = cut(
+        known.withColumn(sequence, F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean").cast("int").cast(nodes.schema[sequence].dataType)).otherwise(F.col("a_seq")))
+        .drop("a_seq", "b_seq")
+    )
+    sizes = checked.groupBy(sequence).count()
+    crowded = sizes.filter(F.col("count") > small).select(sequence)
+    quiet = checked.join(crowded, sequence, "left_anti") if small else checked.limit(0)
+    clusters = nodes.join(_small_clusters(quiet, sequence), "node", "left")
+    if not small or not crowded.isEmpty():
+        loud = nodes.join(crowded, sequence, "left_semi") if small else nodes
+        grown = rounds.constrained_clusters(
+            loud.select("node", "part"), checked.join(crowded, sequence, "left_semi") if small else checked
+        ).select("node", F.col("cluster").alias("__c"))
+        clusters = clusters.join(grown, "node", "left").withColumn("cluster", F.coalesce("__c", "cluster")).drop("__c")
+    clusters = cut(clusters.withColumn("cluster", F.coalesce("cluster", "node")))
     heads = clusters.filter(F.col("node") == F.col("cluster")).select(sequence, "cluster")
     ids = along(heads, [sequence], [F.col("cluster")], {"global_id": number()})
     return clusters.join(ids.select("cluster", "global_id"), "cluster").withColumn(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polyview.plans.scan import (
-    along, group_size, lagged, last_seen, leading, next_seen, number, numbered, running_max, running_sum,
+    along, group_fits, group_size, lagged, last_seen, leading, next_seen, number, numbered, running_max, running_sum,
 )
 from polyview.plans.stats import attach, ratio
 
@@ -73,9 +73,10 @@ def merge_intervals(rows: DataFrame, keys: Sequence[str], start: str, end: str)
     """Union of touching or overlapping intervals per key; empty ones are dropped."""
     solid = rows.filter(F.col(start) < F.col(end)).select(*keys, start, end).distinct()
     order = [F.col(start), F.col(end)]
-    reach = along(solid, keys, order, {"__reach": running_max(F.col(end), strict=True)})
+    fits = group_fits(rows, keys)
+    reach = along(solid, keys, order, {"__reach": running_max(F.col(end), strict=True)}, fits)
     opens = (F.col("__reach").isNull() | (F.col(start) > F.col("__reach"))).cast("long")
-    islands = along(reach.withColumn("__open", opens), keys, order, {"__island": running_sum(F.col("__open"))})
+    islands = along(reach.withColumn("__open", opens), keys, order, {"__island": running_sum(F.col("__open"))}, fits)
     return islands.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
 
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from polyview.functions import boxes as B
 from polyview.functions import geometry as G
 from polyview.operators.ordered import merge_intervals
-from polyview.plans.scan import along, leading
+from polyview.plans.scan import along, group_fits, leading
 from polyview.plans.spatial import overlapping
 from polyview.plans.stats import attach, quantiles, with_aggregates
+from polyview.session import cut as written
 
 XYZ = ("x", "y", "z")
 
@@ -171,18 +172,20 @@ def densest_bands(
     from polyview.operators.ordered import densest_window
     from polyview.plans.stats import medians
 
+    rows = written(rows.select(height, frame))
+    fits = group_fits(rows, [])
     found, left = [], rows
     for index in range(candidates):
         start = densest_window(left, height, width).first()
         if start is None or start["start"] is None:
             break
         lo = start["start"]
-        raw = quantiles(left.filter(F.col(height).between(lo, lo + width)), [], F.col(height), {"m": 0.5}).first()["m"]
+        raw = quantiles(left.filter(F.col(height).between(lo, lo + width)), [], F.col(height), {"m": 0.5}, fits).first()["m"]
         offset = raw
         for _ in range(rounds):
             near = rows.filter(F.abs(F.col(height) - offset) <= width / 2)
-            per = medians(near, [frame], {"m": F.col(height)})
-            middle = quantiles(per, [], F.col("m"), {"mm": 0.5}).first()
+            per = medians(near, [frame], {"m": F.col(height)}, fits)
+            middle = quantiles(per, [], F.col("m"), {"mm": 0.5}, fits).first()
             if middle is None or middle["mm"] is None:
                 break
             change, offset = abs(middle["mm"] - offset), middle["mm"]
@@ -394,7 +397,7 @@ def union_area(boxes: DataFrame, key: str, tile: float = 256.0) -> DataFrame:
     boxes that span a slab are merged.
     """
     span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / tile), F.ceil(F.col(hi) / tile) - 1))
-    cut = (
+    pieces = (
         boxes.filter("x2 > x1 AND y2 > y1").select(key, *B.SIDES)
         .withColumn("tx", span("x1", "x2")).withColumn("ty", span("y1", "y2"))
         .select(
@@ -403,10 +406,11 @@ def union_area(boxes: DataFrame, key: str, tile: float = 256.0) -> DataFrame:
             F.least("x2", (F.col("tx") + 1) * tile).alias("x2"), F.least("y2", (F.col("ty") + 1) * tile).alias("y2"),
         ).distinct()
     )
+    pieces = written(pieces)
     keys = [key, "tx", "ty"]
-    edges = cut.select(*keys, F.explode(F.array("x1", "x2")).alias("sx")).distinct()
+    edges = pieces.select(*keys, F.explode(F.array("x1", "x2")).alias("sx")).distinct()
     slabs = along(edges, keys, [F.col("sx")], {"ex": leading(F.col("sx"))}).filter("ex IS NOT NULL")
-    strips = slabs.join(cut, keys).filter("x1 <= sx AND x2 >= ex").select(*keys, "sx", "ex", "y1", "y2")
+    strips = written(slabs.join(pieces, keys).filter("x1 <= sx AND x2 >= ex").select(*keys, "sx", "ex", "y1", "y2"))
     merged = merge_intervals(strips, [*keys, "sx", "ex"], "y1", "y2")
     return merged.groupBy(key).agg(F.sum((F.col("ex") - F.col("sx")) * (F.col("y2") - F.col("y1"))).alias("area"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyview.plans.scan import along, last_seen, next_seen
+from polyview.plans.scan import along, group_fits, last_seen, next_seen
+from polyview.session import cut
 
 # The line formats of a match log and a metric report.
 MATCH_LINE = r"Matched ref\s+(\d+)\s*.*?target\s+(\d+)\s+\(hit ratio:\s+([\d.]+)\s+(\d+)/(\d+)\)"
@@ -52,9 +53,11 @@ def attribute_matches(lines: DataFrame, min_ratio: float = 0.0) -> DataFrame:
         )).alias("m"),
     ).filter("is_match OR found OR group IS NOT NULL")
     keys, order = ["root", "file"], [F.col("seq")]
-    grouped = along(marked, keys, order, {"g": last_seen(F.col("group"))})
+    marked = cut(marked)
+    fits = group_fits(marked, keys)
+    grouped = along(marked, keys, order, {"g": last_seen(F.col("group"))}, fits)
     foot = F.when(F.col("found"), F.struct("seq", "n", F.col("found_tgt").alias("tgt"), "g"))
-    owned = along(grouped, keys, order, {"foot": next_seen(foot)}).filter("is_match OR found")
+    owned = along(grouped, keys, order, {"foot": next_seen(foot)}, fits).filter("is_match OR found")
     counts = owned.groupBy(*keys, "foot").agg(F.count_if("is_match").alias("rows"))
     wrong = (
         F.when(F.col("foot").isNull(), "rows lack a target group")
@@ -63,15 +66,17 @@ def attribute_matches(lines: DataFrame, min_ratio: float = 0.0) -> DataFrame:
     )
     checked = counts.withColumn(
         "ok", F.when(wrong.isNotNull(), F.raise_error(F.concat_ws(": ", "file", wrong)).cast("boolean")).otherwise(True)
-    ).filter("ok").select(*keys, F.col("foot.seq").alias("foot_seq"))
+    ).filter("ok").select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("foot.seq").alias("__seq"))
+    # Null-safe, so that rows without a footer reach their check as well.
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("foot_seq").eqNullSafe(F.col("__seq"))]
     rows = owned.filter("is_match").select(
         *keys, "seq", F.col("foot.seq").alias("foot_seq"), F.col("foot.g.ref").alias("ref_idx"), F.col("foot.tgt").alias("tgt_idx"), "m.*"
-    ).join(checked, [*keys, "foot_seq"])
+    ).join(checked, same).drop("__root", "__file", "__seq")
     edges = rows.withColumn("edge_seq", F.struct("file", "seq")).drop("foot_seq", "seq")
     seen = marked.filter("group IS NOT NULL").select("root", F.explode(F.array("group.ref", "group.tgt")).alias("f"))
     ends = seen.groupBy("root").agg(F.max("f").alias("hi"), F.min("f").alias("lo"))
     wrap = (F.col("ref_idx") == F.col("hi")) & (F.col("tgt_idx") == F.col("lo"))
-    kept = edges.join(ends, "root").filter((F.col("ref_idx") < F.col("tgt_idx")) | wrap).drop("hi", "lo")
+    kept = edges.join(ends, "root", "left").filter((F.col("ref_idx") < F.col("tgt_idx")) | wrap).drop("hi", "lo")
     return kept.filter(F.col("hit_ratio") >= min_ratio) if min_ratio > 0 else kept
 
 

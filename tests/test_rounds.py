@@ -164,5 +164,23 @@ def test_complete_link(spark):
 def test_unknown_endpoint_is_an_error(spark):
     nodes = spark.createDataFrame([(0, 0, 1)], "node long, part int, video int")
     edges = spark.createDataFrame([(0, 7, 0.5, 1)], "a long, b long, hit_ratio double, seq int")
-    with pytest.raises(ValueError, match="unknown detection"):
-        L.global_ids(nodes, edges, "hit_ratio", "seq", "video")
+    with pytest.raises(Exception, match="unknown detection"):
+        L.global_ids(nodes, edges, "hit_ratio", "seq", "video").collect()
+
+
+@pytest.mark.parametrize("small", [0, 30, 1000])
+def test_global_ids_by_fold_and_by_rounds(spark, small):
+    nodes, edges, want = [], [], {}
+    for video, count in ((1, 20), (2, 60)):
+        rnd = random.Random(video)
+        part = {100 * video + n: rnd.randrange(8) for n in range(30)}
+        nodes += [(n, p, video) for n, p in part.items()]
+        mine = [(r, i, 100 * video + a, 100 * video + b) for r, i, a, b in edges_of(video, 30, count)]
+        edges += [(a, b, -float(r), i) for r, i, a, b in mine]
+        home = sequential_clusters(list(part), part, mine)
+        order = {c: k + 1 for k, c in enumerate(sorted(set(home.values())))}
+        want |= {n: (order[c], n != c) for n, c in home.items()}
+    table = spark.createDataFrame(nodes, "node long, part int, video int")
+    links = spark.createDataFrame(edges, "a long, b long, hit_ratio double, seq int")
+    got = L.global_ids(table, links, "hit_ratio", "seq", "video", small=small).collect()
+    assert {r["node"]: (r["global_id"], r["removed"]) for r in got} == want
