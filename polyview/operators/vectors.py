@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyview.plans.knn import nearest
@@ -138,7 +138,7 @@ def mean_neighbour_distance(points: DataFrame, ident: str, k: int, cell: float |
         return points.select(ident).withColumn("mean_distance", F.lit(None).cast("double"))
     need = min(k, box["n"])
     sides = [max(box[f"hi{a}"] - box[f"lo{a}"], 1e-12) for a in axes]
-    size = cell or (sides[0] * sides[1] * sides[2] * need / box["locs"]) ** (1 / 3) / 2
+    size = cell or (sides[0] * sides[1] * sides[2] * need / box["locs"]) ** (1 / 3) / 4
     keyed = lambda df, s: df.withColumns({c: F.floor((F.col(a) - box[f"lo{a}"]) / s) for c, a in zip(cells, axes)})
     # Dense spots get smaller cells: no cell may hold more than 2048 locations.
     while largest_group(keyed(located, size), cells) > 2_048:
@@ -156,8 +156,7 @@ def mean_neighbour_distance(points: DataFrame, ident: str, k: int, cell: float |
         seen = a.join(b, cells).select("loc", "n", gap.alias("gap"))
         covers = all(size >= s for s in total.values())
         near = seen if covers else seen.filter(F.col("gap") <= size)
-        per = near.groupBy("loc", "gap").agg(F.sum("n").alias("n"))
-        ranked = _first_k(per, need)
+        ranked = _first_k(near, need)
         enough = ranked.groupBy("loc").agg(F.sum("take").alias("got"), (F.sum(F.col("gap") * F.col("take")) / need).alias("mean_distance"))
         fine = cut(enough.filter(F.col("got") >= need).select("loc", "mean_distance"))
         done = fine if done is None else done.union(fine)
@@ -168,12 +167,10 @@ def mean_neighbour_distance(points: DataFrame, ident: str, k: int, cell: float |
 
 
 def _first_k(per: DataFrame, k: int) -> DataFrame:
-    """How many rows of each (loc, gap) belong to the k nearest.
+    """How many rows of each (loc, gap, n) belong to the k nearest.
 
     The rank limit keeps k distances per location before the shuffle.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("loc").orderBy("gap")
     short = per.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k)
     before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
