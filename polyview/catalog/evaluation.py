@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from polyview import fixtures as X
 from polyview.catalog.boxes import IOU
 from polyview.catalog.registry import GREEDY, query, r6
-from polyview.functions import boxes as B
 from polyview.operators import evaluation as E
 from polyview.streaming.hooks import score_batches
 

@@ -6,12 +6,10 @@ from pyspark.sql import functions as F
 
 from polyview import fixtures as X
 from polyview.catalog.boxes import MAPPING, mapping
-from polyview.catalog.registry import query, r6
+from polyview.catalog.registry import query
 from polyview.operators import labels as L
 
-# Each record is broken in a way its object id and part select; kind 0 and 1 are valid.
-KINDS = ["ok", "ok", "schema", "schema_version", "source", "project_id", "sku_id", "sku_name",
-         "confidence", "metadata", "object", "reason", "ok"]
+# Each record is broken in the way its part key selects.
 
 
 @query("classification_validate", f"""WITH {X.DET} SELECT image_id, object_id, CASE (l_partkey%13)

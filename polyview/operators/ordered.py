@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyview.plans.scan import (
-    along, group_fits, group_size, lagged, last_seen, leading, next_seen, number, numbered, running_max, running_sum,
+    along, group_fits, group_size, lagged, last_seen, leading, next_seen, numbered, running_max, running_sum,
 )
 from polyview.plans.stats import attach, ratio
 

@@ -13,7 +13,7 @@ from polyview.functions import geometry as G
 from polyview.operators.ordered import merge_intervals
 from polyview.plans.scan import along, group_fits, leading
 from polyview.plans.spatial import overlapping
-from polyview.plans.stats import attach, quantiles, with_aggregates
+from polyview.plans.stats import quantiles, with_aggregates
 from polyview.session import cut as written
 
 XYZ = ("x", "y", "z")
