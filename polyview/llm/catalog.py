@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from polyview.llm import sharding
+from polyview.llm import bpe, sharding
 from polyview.llm.common import table
 from polyview.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 
 @query("op1_sharding")
 def op1_sharding(spark, sf_dir):
@@ -18,3 +21,14 @@ def op1_sharding(spark, sf_dir):
     return sharding.slots(placed, "shard", "doc_id").select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack"
     )
+
+
+@query("op9_bpe")
+def op9_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.round_trip(docs, VOCABULARY)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
