@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from polyview.llm import bpe, sharding
+from polyview.llm import bpe, jaccard, sharding
 from polyview.llm.common import table
 from polyview.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -32,3 +32,8 @@ def op9_bpe(spark, sf_dir):
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op10_jaccard")
+def op10_jaccard(spark, sf_dir):
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
