@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from polyview.llm import bpe, jaccard, sharding
+from polyview.llm import bpe, jaccard, sharding, toxicity
 from polyview.llm.common import table
 from polyview.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -37,3 +37,11 @@ def op9_bpe(spark, sf_dir):
 @query("op10_jaccard")
 def op10_jaccard(spark, sf_dir):
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "flagged")
