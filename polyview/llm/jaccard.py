@@ -7,13 +7,14 @@ symmetric difference.
 
 Sets of at least ``3/4`` similarity differ in at most ``(|A| + |B|) / 7`` shingles.  A size band holds
 the pairs whose smaller set lies in ``[c, 4c/3)``; with ``D`` the largest difference of the band, two
-linked sets agree in all but ``D`` parts.  Any ``D + 1`` parts that both list in one common order therefore
-share a part (pigeonhole): every set lists its first ``D + 1`` parts in hash order, empty parts last.
+linked sets agree in all but ``D`` parts.  The first ``D + t`` parts that both list in one common order
+therefore share ``t`` parts at least (pigeonhole): every set lists so many parts in hash order, empty parts last.
 Sets list parts for their own band and for the one below, where they can be the larger of a pair.
 
-Lists meet by part key in slices.  Only keys that several different sets share go on:
+Lists meet by part key in slices.  A list with fewer than ``t`` keys that other sets share can't belong to a link and
+goes; that leaves out sets which only have a passage in common.  Of the keys that several sets still share:
 
-* every set is verified against the lowest set of its keys (one pair per set); links join components;
+* every set is verified against the set that is lowest in most of its keys (one pair per set); links join components;
 * keys whose sets still lie in several components are tested pair by pair in blocks inside the
   workers, by sketches alone; pairs that the sketch bound can't refuse are verified exactly.
 
@@ -27,7 +28,6 @@ doc_id are one node; null ids take no part and get no component.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -43,7 +43,8 @@ WIDTH = 5
 SET = ["n_shingles", "set_a", "set_b"]
 BLOCK = 256  # sets of one key that a worker compares at once
 FEW = 2_000_000  # ids that may be broadcast: 16 MB
-_ONE, _MASK = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
+_ONE = np.uint64(1)
+_PACKED, _SHARED = ["slice", "packed", "marks", "ids"], ["key", "doc", "low", "set_a", "set_b"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -114,9 +115,14 @@ def band_difference(band: int) -> int:
     return (largest + 4 * largest // 3) // 7
 
 
+def least_shared(band: int) -> int:
+    """Keys that the lists of a linked pair share at least."""
+    return 1 + band_difference(band) // 8
+
+
 def part_keys(hashes: np.ndarray, band: int) -> np.ndarray:
-    """Keys of the first ``D + 1`` parts in hash order, empty parts last."""
-    need = band_difference(band) + 1
+    """Keys of the first ``D + t`` parts in hash order, empty parts last."""
+    need = band_difference(band) + least_shared(band)
     parts = need + need // 4 + 8  # more than needed, so that empty ones seldom count
     scrambled = mix(hashes ^ np.uint64(band * 2 + 1))
     part = (scrambled >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
@@ -147,69 +153,73 @@ def linked(common: int, a: int, b: int) -> bool:
     return 100 * common >= 75 * (a + b - common)
 
 
-def shingled(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` plus ``n_shingles`` and the set's 128 bits ``set_a``, ``set_b`` (0 without words)."""
-    def run(batches):
-        for batch in batches:
-            sets = shingle_sets(batch.column(batch.schema.names.index(text)))
-            ids = [set_ids(s) for s in sets]
-            yield [pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64())]
-
-    return append(docs, [T.StructField(n, T.LongType()) for n in ("n_shingles", "set_a", "set_b")], run)
-
-
 def _slices(docs: DataFrame, slices: int) -> DataFrame:
-    """Part keys dealt into ``slices`` by key: per slice and batch packed 40-bit keys with 24-bit row numbers.
+    """Part keys dealt into ``slices`` by key: per slice and batch packed 40-bit keys with
+    23-bit row numbers and a bit for lists of the band below.
 
-    Equal sets of a batch are folded to their lowest id before anything is shuffled.
+    Equal sets of a batch are folded to their lowest id before anything is shuffled.  One more row per batch, in a
+    slice below 0, brings what every single row's set is.
     """
     def run(batches):
         for batch in batches:
-            ids = np.asarray(batch.column(0))
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_pylist()
             sets = shingle_sets(batch.column(1))
+            marked = [set_ids(s) for s in sets]
+            info = np.array([[len(s), *m] for s, m in zip(sets, marked, strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - marked[0][0] % slices], pa.int64()), pa.array([info.tobytes()], pa.binary()),
+                                              pa.array([None], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], names=_PACKED)
             lowest: dict[tuple[int, int], int] = {}
-            for k in sorted(range(len(sets)), key=lambda k: ids[k]):
-                if len(sets[k]):
-                    lowest.setdefault(set_ids(sets[k]), k)
+            for k in sorted((k for k in range(len(sets)) if ids[k] is not None and len(sets[k])), key=lambda k: ids[k]):
+                lowest.setdefault(marked[k], k)
             rows = sorted(lowest.values())
             if not rows:
                 continue
             keys, owners = [], []
             for at, k in enumerate(rows):
                 band = band_of(len(sets[k]))
-                for b in (band, band - 1) if band else (band,):
-                    keys.append(part_keys(sets[k], b))
-                    owners.append(np.full(len(keys[-1]), at, np.uint64))
+                for low in (0, 1) if band else (0,):
+                    keys.append(part_keys(sets[k], band - low))
+                    owners.append(np.full(len(keys[-1]), 2 * at + low, np.uint64))
             key, owner = np.concatenate(keys), np.concatenate(owners)
             slice_of = key % np.uint64(slices)
             packed = ((key // np.uint64(slices)) & np.uint64(2**40 - 1)) << np.uint64(24) | owner
             order = np.argsort(slice_of, kind="stable")
             packed, slice_of = packed[order], slice_of[order]
-            marks = np.array([[ids[k], *set_ids(sets[k])] for k in rows], np.int64)
+            marks = np.array([[ids[k], *marked[k]] for k in rows], np.int64)
             heads = np.flatnonzero(np.concatenate([[True], slice_of[1:] != slice_of[:-1]]))
             out: list[list] = [[], [], []]
             for start, end in zip(heads.tolist(), [*heads[1:].tolist(), len(packed)], strict=True):
                 part = packed[start:end]
-                used, own = np.unique(part & np.uint64(2**24 - 1), return_inverse=True)
+                used, own = np.unique(part >> _ONE & np.uint64(2**23 - 1), return_inverse=True)
                 out[0].append(int(slice_of[start]))
-                out[1].append((part & ~np.uint64(2**24 - 1) | own.astype(np.uint64)).tobytes())
+                out[1].append((part & ~np.uint64(2**24 - 2) | own.astype(np.uint64) << _ONE).tobytes())
                 out[2].append(marks[used.astype(np.int64)].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["slice", "packed", "marks"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()),
+                                              pa.nulls(len(out[0]), pa.list_(pa.int64()))], names=_PACKED)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "slice long, packed binary, marks binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "slice long, packed binary, marks binary, ids array<long>")
 
 
 def shared_keys(docs: DataFrame, slices: int) -> DataFrame:
-    """``(key, doc, lead)`` for keys that several different sets list; ``lead`` is the lowest of them."""
+    """``(doc, key, low)`` for keys that several different sets list; ``low`` marks lists of the band below.
+
+    Rows with ``low`` -1 tell each text's set instead: ``key`` is its size, ``set_a`` and ``set_b`` are its bits.
+    """
     def run(group: pa.Table) -> pa.Table:
         keys, marks, base = [], [], 0
+        if group.column("slice")[0].as_py() < 0:
+            info = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 3) for x in group.column("packed")])
+            ids = pa.chunked_array([x.values for x in group.column("ids")], pa.int64()).combine_chunks()
+            return pa.table([pa.array(info[:, 0]), ids, pa.array(np.full(len(info), -1)), pa.array(info[:, 1]), pa.array(info[:, 2])], names=_SHARED)
         for packed, mark in zip(group.column("packed"), group.column("marks"), strict=True):
             own = np.frombuffer(mark.as_buffer(), np.int64).reshape(-1, 3)
             raw = np.frombuffer(packed.as_buffer(), np.uint64)
-            keys.append(np.stack([raw >> np.uint64(24), (raw & np.uint64(2**24 - 1)) + np.uint64(base)]))
+            keys.append(np.stack([raw >> np.uint64(24), (raw >> _ONE & np.uint64(2**23 - 1)) + np.uint64(base), raw & _ONE]))
             marks.append(own)
             base += len(own)
-        key, doc = np.concatenate(keys, axis=1)
+        key, doc, low = np.concatenate(keys, axis=1)
         mark = np.concatenate(marks)
         # equal sets count once, under their lowest id
         order = np.lexsort((mark[:, 0], mark[:, 2], mark[:, 1]))
@@ -217,22 +227,32 @@ def shared_keys(docs: DataFrame, slices: int) -> DataFrame:
         lowest = np.empty(len(mark), np.int64)
         lowest[order] = mark[order[np.flatnonzero(new)], 0][np.cumsum(new) - 1]
         doc = lowest[doc.astype(np.int64)]
-        order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
-        again = key[1:] == key[:-1]
-        several = np.concatenate([again, [False]]) | np.concatenate([[False], again])
-        key, doc = key[several], doc[several]
         order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        keep = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]) if len(key) else np.zeros(0, bool)
-        key, doc = key[keep], doc[keep]
-        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        sizes = np.diff(heads, append=len(key))
-        lead, many = np.repeat(doc[heads], sizes), np.repeat(sizes > 1, sizes)
-        whole = key.astype(np.int64) * slices + (group.column("slice")[0].as_py())
-        return pa.table({"key": pa.array(whole[many], pa.int64()), "doc": pa.array(doc[many], pa.int64()), "lead": pa.array(lead[many], pa.int64())})
-
-    return _slices(docs, slices).groupBy("slice").applyInArrow(run, "key long, doc long, lead long")
+        key, doc, low = key[order], doc[order], low[order]
+        if len(key):
+            keep = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+            key, doc, low = key[keep], doc[keep], low[keep]
+            again = key[1:] == key[:-1]
+            several = np.concatenate([again, [False]]) | np.concatenate([[False], again])
+            key, doc, low = key[several], doc[several], low[several]
+        whole = key.astype(np.int64) * slices + group.column("slice")[0].as_py()
+        none = pa.nulls(len(key), pa.int64())
+        return pa.table([pa.array(whole, pa.int64()), pa.array(doc, pa.int64()), pa.array(low.astype(np.int64)), none, none], names=_SHARED)
+
+    return _slices(docs, slices).groupBy("slice").applyInArrow(run, ", ".join(f"{c} long" for c in _SHARED))
+
+
+def enough_keys(shared: DataFrame, every: DataFrame) -> DataFrame:
+    """``(key, doc, lead)`` of lists that share enough keys; ``lead`` is the lowest set of the key."""
+    bands = F.array(*[F.lit(int(x)) for x in _LOWS])
+    least = F.array(*[F.lit(least_shared(b)) for b in range(len(_LOWS) - 1)])
+    lists = shared.groupBy("doc", "low").agg(F.count(F.lit(1)).alias("keys"))
+    sizes = every.filter("n_shingles > 0").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"))
+    band = F.size(F.filter(bands, lambda x: x <= F.col("n"))) - F.col("low")
+    fit = lists.join(sizes, "doc").filter(F.col("keys") >= F.element_at(least, band.cast("int"))).select("doc", "low").distinct()
+    rows = cut(shared.join(bounded(fit, FEW), ["doc", "low"], "left_semi").select("key", "doc"))
+    leads = rows.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).filter("lead <> last").select("key", "lead")
+    return cut(rows.join(cut(leads), "key").select("key", "doc", "lead"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -279,55 +299,80 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _unrefused(rows: DataFrame) -> DataFrame:
     """Pairs across components of one key that the sketches can't refuse, block by block.
 
-    ``rows(key, doc, comp, n, bits)``.  Keys with over ``BLOCK`` sets are dealt into blocks; each two blocks are a
-    group of their own, so no key is ever gathered whole.
+    ``rows(key, doc, comp, n, bits)``.  Keys with over ``BLOCK`` sets are dealt into blocks, and each two blocks are
+    compared apart from the others, so no key is ever gathered whole; small keys share packs.
     """
+    packs = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
     dealt = rows.join(sizes, "key").withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = dealt.withColumn("other", F.explode(every))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "comp", "n", "bits")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        first = group[group["own"] == group["i"].iloc[0]]
-        second = group[group["own"] == group["j"].iloc[0]]
-        fold: dict[tuple[int, int], np.ndarray] = {}
-
-        def at(side: pd.DataFrame, which: int, bits: int) -> np.ndarray:
-            if (which, bits) not in fold:
-                out = np.zeros((len(side), bits // 8), np.uint8)
-                for k, raw in enumerate(side["bits"]):
-                    if 8 * len(raw) >= bits:
-                        out[k] = np.bitwise_xor.reduce(np.frombuffer(raw, np.uint8).reshape(-1, bits // 8), axis=0)
-                fold[(which, bits)] = out
-            return fold[(which, bits)]
-
-        n2, c2, d2 = (second[c].to_numpy() for c in ("n", "comp", "doc"))
-        b2 = np.array([8 * len(x) for x in second["bits"]])
-        for k, (n, comp, doc, raw) in enumerate(zip(first["n"], first["comp"], first["doc"], first["bits"], strict=True)):
-            fit = np.flatnonzero((c2 != comp) & (4 * np.minimum(n, n2) >= 3 * np.maximum(n, n2)) & (d2 != doc))
-            if not len(fit):
-                continue
-            for bits in np.unique(np.minimum(b2[fit], 8 * len(raw))):
-                some = fit[np.minimum(b2[fit], 8 * len(raw)) == bits]
-                apart = np.bitwise_count(at(second, 1, int(bits))[some] ^ at(first, 0, int(bits))[k]).sum(axis=1, dtype=np.int64)
-                found += [(min(doc, o), max(doc, o)) for o in d2[some[7 * apart <= n + n2[some]]].tolist()]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"]).astype("int64")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    dealt = dealt.select(F.pmod(F.xxhash64("key", "i", "j"), F.lit(packs)).alias("pack"), "key", "i", "j", "own", "doc", "comp", "n", "bits")
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        key, i, j, own, doc, comp, n = (group.column(c).to_numpy() for c in ("key", "i", "j", "own", "doc", "comp", "n"))
+        bits = group.column("bits").to_pylist()
+        found: set[tuple[int, int]] = set()
+        heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        for start, end in zip(heads.tolist(), [*heads[1:].tolist(), len(key)], strict=True):
+            at = np.arange(start, end)
+            first, second = at[own[start:end] == i[start]], at[own[start:end] == j[start]]
+            compare = _near_few if len(first) * len(second) <= 64 else _near_many
+            compare(found, first, second, doc, comp, n, bits)
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return dealt.groupBy("pack").applyInArrow(run, "a long, b long").distinct()
+
+
+def _near_few(found, first, second, doc, comp, n, bits) -> None:
+    marks = {int(k): int.from_bytes(bits[k]) for k in {*first.tolist(), *second.tolist()}}
+    for x in first.tolist():
+        for y in second.tolist():
+            small, large = sorted((int(n[x]), int(n[y])))
+            if comp[x] == comp[y] or 4 * small < 3 * large:
+                continue
+            one, two = (marks[x], len(bits[x])), (marks[y], len(bits[y]))
+            while one[1] != two[1]:  # fold the longer sketch onto the shorter
+                one, two = sorted((one, two), key=lambda m: m[1])
+                half = 4 * two[1]
+                two = (two[0] >> half ^ two[0] & (1 << half) - 1, two[1] // 2)
+            if 7 * (one[0] ^ two[0]).bit_count() <= small + large:
+                found.add((min(int(doc[x]), int(doc[y])), max(int(doc[x]), int(doc[y]))))
+
+
+def _near_many(found, first, second, doc, comp, n, bits) -> None:
+    lengths = np.array([8 * len(bits[k]) for k in second])
+    folded: dict[int, np.ndarray] = {}
+
+    def fold(raw: bytes, size: int) -> np.ndarray:
+        return np.bitwise_xor.reduce(np.frombuffer(raw, np.uint8).reshape(-1, size // 8), axis=0)
+
+    for x in first.tolist():
+        own = 8 * len(bits[x])
+        fit = np.flatnonzero((comp[second] != comp[x]) & (4 * np.minimum(n[x], n[second]) >= 3 * np.maximum(n[x], n[second])))
+        for size in np.unique(np.minimum(lengths[fit], own)).tolist():
+            if size not in folded:
+                folded[size] = np.stack([fold(bits[k], size) if 8 * len(bits[k]) >= size else np.zeros(size // 8, np.uint8) for k in second])
+            some = fit[np.minimum(lengths[fit], own) == size]
+            apart = np.bitwise_count(folded[size][some] ^ fold(bits[x], size)).sum(axis=1, dtype=np.int64)
+            for o in doc[second[some[7 * apart <= n[x] + n[second[some]]]]].tolist():
+                found.add((min(int(doc[x]), o), max(int(doc[x]), o)))
 
 
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` per row: the lowest id that links of 0.75 or more reach."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
-    every = cut(shingled(own).drop("text"))
     slices = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = cut(shared_keys(own.filter("doc_id is not null"), slices))
-    # per set one pair, with the lowest set it shares a key with
-    stars = shared.filter("doc <> lead").groupBy("doc").agg(F.min("lead").alias("lead"))
+    told = cut(shared_keys(own, slices))
+    every = told.filter("low < 0").select(F.col("doc").alias("doc_id"), F.col("key").alias("n_shingles"), "set_a", "set_b")
+    shared = enough_keys(told.filter("low >= 0").select("key", "doc", "low"), every)
+    # per set one pair, with the lowest set of most of its keys
+    stars = shared.filter("doc <> lead").groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("keys"))
+    stars = stars.groupBy("doc").agg(F.min_by("lead", F.struct(-F.col("keys"), "lead")).alias("lead"))
     stars = cut(stars.select(F.col("lead").alias("a"), F.col("doc").alias("b")))
     sets = _sets(own, bounded(shared.select("doc").distinct(), FEW))
     links = _verified(stars, sets)
@@ -335,7 +380,9 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     comps = bounded(components(nodes, links).select("node", "component"), FEW)
     open_rows = shared.select("key", "doc").join(comps, F.col("doc") == F.col("node")).select("key", "doc", F.col("component").alias("comp"))
     open_rows = cut(open_rows)
-    mixed = open_rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    mixed = open_rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("doc").alias("x"), F.max("doc").alias("y"), F.count(F.lit(1)).alias("k"))
+    tried = bounded(stars, FEW)  # a key of two sets that were verified already is settled
+    mixed = mixed.filter("lo <> hi").join(tried, (F.col("k") == 2) & (F.col("x") == F.col("a")) & (F.col("y") == F.col("b")), "left_anti").select("key")
     rows, left = cut_counted(open_rows.join(mixed, "key", "left_semi"))
     if left:
         links = links.union(_verified(_unrefused(rows.join(sets.drop("members"), "doc")), sets))
