@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from polyview.llm import bpe, jaccard, sharding, toxicity
+from polyview.llm import bpe, jaccard, pii, sharding, toxicity
 from polyview.llm.common import table
 from polyview.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -45,3 +45,17 @@ def op2_toxicity(spark, sf_dir):
     model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "flagged")
+
+
+def _joined(spans):
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+
+@query("op7_pii")
+def op7_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    of = lambda column, kind: F.filter(column, lambda s: s["kind"] == kind)
+    every = F.concat(*[F.array_sort(F.concat(of("base", k), of("added", k))) for k in pii.KINDS])
+    counts = [F.size(of("base", k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"), F.size("added").cast("long").alias("n_added"))
