@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from polyview.llm import bpe, jaccard, pii, sharding, toxicity
+from polyview.llm import bpe, decontam, jaccard, pii, sharding, toxicity
 from polyview.llm.common import table
 from polyview.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -55,7 +55,33 @@ def _joined(spans):
 def op7_pii(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(docs, pii.train(docs))
-    of = lambda column, kind: F.filter(column, lambda s: s["kind"] == kind)
+    def of(column, kind):
+        return F.filter(column, lambda s: s["kind"] == kind)
+
     every = F.concat(*[F.array_sort(F.concat(of("base", k), of("added", k))) for k in pii.KINDS])
     counts = [F.size(of("base", k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
+_LEAKS = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+i2 AS (SELECT item_id, w, len(w) AS n, least(len(w), 5) AS k FROM i WHERE len(w) > 0),
+ks AS (SELECT DISTINCT k FROM i2),
+ish AS (SELECT item_id, n, k, array_to_string(w[p:p+k-1], ' ') AS s FROM i2, unnest(range(1, n-k+2)) AS t(p)),
+dsh AS (SELECT doc_id, k, p, len(w) AS size, array_to_string(w[p:p+k-1], ' ') AS s FROM d, ks, unnest(range(1, len(w)-k+2)) AS t(p)),
+windows AS (SELECT DISTINCT doc_id, p AS start, n, a.k FROM dsh a JOIN ish b ON a.s = b.s AND a.k = b.k),
+ws AS (SELECT v.doc_id, start, n, v.k, s, count(*) AS c FROM windows v JOIN dsh a ON a.doc_id = v.doc_id AND a.k = v.k
+       AND a.p BETWEEN start AND start + n - v.k GROUP BY ALL),
+sizes AS (SELECT doc_id, start, n, k, sum(c) AS total FROM ws GROUP BY ALL),
+ics AS (SELECT item_id, n, k, s, count(*) AS c FROM ish GROUP BY ALL),
+pairs AS (SELECT ws.doc_id, item_id, ws.start, ws.n, ws.k, sum(least(ws.c, ics.c)) AS shared FROM ws JOIN ics ON ws.s = ics.s AND ws.n = ics.n AND ws.k = ics.k GROUP BY ALL),
+scored AS (SELECT doc_id, item_id, start, shared, total + n - k + 1 - shared AS united FROM pairs JOIN sizes USING (doc_id, start, n, k))
+SELECT doc_id, item_id, (start - 1)::INT AS start, shared::INT AS n_shared, united::INT AS n_union FROM scored WHERE 100 * shared >= 75 * united
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / united DESC, start) = 1"""
+
+
+@query("op6_decontamination", _LEAKS)
+def op6_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
