@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from polyview.llm import bpe, decontam, jaccard, pii, sharding, toxicity
+from polyview.llm import bpe, decontam, jaccard, pii, sharding, toxicity, warc
 from polyview.llm.common import table
 from polyview.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -91,3 +91,9 @@ def op6_decontamination(spark, sf_dir):
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op3_warc")
+def op3_warc(spark, sf_dir):
+    pages = warc.with_revisits(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read_records(warc.normalise(warc.write_archives(pages))).drop("payload")
