@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from polyview.llm import bpe, decontam, jaccard, pii, sharding, toxicity, warc
+from polyview.llm import bpe, decontam, jaccard, pii, sharding, topk, toxicity, warc
 from polyview.llm.common import table
 from polyview.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -97,3 +97,16 @@ def pipeline(spark, sf_dir):
 def op3_warc(spark, sf_dir):
     pages = warc.with_revisits(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return warc.read_records(warc.normalise(warc.write_archives(pages))).drop("payload")
+
+
+_TOP = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
+
+
+@query("op4_topk", _TOP)
+def op4_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_inner_products(vectors, vectors.filter("vec_id % 50 = 0"), k=5, scale=256)
