@@ -6,11 +6,12 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from polyview.llm import bpe, decontam, jaccard, pii, sharding, topk, toxicity, warc
+from polyview.llm import bpe, chat, counts, decontam, jaccard, pii, sharding, topk, toxicity, warc
 from polyview.llm.common import table
 from polyview.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 @query("op1_sharding")
@@ -110,3 +111,33 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 def op4_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_inner_products(vectors, vectors.filter("vec_id % 50 = 0"), k=5, scale=256)
+
+
+@query("op5_counts")
+def op5_counts(spark, sf_dir):
+    return counts.with_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES).drop("text")
+
+
+_PAIRS = """
+WITH t AS (SELECT DISTINCT conv_id // 2 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, turn,
+  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) - 1 AS place FROM t),
+c AS (SELECT * FROM p WHERE side = 'chosen'), r AS (SELECT * FROM p WHERE side = 'rejected'),
+s AS (SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.place, r.place) AS place,
+  coalesce(c.role = r.role AND c.text = r.text, false) AS same FROM c FULL JOIN r ON c.pair_id = r.pair_id AND c.place = r.place),
+f AS (SELECT pair_id, coalesce(min(place) FILTER (NOT same), max(place) + 1) AS shared FROM s GROUP BY pair_id),
+u AS (SELECT pair_id, CASE WHEN place < shared THEN 'prompt' ELSE side END AS part, place, role, length(role) + length(text) + 12 AS size,
+  '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown, length(text) + 8 AS tail FROM p JOIN f USING (pair_id) WHERE place >= shared OR side = 'chosen'),
+o AS (SELECT *, sum(length(shown)) OVER (PARTITION BY pair_id, part ORDER BY place) AS stop FROM u)
+SELECT pair_id, coalesce(string_agg(shown, '' ORDER BY place) FILTER (part = 'prompt'), '') AS prompt,
+ coalesce(string_agg(shown, '' ORDER BY place) FILTER (part = 'chosen'), '') AS chosen,
+ coalesce(string_agg((stop - tail)::BIGINT || ':' || stop::BIGINT, ',' ORDER BY place) FILTER (part = 'chosen' AND role = 'assistant'), '') AS chosen_mask,
+ coalesce(string_agg(shown, '' ORDER BY place) FILTER (part = 'rejected'), '') AS rejected,
+ coalesce(string_agg((stop - tail)::BIGINT || ':' || stop::BIGINT, ',' ORDER BY place) FILTER (part = 'rejected' AND role = 'assistant'), '') AS rejected_mask,
+ count(*) FILTER (part = 'prompt') AS prompt_turns, count(*) FILTER (part = 'chosen') AS chosen_turns, count(*) FILTER (part = 'rejected') AS rejected_turns
+FROM o GROUP BY pair_id"""
+
+
+@query("op8_preferences", _PAIRS)
+def op8_preferences(spark, sf_dir):
+    return chat.preference_texts(chat.neighbours(table(spark, sf_dir, "conversations")))
