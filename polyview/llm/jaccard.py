@@ -44,7 +44,6 @@ SET = ["n_shingles", "set_a", "set_b"]
 BLOCK = 256  # sets of one key that a worker compares at once
 FEW = 2_000_000  # ids that may be broadcast: 16 MB
 _ONE = np.uint64(1)
-_PACKED, _SHARED = ["slice", "packed", "marks", "ids"], ["key", "doc", "low", "set_a", "set_b"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -139,11 +138,11 @@ def part_keys(hashes: np.ndarray, band: int) -> np.ndarray:
 
 
 def sketch_bits(n: int) -> int:
-    return min(1024, max(64, 1 << int(2 * n - 1).bit_length()))
+    return min(4096, max(64, 1 << int(2 * n - 1).bit_length()))
 
 
 def parity_bits(hashes: np.ndarray) -> bytes:
-    """Each shingle flips one bit; 1024 bits at most, fewer for small sets."""
+    """Each shingle flips one bit; 4096 bits at most, fewer for small sets."""
     bits = sketch_bits(len(hashes))
     flips = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
@@ -153,41 +152,37 @@ def linked(common: int, a: int, b: int) -> bool:
     return 100 * common >= 75 * (a + b - common)
 
 
-def _slices(docs: DataFrame, slices: int) -> DataFrame:
-    """Part keys dealt into ``slices`` by key: per slice and batch packed 40-bit keys with
-    23-bit row numbers and a bit for lists of the band below.
+def shingled(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` plus ``n_shingles`` and the set's 128 bits ``set_a``, ``set_b`` (0 without words)."""
+    def run(batches):
+        for batch in batches:
+            sets = shingle_sets(batch.column(batch.schema.names.index(text)))
+            ids = [set_ids(s) for s in sets]
+            yield [pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64())]
 
-    Equal sets of a batch are folded to their lowest id before anything is shuffled.  One more row per batch, in a
-    slice below 0, brings what every single row's set is.
-    """
+    return append(docs, [T.StructField(n, T.LongType()) for n in SET], run)
+
+
+def _slices(docs: DataFrame, slices: int) -> DataFrame:
+    """Part keys dealt into ``slices`` by key: per slice and batch packed 40-bit keys with 23-bit row numbers and a
+    bit for lists of the band below, next to the ids of the rows."""
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_pylist()
-            sets = shingle_sets(batch.column(1))
-            marked = [set_ids(s) for s in sets]
-            info = np.array([[len(s), *m] for s, m in zip(sets, marked, strict=True)], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - marked[0][0] % slices], pa.int64()), pa.array([info.tobytes()], pa.binary()),
-                                              pa.array([None], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], names=_PACKED)
-            lowest: dict[tuple[int, int], int] = {}
-            for k in sorted((k for k in range(len(sets)) if ids[k] is not None and len(sets[k])), key=lambda k: ids[k]):
-                lowest.setdefault(marked[k], k)
-            rows = sorted(lowest.values())
-            if not rows:
-                continue
+            ids = np.asarray(batch.column(0))
             keys, owners = [], []
-            for at, k in enumerate(rows):
-                band = band_of(len(sets[k]))
-                for low in (0, 1) if band else (0,):
-                    keys.append(part_keys(sets[k], band - low))
-                    owners.append(np.full(len(keys[-1]), 2 * at + low, np.uint64))
+            for at, own in enumerate(shingle_sets(batch.column(1))):
+                if len(own):
+                    band = band_of(len(own))
+                    for low in (0, 1) if band else (0,):
+                        keys.append(part_keys(own, band - low))
+                        owners.append(np.full(len(keys[-1]), 2 * at + low, np.uint64))
+            if not keys:
+                continue
             key, owner = np.concatenate(keys), np.concatenate(owners)
             slice_of = key % np.uint64(slices)
             packed = ((key // np.uint64(slices)) & np.uint64(2**40 - 1)) << np.uint64(24) | owner
             order = np.argsort(slice_of, kind="stable")
             packed, slice_of = packed[order], slice_of[order]
-            marks = np.array([[ids[k], *marked[k]] for k in rows], np.int64)
             heads = np.flatnonzero(np.concatenate([[True], slice_of[1:] != slice_of[:-1]]))
             out: list[list] = [[], [], []]
             for start, end in zip(heads.tolist(), [*heads[1:].tolist(), len(packed)], strict=True):
@@ -195,51 +190,43 @@ def _slices(docs: DataFrame, slices: int) -> DataFrame:
                 used, own = np.unique(part >> _ONE & np.uint64(2**23 - 1), return_inverse=True)
                 out[0].append(int(slice_of[start]))
                 out[1].append((part & ~np.uint64(2**24 - 2) | own.astype(np.uint64) << _ONE).tobytes())
-                out[2].append(marks[used.astype(np.int64)].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()),
-                                              pa.nulls(len(out[0]), pa.list_(pa.int64()))], names=_PACKED)
+                out[2].append(ids[used.astype(np.int64)].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["slice", "packed", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "slice long, packed binary, marks binary, ids array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "slice long, packed binary, ids binary")
 
 
 def shared_keys(docs: DataFrame, slices: int) -> DataFrame:
-    """``(doc, key, low)`` for keys that several different sets list; ``low`` marks lists of the band below.
+    """``(key, doc, low)`` for keys that several documents list; ``low`` marks lists of the band below.
 
-    Rows with ``low`` -1 tell each text's set instead: ``key`` is its size, ``set_a`` and ``set_b`` are its bits.
+    ``docs`` hold no two equal sets under different ids.
     """
     def run(group: pa.Table) -> pa.Table:
-        keys, marks, base = [], [], 0
-        if group.column("slice")[0].as_py() < 0:
-            info = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 3) for x in group.column("packed")])
-            ids = pa.chunked_array([x.values for x in group.column("ids")], pa.int64()).combine_chunks()
-            return pa.table([pa.array(info[:, 0]), ids, pa.array(np.full(len(info), -1)), pa.array(info[:, 1]), pa.array(info[:, 2])], names=_SHARED)
-        for packed, mark in zip(group.column("packed"), group.column("marks"), strict=True):
-            own = np.frombuffer(mark.as_buffer(), np.int64).reshape(-1, 3)
+        keys, docs_of, base = [], [], 0
+        for packed, ids in zip(group.column("packed"), group.column("ids"), strict=True):
+            docs_of.append(np.frombuffer(ids.as_buffer(), np.int64))
             raw = np.frombuffer(packed.as_buffer(), np.uint64)
             keys.append(np.stack([raw >> np.uint64(24), (raw >> _ONE & np.uint64(2**23 - 1)) + np.uint64(base), raw & _ONE]))
-            marks.append(own)
-            base += len(own)
-        key, doc, low = np.concatenate(keys, axis=1)
-        mark = np.concatenate(marks)
-        # equal sets count once, under their lowest id
-        order = np.lexsort((mark[:, 0], mark[:, 2], mark[:, 1]))
-        new = np.concatenate([[True], (mark[order[1:], 1:] != mark[order[:-1], 1:]).any(axis=1)])
-        lowest = np.empty(len(mark), np.int64)
-        lowest[order] = mark[order[np.flatnonzero(new)], 0][np.cumsum(new) - 1]
-        doc = lowest[doc.astype(np.int64)]
+            base += len(docs_of[-1])
+        key, at, low = np.concatenate(keys, axis=1)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        again = key[1:] == key[:-1]
+        several = np.concatenate([again, [False]]) | np.concatenate([[False], again])
+        key, order = key[several], order[several]
+        doc, low = np.concatenate(docs_of)[at[order].astype(np.int64)], low[order].astype(np.int64)
         order = np.lexsort((doc, key))
         key, doc, low = key[order], doc[order], low[order]
-        if len(key):
+        if len(key):  # repeated rows of a document count once
             keep = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
             key, doc, low = key[keep], doc[keep], low[keep]
             again = key[1:] == key[:-1]
             several = np.concatenate([again, [False]]) | np.concatenate([[False], again])
             key, doc, low = key[several], doc[several], low[several]
         whole = key.astype(np.int64) * slices + group.column("slice")[0].as_py()
-        none = pa.nulls(len(key), pa.int64())
-        return pa.table([pa.array(whole, pa.int64()), pa.array(doc, pa.int64()), pa.array(low.astype(np.int64)), none, none], names=_SHARED)
+        return pa.table({"key": pa.array(whole, pa.int64()), "doc": pa.array(doc, pa.int64()), "low": pa.array(low, pa.int64())})
 
-    return _slices(docs, slices).groupBy("slice").applyInArrow(run, ", ".join(f"{c} long" for c in _SHARED))
+    return _slices(docs, slices).groupBy("slice").applyInArrow(run, "key long, doc long, low long")
 
 
 def enough_keys(shared: DataFrame, every: DataFrame) -> DataFrame:
@@ -366,10 +353,18 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """``(doc_id, n_shingles, component_id)`` per row: the lowest id that links of 0.75 or more reach."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
-    slices = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    told = cut(shared_keys(own, slices))
-    every = told.filter("low < 0").select(F.col("doc").alias("doc_id"), F.col("key").alias("n_shingles"), "set_a", "set_b")
-    shared = enough_keys(told.filter("low >= 0").select("key", "doc", "low"), every)
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = cut(shingled(own).drop("text"))
+    lowest = every.filter("n_shingles > 0 and doc_id is not null").groupBy(*SET)
+    lowest = cut(lowest.agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")))
+    # equal sets go on under their lowest id only
+    copied = lowest.filter("node <> last").drop("last")
+    mark = F.struct(*SET)
+    ids = every.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"))
+    mixed_ids, mixed = cut_counted(ids.filter("lo <> hi").select("doc_id"))  # ids of several sets: none, as a rule
+    copies = every.join(copied, SET).filter("doc_id <> node").select("doc_id").distinct().join(mixed_ids, "doc_id", "left_anti")
+    single = own.filter("doc_id is not null").join(bounded(copies, FEW), "doc_id", "left_anti")
+    shared = enough_keys(cut(shared_keys(single, slices)), every)
     # per set one pair, with the lowest set of most of its keys
     stars = shared.filter("doc <> lead").groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("keys"))
     stars = stars.groupBy("doc").agg(F.min_by("lead", F.struct(-F.col("keys"), "lead")).alias("lead"))
@@ -380,16 +375,14 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     comps = bounded(components(nodes, links).select("node", "component"), FEW)
     open_rows = shared.select("key", "doc").join(comps, F.col("doc") == F.col("node")).select("key", "doc", F.col("component").alias("comp"))
     open_rows = cut(open_rows)
-    mixed = open_rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("doc").alias("x"), F.max("doc").alias("y"), F.count(F.lit(1)).alias("k"))
+    open_keys = open_rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("doc").alias("x"), F.max("doc").alias("y"), F.count(F.lit(1)).alias("k"))
     tried = bounded(stars, FEW)  # a key of two sets that were verified already is settled
-    mixed = mixed.filter("lo <> hi").join(tried, (F.col("k") == 2) & (F.col("x") == F.col("a")) & (F.col("y") == F.col("b")), "left_anti").select("key")
-    rows, left = cut_counted(open_rows.join(mixed, "key", "left_semi"))
+    open_keys = open_keys.filter("lo <> hi").join(tried, (F.col("k") == 2) & (F.col("x") == F.col("a")) & (F.col("y") == F.col("b")), "left_anti").select("key")
+    rows, left = cut_counted(open_rows.join(open_keys, "key", "left_semi"))
     if left:
         links = links.union(_verified(_unrefused(rows.join(sets.drop("members"), "doc")), sets))
-    lowest = every.filter("n_shingles > 0 and doc_id is not null").groupBy(*SET)
-    lowest = cut(lowest.agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")))
-    bridges, several = _bridges(every, lowest)
-    if left or several:
+    bridges = _bridges(every, lowest, mixed_ids)
+    if left or mixed:
         links = links.union(bridges)
         nodes = nodes.union(bridges.select("a")).union(bridges.select("b")).distinct()
         comps = components(nodes, links).select("node", "component")
@@ -400,14 +393,11 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def _bridges(every: DataFrame, lowest: DataFrame) -> tuple[DataFrame, int]:
-    """Pairs of nodes whose sets share a doc_id, and how many ids have several sets (none, as a rule)."""
-    mark = F.struct(*SET)
-    ids = every.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"))
-    ids, several = cut_counted(ids.filter("lo <> hi").select("doc_id"))
+def _bridges(every: DataFrame, lowest: DataFrame, ids: DataFrame) -> DataFrame:
+    """Pairs of nodes whose sets share one of ``ids``."""
     own = every.join(ids, "doc_id", "left_semi").select("doc_id", *SET).join(lowest, SET).select("doc_id", "node")
     first = own.groupBy("doc_id").agg(F.min("node").alias("a"))
-    return own.join(first, "doc_id").select("a", F.col("node").alias("b")).distinct(), several
+    return own.join(first, "doc_id").select("a", F.col("node").alias("b")).distinct()
 
 
 def one_per_class(docs: DataFrame) -> DataFrame:
