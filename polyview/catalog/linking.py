@@ -16,7 +16,8 @@ mt AS (SELECT ref_img, tgt_img, unnest({GREEDY}) AS m FROM ls) SELECT ref_img, t
 def greedy_match(spark, d):
     e = X.matches(spark, d)
     out = L.match_one_to_one(
-        e, F.struct("ref_img", "tgt_img", "ref_id"), F.struct("ref_img", "tgt_img", "tgt_id"), "hit_ratio", "edge_seq"
+        e, F.struct("ref_img", "tgt_img", "ref_id"), F.struct("ref_img", "tgt_img", "tgt_id"), "hit_ratio", "edge_seq",
+        ["ref_img", "tgt_img"],
     )
     return out.select("ref_img", "tgt_img", "ref_id", "tgt_id", "hit_ratio")
 

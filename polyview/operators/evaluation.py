@@ -30,7 +30,7 @@ def step_matches(sim: DataFrame, score: Column) -> DataFrame:
     scored = sim.withColumns({"score": F.round(score, 9), "order": F.struct("seq", "t", "gt_id", "trk_id")}).filter("score > 0")
     gt = F.struct("seq", "t", F.col("gt_id").cast("string").alias("id"))
     trk = F.struct("seq", "t", F.col("trk_id").cast("string").alias("id"))
-    return match_one_to_one(scored, gt, trk, "score", "order").drop("order")
+    return match_one_to_one(scored, gt, trk, "score", "order", ["seq", "t"]).drop("order")
 
 
 def alignment(sim: DataFrame, gt: DataFrame, trk: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def gated_f1(images: DataFrame, gt: DataFrame, dt: DataFrame, thresholds: Sequen
         "image_id", F.col("a.object_id").alias("g"), F.col("b.object_id").alias("d"),
         F.round(B.iou(B.sides("a."), B.sides("b.")), 9).alias("iou"),
     ).filter("iou > 0").withColumn("seq", F.struct("image_id", "g", "d"))
-    matched = match_one_to_one(pairs, F.struct("image_id", "g"), F.struct("image_id", "d"), "iou", "seq")
+    matched = match_one_to_one(pairs, F.struct("image_id", "g"), F.struct("image_id", "d"), "iou", "seq", ["image_id"])
     levels = F.array(*[F.lit(float(t)) for t in thresholds])
     tp = matched.withColumn("thr", F.explode(F.filter(levels, lambda t: F.col("iou") >= t))).groupBy("image_id", "thr").agg(
         F.count(F.lit(1)).alias("tp")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polyview.functions import boxes as B
-from polyview.plans import rounds
+from polyview.plans import folds, rounds
 from polyview.plans.scan import along, number, numbered
 from polyview.plans.spatial import overlapping, within_radius
 from polyview.plans.stats import with_aggregates
@@ -33,56 +33,30 @@ def _ranked(ratio: str, seq: str, a: Column, b: Column) -> Column:
     return F.struct((-F.col(ratio)).alias("r"), F.col(seq).alias("s"), a.alias("a"), b.alias("b"))
 
 
-def match_one_to_one(edges: DataFrame, ref: Column, target: Column, ratio: str, seq: str) -> DataFrame:
-    """Greedy one-to-one matching by ratio descending, then input order."""
+def match_one_to_one(
+    edges: DataFrame, ref: Column, target: Column, ratio: str, seq: str, groups: Sequence[str] | None = None
+) -> DataFrame:
+    """Greedy one-to-one matching by ratio descending, then input order.
+
+    ``groups`` names columns that both ends of every edge share: groups are scanned one by one.  Without
+    them, all edges take rounds together.
+    """
     kind = edges.select(ref.alias("id")).schema["id"].dataType
     side = lambda n, c: F.struct(F.lit(n).alias("side"), c.cast(kind).alias("id"))
     keyed = edges.select(
         _ranked(ratio, seq, ref, target).alias("p"), side(0, ref).alias("a"), side(1, target).alias("b"),
         F.struct(*edges.columns).alias("e"),
     )
-    return rounds.greedy_match(keyed).select("e.*")
-
-
-# Sequences up to this many edges are clustered inside one row's arrays.
-SMALL_EDGES = 256
+    found = folds.matched(keyed, [F.col(f"e.{g}").alias(g) for g in groups]) if groups else rounds.greedy_match(keyed)
+    return found.select("e.*")
 
 
-def _small_clusters(edges: DataFrame, sequence: str) -> DataFrame:
-    """The sequential scan over each sequence's sorted edges, as one array fold per sequence.
-
-    The fold keeps the clusters as arrays of (part, node); an edge joins two clusters
-    unless they share a part, which also covers an edge inside one cluster.
-    """
-    row = F.struct("p", F.struct(F.col("a_part").alias("part"), F.col("a").alias("node")).alias("a"),
-                   F.struct(F.col("b_part").alias("part"), F.col("b").alias("node")).alias("b"))
-    listed = edges.groupBy(sequence).agg(F.array_sort(F.collect_list(row)).alias("es"))
-    kind = listed.select(F.array(F.array(F.col("es")[0]["a"]))).schema[0].dataType.simpleString()
-    home = lambda acc, n: F.coalesce(F.get(F.filter(acc, lambda c: F.array_contains(c, n)), F.lit(0)), F.array(n))
-
-    def step(acc, e):
-        both = F.array(F.struct(home(acc, e["a"]).alias("x"), home(acc, e["b"]).alias("y")))
-        parts = lambda side: F.transform(side, lambda n: n["part"])
-        apart = F.filter(acc, lambda c: ~F.array_contains(c, e["a"]) & ~F.array_contains(c, e["b"]))
-        return F.get(F.transform(both, lambda q: F.when(F.arrays_overlap(parts(q["x"]), parts(q["y"])), acc).otherwise(
-            F.concat(apart, F.array(F.concat(q["x"], q["y"])))
-        )), F.lit(0))
-
-    folded = listed.select(F.explode(F.aggregate("es", F.expr(f"cast(array() as {kind})"), step)).alias("c"))
-    members = F.transform("c", lambda n: n["node"])
-    return folded.select(F.explode(members).alias("node"), F.array_min(members).alias("cluster"))
-
-
-def global_ids(
-    nodes: DataFrame, edges: DataFrame, ratio: str, seq: str, sequence: str, small: int = SMALL_EDGES
-) -> DataFrame:
+def global_ids(nodes: DataFrame, edges: DataFrame, ratio: str, seq: str, sequence: str) -> DataFrame:
     """Global ids of all detections: edges merge unless a cluster would hold an image twice.
 
     ``nodes(node, part, <sequence>)`` lists every detection; ``edges(a, b)`` name nodes
-    of one sequence.  Sequences with few edges are folded one by one, the others take
-    rounds over all of them at once; both give the sequential result.  Ids count from 1
-    in the order of each cluster's first node within its sequence; every other member is
-    ``removed``.
+    of one sequence.  Each sequence's edges stream through one scan.  Ids count from 1 in the order of each
+    cluster's first node within its sequence; every other member is ``removed``.
     """
     nodes = cut(nodes)
     side = lambda e: nodes.select(F.col("node").alias(e), F.col("part").alias(f"{e}_part"), F.col(sequence).alias(f"{e}_seq"))
@@ -91,20 +65,10 @@ def global_ids(
     wrong = F.when(F.col("a_part").isNull() | F.col("b_part").isNull(), "unknown detection in match edge").when(
         F.col("a_seq") != F.col("b_seq"), "match edge between sequences"
     )
-    checked = cut(
-        known.withColumn(sequence, F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean").cast("int").cast(nodes.schema[sequence].dataType)).otherwise(F.col("a_seq")))
-        .drop("a_seq", "b_seq")
-    )
-    sizes = checked.groupBy(sequence).count()
-    crowded = sizes.filter(F.col("count") > small).select(sequence)
-    quiet = checked.join(crowded, sequence, "left_anti") if small else checked.limit(0)
-    clusters = nodes.join(_small_clusters(quiet, sequence), "node", "left")
-    if not small or not crowded.isEmpty():
-        loud = nodes.join(crowded, sequence, "left_semi") if small else nodes
-        grown = rounds.constrained_clusters(
-            loud.select("node", "part"), checked.join(crowded, sequence, "left_semi") if small else checked
-        ).select("node", F.col("cluster").alias("__c"))
-        clusters = clusters.join(grown, "node", "left").withColumn("cluster", F.coalesce("__c", "cluster")).drop("__c")
+    failed = F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean").cast("int").cast(nodes.schema[sequence].dataType))
+    checked = known.withColumn(sequence, failed.otherwise(F.col("a_seq"))).drop("a_seq", "b_seq")
+    grown = folds.clustered(checked, [sequence])
+    clusters = nodes.join(grown, "node", "left")
     clusters = cut(clusters.withColumn("cluster", F.coalesce("cluster", "node")))
     heads = clusters.filter(F.col("node") == F.col("cluster")).select(sequence, "cluster")
     ids = along(heads, [sequence], [F.col("cluster")], {"global_id": number()})
@@ -148,7 +112,8 @@ def box_nms(det: DataFrame, keys: Sequence[str], ident: str, score: str, thresho
         (F.col("a.p") < F.col("b.p")) & (B.iou(B.sides("a."), B.sides("b.")) >= threshold)
     )
     node = lambda s: F.struct(*keys, F.col(f"{s}.p.i").alias("i"))
-    lost = rounds.suppress(pairs.select(node("a").alias("better"), node("b").alias("worse")))
+    ranked = pairs.select(node("a").alias("better"), node("b").alias("worse"), F.col("a.p").alias("p"))
+    lost = folds.suppressed(ranked, [F.col(f"better.{k}").alias(k) for k in keys] or [F.lit(0)], ["p"])
     kept = best.select(F.struct(*keys, F.col("p.i").alias("i")).alias("node")).join(lost, "node", "left_anti")
     flat = kept.select(*[F.col(f"node.{k}").alias(k) for k in keys], F.col("node.i").alias(ident))
     return det.join(flat, [*keys, ident], "left_semi")
@@ -178,8 +143,9 @@ def track_nms(rows: DataFrame, video: str, track: str, frame: str, scores: DataF
     edges = ranked.select(
         node(F.when(first, F.col("x")).otherwise(F.col("y"))).alias("better"),
         node(F.when(first, F.col("y")).otherwise(F.col("x"))).alias("worse"),
+        F.when(first, F.col("sx")).otherwise(F.col("sy")).alias("s"),
     )
-    lost = rounds.suppress(edges).select(F.col(f"node.{video}").alias(video), F.col("node.track").alias(track))
+    lost = folds.suppressed(edges, [F.col(f"better.{video}").alias("v")], [F.desc("s"), "better.track"]).select(F.col(f"node.{video}").alias(video), F.col("node.track").alias(track))
     return scores.join(lost, [video, track], "left_anti")
 
 
@@ -206,7 +172,7 @@ def associate(det: DataFrame, trk: DataFrame, keys: Sequence[str], threshold: fl
     ).filter("iou > 0")
     pairs = cut(pairs)
     seq = pairs.withColumn("seq", F.struct(*keys, "det_id", "trk_id"))
-    matched = match_one_to_one(seq, F.struct(*keys, "det_id"), F.struct(*keys, "trk_id"), "iou", "seq").drop("seq")
+    matched = match_one_to_one(seq, F.struct(*keys, "det_id"), F.struct(*keys, "trk_id"), "iou", "seq", keys or None).drop("seq")
     links = pairs.filter(F.col("iou") >= threshold)
     lone = trk.join(matched.filter(F.col("iou") >= track_threshold), [*keys, "trk_id"], "left_anti")
     fresh = det.filter(F.col("score") >= new_score).join(links, [*keys, "det_id"], "left_anti")
@@ -271,17 +237,19 @@ def dbscan(points: DataFrame, ident: str, eps: float, least: int) -> DataFrame:
 
 
 def main_cluster(labelled: DataFrame) -> DataFrame:
-    """Largest cluster (lowest label on ties) and whether the second one is too big to ignore."""
+    """Largest cluster (lowest label on ties) and whether the second one is too big to ignore:
+    at least 32 rows or a fifth of all clustered ones, whichever is less."""
     sizes = labelled.filter("cluster >= 0").groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    top = sizes.orderBy(F.col("size").desc(), "cluster").limit(2)
+    top = sizes.withColumn("all", sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).scalar())
+    top = top.orderBy(F.col("size").desc(), "cluster").limit(2)
     ranked = along(top, [], [F.col("size").desc(), F.col("cluster")], {"r": number()}, fits=True)
     one = ranked.agg(
         F.max(F.when(F.col("r") == 1, F.col("cluster"))).alias("cluster"),
         F.max(F.when(F.col("r") == 1, F.col("size"))).alias("size"),
-        F.coalesce(F.max(F.when(F.col("r") == 2, F.col("size"))), F.lit(0)).alias("second"),
+        F.coalesce(F.max(F.when(F.col("r") == 2, F.col("size"))), F.lit(0)).alias("second"), F.max("all").alias("clustered"),
     )
-    limit = F.least(F.lit(32), F.ceil(F.col("size") * 0.2))
-    return one.withColumn("ambiguous", F.col("second") >= limit)
+    limit = F.least(F.lit(32), F.ceil(F.col("clustered") * 0.2))
+    return one.withColumn("ambiguous", (F.col("second") > 0) & (F.col("second") >= limit)).drop("clustered")
 
 
 def scene_clusters(labelled: DataFrame, share: float = 0.01) -> DataFrame:

@@ -2,7 +2,8 @@
 
 State is cut after every round (see ``session.cut``), which also reports how many
 rows are left, so a loop costs no extra action.  All choices follow a total priority,
-so the outcome equals the sequential scan in priority order.
+so the outcome equals the sequential scan in priority order.  Every round settles the first open edge at
+least, so loops end without a limit on rounds.
 """
 
 from __future__ import annotations
@@ -10,13 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from polyview.session import cut, cut_counted
+from polyview.session import cut, cut_counted, fresh_folder
 
-MAX_ROUNDS = 500
 
+def _added(rows: DataFrame, folder: str) -> DataFrame:
+    """Append ``rows`` to the table that collects every round's rows, and read back what was added."""
+    now = cut(rows)
+    now.write.mode("append").parquet(folder)
+    return now
 
-class NoConvergence(RuntimeError):
-    """A round loop did not finish within ``MAX_ROUNDS``."""
+
+def _collected(shape: DataFrame, folder: str) -> DataFrame:
+    """All rows that the rounds added; none, if there were no rounds."""
+    shape.limit(0).write.mode("append").parquet(folder)
+    return shape.sparkSession.read.schema(shape.schema).parquet(folder)
 
 
 def _dominant(edges: DataFrame) -> DataFrame:
@@ -39,19 +47,14 @@ def greedy_match(edges: DataFrame) -> DataFrame:
     not overlap.
     """
     left, count = cut_counted(edges)
-    taken = None
-    for _ in range(MAX_ROUNDS):
-        if count == 0:
-            break
-        now = cut(_dominant(left))
-        taken = now if taken is None else taken.union(now)
+    folder = fresh_folder(edges.sparkSession)
+    while count:
+        now = _added(_dominant(left), folder)
         used = now.select(F.explode(F.array("a", "b")).alias("__used"))
         free = left.join(used, F.col("a") == F.col("__used"), "left_anti")
         free = free.join(used, F.col("b") == F.col("__used"), "left_anti")
         left, count = cut_counted(free)
-    else:
-        raise NoConvergence("greedy_match")
-    return left if taken is None else taken
+    return _collected(edges, folder)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -65,7 +68,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     last = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -81,8 +84,6 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if state == last or state[0] == 0:
             break
         last = state
-    else:
-        raise NoConvergence("components")
     return nodes.join(links, F.col("node") == F.col("u"), "left").select(
         *nodes.columns, F.coalesce("v", "node").alias("component")
     )
@@ -95,18 +96,16 @@ def suppress(edges: DataFrame) -> DataFrame:
     lost, together with all their edges.
     """
     left, count = cut_counted(edges.select("better", "worse").distinct())
-    lost = left.select(F.col("worse").alias("node")).limit(0)
-    for _ in range(MAX_ROUNDS):
-        if count == 0:
-            return lost
+    nodes = left.select(F.col("worse").alias("node"))
+    folder = fresh_folder(edges.sparkSession)
+    while count:
         worse = left.select(F.col("worse").alias("node")).distinct()
         heads = left.join(worse, F.col("better") == F.col("node"), "left_anti")
-        now = cut(heads.select(F.col("worse").alias("node")).distinct())
-        lost = lost.union(now)
+        now = _added(heads.select(F.col("worse").alias("node")).distinct(), folder)
         rest = left.join(now, F.col("worse") == F.col("node"), "left_anti")
         rest = rest.join(now, F.col("better") == F.col("node"), "left_anti")
         left, count = cut_counted(rest)
-    raise NoConvergence("suppress")
+    return _collected(nodes, folder)
 
 
 def constrained_clusters(nodes: DataFrame, edges: DataFrame, gate=None) -> DataFrame:
@@ -130,9 +129,7 @@ def constrained_clusters(nodes: DataFrame, edges: DataFrame, gate=None) -> DataF
         return left.join(right, ["b", "part"]).select("p").distinct()
 
     left, count = cut_counted(_without(edges.filter("a <> b").select("p", "a", "b"), clash(edges.select("p", "a", "b"), members)))
-    for _ in range(MAX_ROUNDS):
-        if count == 0:
-            return members
+    while count:
         tried = cut(_dominant(left))
         good = tried
         if gate is not None:
@@ -156,7 +153,7 @@ def constrained_clusters(nodes: DataFrame, edges: DataFrame, gate=None) -> DataF
             rest.join(grown, F.col("b") == F.col("__g"), "left_semi")
         ).distinct()
         left, count = cut_counted(_without(rest, clash(touched, members)))
-    raise NoConvergence("constrained_clusters")
+    return members
 
 
 def _without(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -176,19 +173,16 @@ def window_suppress(pairs: DataFrame, width: int) -> DataFrame:
         F.sequence(F.greatest(i + 1, j - width), j + width),
     )
     left, count = cut_counted(pairs.select("p", "i", "j"))
-    kept = left.limit(0)
-    for _ in range(MAX_ROUNDS):
-        if count == 0:
-            return kept
+    folder = fresh_folder(pairs.sparkSession)
+    while count:
         covered = left.select("p", F.explode(around).alias("x"))
         best = cut(covered.groupBy("x").agg(F.min("p").alias("__best")))
         at = lambda end: best.select(F.col("x").alias(end), F.col("__best").alias(f"__b{end}"))
-        now = cut(
+        now = _added(
             left.join(at("i"), "i").join(at("j"), "j").filter((F.col("p") == F.col("__bi")) & (F.col("p") == F.col("__bj")))
-            .select("p", "i", "j")
+            .select("p", "i", "j"), folder,
         )
-        kept = kept.union(now)
         blocked = now.select(F.explode(around).alias("__x")).distinct()
         rest = left.join(blocked, F.col("i") == F.col("__x"), "left_anti").join(blocked, F.col("j") == F.col("__x"), "left_anti")
         left, count = cut_counted(rest)
-    raise NoConvergence("window_suppress")
+    return _collected(pairs.select("p", "i", "j"), folder)

@@ -21,8 +21,8 @@ SETTINGS = {
 }
 
 
-def build(master: str = "local[8]", partitions: int = 8, memory: str = "12g") -> SparkSession:
-    """A local session for tests and benchmarks."""
+def build(master: str = "local[8]", partitions: int = 8, memory: str = "12g", shared: str | None = None) -> SparkSession:
+    """A local session for tests and benchmarks; without ``shared`` its intermediate tables get a folder of their own."""
     builder = (
         SparkSession.builder.master(master)
         .appName("polyview")
@@ -33,6 +33,8 @@ def build(master: str = "local[8]", partitions: int = 8, memory: str = "12g") ->
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    folder = shared or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+    builder = builder.config("spark.checkpoint.dir", folder)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -46,21 +48,31 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, read from the session."""
+    """This run's folder for intermediate tables, below the shared folder that ``spark.checkpoint.dir`` names.
+
+    ``clean`` removes it; results that were not written elsewhere can't be read after that.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return f"{folder.rstrip('/')}/polyview-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this run."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/polyview-{uuid.uuid4().hex}"
+    path = fresh_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -168,8 +168,7 @@ def test_unknown_endpoint_is_an_error(spark):
         L.global_ids(nodes, edges, "hit_ratio", "seq", "video").collect()
 
 
-@pytest.mark.parametrize("small", [0, 30, 1000])
-def test_global_ids_by_fold_and_by_rounds(spark, small):
+def test_global_ids(spark):
     nodes, edges, want = [], [], {}
     for video, count in ((1, 20), (2, 60)):
         rnd = random.Random(video)
@@ -182,5 +181,39 @@ def test_global_ids_by_fold_and_by_rounds(spark, small):
         want |= {n: (order[c], n != c) for n, c in home.items()}
     table = spark.createDataFrame(nodes, "node long, part int, video int")
     links = spark.createDataFrame(edges, "a long, b long, hit_ratio double, seq int")
-    got = L.global_ids(table, links, "hit_ratio", "seq", "video", small=small).collect()
+    got = L.global_ids(table, links, "hit_ratio", "seq", "video").collect()
     assert {r["node"]: (r["global_id"], r["removed"]) for r in got} == want
+
+
+def test_long_tied_paths_finish(spark):
+    """2000 frames tied in input order: matching takes every other edge, clusters grow over the whole path."""
+    from polyview.plans import folds
+
+    path = [(0, k, k, k + 1) for k in range(2000)]
+    edges = frame(spark, path)
+    got = {(r["a"], r["b"]) for r in folds.matched(edges, [F.lit(0)]).collect()}
+    assert got == {(k, k + 1) for k in range(0, 2000, 2)}
+    nodes = spark.createDataFrame([(k, k, "v") for k in range(2001)], "node long, part int, video string")
+    links = spark.createDataFrame([(1.0, k, k, k + 1) for k in range(2000)], "hit_ratio double, seq long, a long, b long")
+    ids = L.global_ids(nodes, links, "hit_ratio", "seq", "video")
+    assert ids.select("global_id").distinct().collect() == [(1,)] and ids.filter("removed").count() == 2000
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_folds_equal_rounds(spark, seed):
+    from polyview.plans import folds
+
+    edges = frame(spark, edges_of(seed, 40, 90))
+    key = lambda df: sorted((r["a"], r["b"]) for r in df.collect())
+    assert key(folds.matched(edges, [F.lit(0)])) == key(rounds.greedy_match(edges))
+    conflicts = edges.select(F.least("a", "b").alias("better"), F.greatest("a", "b").alias("worse"))
+    lost = lambda df: sorted(r["node"] for r in df.select("node").collect())
+    assert lost(folds.suppressed(conflicts, [F.lit(0)], ["better"])) == lost(rounds.suppress(conflicts))
+    assert key(folds.matched(edges.limit(0), [F.lit(0)])) == key(rounds.greedy_match(edges.limit(0))) == []
+
+
+@pytest.mark.parametrize("sizes,ambiguous", [([100, 21], False), ([100, 25], True), ([100], False), ([300, 32], True)])
+def test_main_cluster_compares_with_all_clustered_rows(spark, sizes, ambiguous):
+    rows = [(c,) for c, n in enumerate(sizes) for _ in range(n)] + [(-1,)] * 50
+    got = L.main_cluster(spark.createDataFrame(rows, "cluster int")).first()
+    assert (got["cluster"], got["size"], got["ambiguous"]) == (0, sizes[0], ambiguous)
