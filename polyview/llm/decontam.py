@@ -97,7 +97,9 @@ def _parts(df: DataFrame, key: str) -> list[DataFrame]:
 def _windows(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     """``(doc_id, start, n, window)``: windows that begin with an item's shingle, at that item's length."""
     keys = items.select("n", F.explode(_hashes(F.col("item_words"), width)).alias("__key")).distinct()
-    worded = docs.select("doc_id", words(F.col("text")).alias("__words")).filter(F.size("__words") >= width)
+    # the row number keeps the optimizer from copying the split into every filter on its result
+    once = F.when(F.monotonically_increasing_id() >= 0, words(F.col("text")))
+    worded = docs.select("doc_id", once.alias("__words")).filter(F.size("__words") >= width)
     placed = worded.select("doc_id", "__words", F.posexplode("__words").alias("start", "__word")).filter(F.col("start") + width <= F.size("__words"))
     hashed = placed.select("doc_id", "__words", "start", F.xxhash64(*_at(F.col("__words"), F.col("start"), width)).alias("__own"))
     found = [hashed.join(part, F.col("__own") == F.col("__key")) for part in _parts(keys, "__key")]
