@@ -190,11 +190,12 @@ def linspace_sample(spark, d):
     return S.linspace_sample(rows, [F.col("value"), F.col("event_id")], 512)
 
 
-@query("label_ranges", """WITH l AS (SELECT range AS label FROM range(120)), c AS (SELECT label, count(l_suppkey) AS n FROM l LEFT JOIN lineitem ON l_suppkey=label GROUP BY 1),
+@query("label_ranges", """WITH l AS (SELECT DISTINCT l_suppkey AS label FROM lineitem UNION SELECT p_partkey FROM part), c AS (SELECT label, count(l_suppkey) AS n FROM l LEFT JOIN lineitem ON l_suppkey=label GROUP BY 1),
 s AS (SELECT label, n, CAST(sum(n) OVER (ORDER BY label) AS BIGINT) AS "end" FROM c) SELECT label, "end"-n AS "start", "end" FROM s""")
 def label_ranges(spark, d):
     rows = X.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("label"))
-    return S.label_ranges(rows, "label", spark.range(120).withColumnRenamed("id", "label"))
+    known = rows.union(X.table(spark, d, "part").select("p_partkey")).distinct()  # parts beyond the suppliers are empty labels
+    return S.label_ranges(rows, "label", known)
 
 
 @query("chunk_overlap", """WITH n AS (SELECT count(*) AS n FROM events), c AS (SELECT range AS chunk, range*70 AS s FROM range(100000), n WHERE range < CASE WHEN n<=100 THEN 1 ELSE ceil((n-30)/70) END)

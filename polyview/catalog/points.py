@@ -74,15 +74,16 @@ def plane_fit(spark, d):
 @query("plane_search")
 def plane_search(spark, d):
     pts = X.points(spark, d)
-    found = P.plane_search(pts, "point_id", hypotheses=48, reach=0.06, trim=0.05, least=3, least_share=0.0)
-    shown = {k: F.lit(float(v)) for k, v in found.items() if k not in ("n", "fitted", "inliers")}
-    return spark.range(1).select(*[c.alias(k) for k, c in shown.items()], F.lit(int(found["inliers"])).cast("long").alias("inliers"))
+    found = P.plane_search(pts, "point_id", reach=0.06, trim=0.05, least=3, least_share=0.0)
+    counts = {"inliers", "trials"}
+    shown = [F.lit(int(v)).cast("long").alias(k) if k in counts else F.lit(v if k == "converged" else float(v)).alias(k) for k, v in found.items() if k not in ("n", "fitted")]
+    return spark.range(1).select(*shown)
 
 
 @query("densest_band")
 def densest_band(spark, d):
     rows = X.table(spark, d, "events").select("value", (F.col("user_id") % 8).alias("frame"))
-    found = P.densest_bands(rows, "value", "frame", width=2.5, candidates=4, trim=1.0)
+    found = P.densest_bands(rows, "value", "frame", width=2.5, candidates=8, trim=1.0)
     return spark.createDataFrame([tuple(b.values()) for b in found], "index int, raw double, offset double, inliers long, share double, frames long")
 
 
@@ -301,7 +302,7 @@ def grid_topk(spark, d):
     return out.select("point_id", "distance", "over_cap")
 
 
-@query("bounded_exchange", f"""WITH {CELLQ}, b AS (SELECT *, point_id//500 AS tile, cx*1000000+cy*1000+cz AS cell FROM c WHERE point_id%3=0), po AS (SELECT *, cx*1000000+cy*1000+cz AS cell, CAST(floor(cx/2)*10000+floor(cy/2) AS BIGINT) AS macro FROM c WHERE point_id%3=1),
+@query("bounded_exchange", f"""WITH {CELLQ}, b AS (SELECT *, point_id//500 AS tile, cx*1000000+cy*1000+cz AS cell FROM c WHERE point_id%3=0), po AS (SELECT *, cx*1000000+cy*1000+cz AS cell, CAST(floor(cx/2)*10000+floor(cy/2) AS BIGINT) AS macro FROM c WHERE point_id%3<>0),
 s AS (SELECT *, count(*) OVER (PARTITION BY tile) AS tn FROM b), rk AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY quality, point_id) AS r FROM s WHERE point_id%5<>0),
 rem AS (SELECT *, row_number() OVER (ORDER BY tile, quality, point_id)-1 AS i FROM rk WHERE r<=tn//16),
 nb AS (SELECT cell, arg_max(point_id,(quality,-point_id)) AS point_id, arg_max(quality,(quality,-point_id)) AS quality, arg_max(macro,(quality,-point_id)) AS macro FROM po WHERE cell NOT IN (SELECT cell FROM b) GROUP BY 1),
@@ -318,7 +319,7 @@ def bounded_exchange(spark, d):
     c = _cells(spark, d).withColumn("cell", cell)
     i = F.col("point_id")
     base = c.filter(i % 3 == 0).withColumns({"tile": F.floor(i / 500), "safe": i % 5 != 0})
-    pool = c.filter(i % 3 == 1).withColumn("macro", F.floor(F.col("cx") / 2) * 10000 + F.floor(F.col("cy") / 2)).select("cell", "point_id", "quality", "macro")
+    pool = c.filter(i % 3 != 0).withColumn("macro", F.floor(F.col("cx") / 2) * 10000 + F.floor(F.col("cy") / 2)).select("cell", "point_id", "quality", "macro")
     removed, added = S.bounded_exchange(base, pool, "tile", "cell", "macro", "quality", "point_id", [F.col("quality"), i])
     return removed.select(F.lit("removed").alias("change"), "point_id").union(added.select(F.lit("added").alias("change"), "point_id"))
 

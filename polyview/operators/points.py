@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,54 +112,97 @@ def _distance(plane: dict[str, float]) -> Column:
     return F.abs(x * a + y * b + z * c - off)
 
 
-def plane_hypotheses(points: DataFrame, ident: str, count: int, seed: int = 42) -> list[dict]:
-    """Planes through hash-ranked point triplets: at most ``3 * count`` rows reach the driver."""
-    from polyview.operators.sampling import bottom_k
-
-    rows = bottom_k(points.select(ident, *XYZ), ident, 3 * count, seed).collect()
+def _planes(rows: list) -> list[dict]:
+    """Planes through consecutive triplets of rows; collinear ones are left out."""
     planes = []
     for i in range(0, len(rows) - 2, 3):
         a, b, c = ([float(r[k]) for k in XYZ] for r in rows[i : i + 3])
         u, v = [q - p for p, q in zip(a, b)], [q - p for p, q in zip(a, c)]
         n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
         size = sum(t * t for t in n) ** 0.5
-        if size > 1e-12:
+        if size > 0:
             planes.append({**{f"n{k}": t / size for k, t in zip(XYZ, n)}, **{f"c{k}": t for k, t in zip(XYZ, a)}})
     return planes
 
 
+def trials_needed(share: float, least: int, most: int, sure: float = 0.999) -> int:
+    """Triplets after which one lies wholly in a plane of this share of the rows, with probability ``sure``."""
+    share = min(max(share, 1e-9), 1 - 1e-12)
+    return min(most, max(least, math.ceil(math.log(1 - sure) / math.log(1 - share**3))))
+
+
+def _near_counts(points: DataFrame, planes: list[dict], reach: float) -> dict[int, int]:
+    """Rows within ``reach`` of each plane, counted by tasks and added up."""
+    normals = np.array([[p[f"n{k}"] for k in XYZ] for p in planes])
+    offsets = (normals * np.array([[p[f"c{k}"] for k in XYZ] for p in planes])).sum(axis=1)
+
+    def run(batches):
+        counts = np.zeros(len(normals), np.int64)
+        for batch in batches:
+            rows = np.stack([np.asarray(batch.column(k), np.float64) for k in range(3)], axis=1)
+            for at in range(0, len(rows), 1000):
+                counts += (np.abs(rows[at : at + 1000] @ normals.T - offsets) <= reach).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts))), pa.array(counts)], names=["plane", "n"])
+
+    numbers = points.select(*[F.col(c).cast("double") for c in XYZ]).mapInArrow(run, "plane long, n long")
+    return {r["plane"]: r["n"] for r in numbers.groupBy("plane").agg(F.sum("n").alias("n")).collect()}
+
+
 def plane_search(
-    points: DataFrame, ident: str, hypotheses: int = 64, reach: float = 0.012, trim: float = 0.010,
-    rounds: int = 10, least: int = 10_000, least_share: float = 0.10, seed: int = 42,
+    points: DataFrame, ident: str, reach: float = 0.012, trim: float = 0.010, rounds: int = 10,
+    least: int = 10_000, least_share: float = 0.10, seed: int = 42, trials: tuple[int, int] = (128, 10_000), batch: int = 2048,
 ) -> dict | None:
-    """Dominant plane: all hypotheses are counted in one aggregation, then the best is refit.
+    """Dominant plane by random triplets in hash order; None when a gate fails.
 
-    Refitting alternates between the rows within ``trim`` and their moment fit until the
-    inlier count stands still.  Returns None when a gate fails.
+    Triplets are counted in batches, one pass over the points each: first the least number of trials, then what the
+    best share so far still asks for.  Refinement fits the rows within ``reach``, then only drops rows farther than ``trim`` from the
+    latest fit, at most ``rounds`` times (``converged`` tells whether it stood still); ``least`` and
+    ``least_share`` must hold before and after each step, and the 95th percentile of the distances within ``trim``.
+    The driver sees three rows per triplet of a batch and a few sums.
     """
-    planes = plane_hypotheses(points, ident, hypotheses, seed)
-    if not planes:
+    points = written(points.select(ident, *XYZ))
+    total = points.count()
+    if total < 3:
         return None
-    counts = points.agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(_distance(p) <= reach).alias(f"h{i}") for i, p in enumerate(planes)]
-    ).first()
-    best = max(range(len(planes)), key=lambda i: (counts[f"h{i}"], -i))
-    plane, seen = planes[best], -1
-    near = points.filter(_distance(plane) <= reach)
+    best, plane, tried, target = 0, None, 0, trials[1]
+    while tried < target:
+        # a batch's triplets are the lowest rows of a hash of its own
+        rank = F.xxhash64(F.lit(seed), F.lit(tried), F.col(ident))
+        size = trials[0] if tried == 0 else min(batch, target - tried)
+        rows = points.orderBy(rank, ident).limit(3 * size).collect()
+        planes = _planes(rows)
+        tried += max(1, len(rows) // 3)
+        if not planes:
+            continue
+        counts = _near_counts(points, planes, reach)
+        for i, candidate in enumerate(planes):
+            if counts.get(i, 0) > best:
+                best, plane = counts[i], candidate
+        target = trials_needed(best / total, *trials)
+        if best == total:
+            break
+    if plane is None:
+        return None
+    enough = lambda n: n >= least and n / total >= least_share
+    left = points.filter(_distance(plane) <= reach)
+    count, converged = best, False
     for _ in range(rounds):
-        m = moments(near, [], [plane[f"c{a}"] for a in XYZ]).first()
-        if m["n"] < 3:
+        if not enough(count) or count < 3:
             return None
-        plane = _solve(m)
-        near = points.filter(_distance(plane) <= trim)
-        inliers = near.count()
-        if inliers == seen:
+        plane = _solve(moments(left, [], [plane[f"c{a}"] for a in XYZ]).first())
+        kept = left.filter(_distance(plane) <= trim)
+        seen = kept.count()
+        converged = seen == count
+        left, count = kept, seen
+        if converged:
             break
-        seen = inliers
-    share = seen / counts["n"]
-    if seen < least or share < least_share:
+        left = written(left)
+    if not enough(count):
+        return None
+    p95 = quantiles(left.withColumn("__d", _distance(plane)), [], F.col("__d"), {"p": 0.95}).first()["p"]
+    if p95 is None or p95 > trim:
         return None
-    return {**plane, "inliers": seen, "share": share}
+    return {**plane, "inliers": count, "share": count / total, "trials": tried, "p95": float(p95), "converged": converged}
 
 
 def densest_bands(

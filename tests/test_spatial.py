@@ -114,7 +114,7 @@ def test_plane_search_and_fit(spark):
     flat = np.column_stack([rng.uniform(-1, 1, (300, 2)), rng.normal(0, 0.002, 300)])
     cloud = np.concatenate([flat, rng.uniform(-1, 1, (80, 3))]) + [100.0, 50.0, 7.0]
     df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(cloud)], "point_id long, x double, y double, z double")
-    plane = P.plane_search(df, "point_id", hypotheses=30, least=100)
+    plane = P.plane_search(df, "point_id", least=100)
     assert abs(plane["nz"]) > 0.999 and plane["inliers"] >= 300
     assert plane["cz"] == pytest.approx(7.0, abs=0.01)
     fit = P.plane_fit(df.filter("point_id < 300"), []).first()
@@ -122,7 +122,23 @@ def test_plane_search_and_fit(spark):
     normal = np.linalg.svd(centred)[2][2]
     assert abs(normal @ np.array([fit["nx"], fit["ny"], fit["nz"]])) > 0.9999
     assert not P.plane_fit(df.filter("point_id < 2"), []).first()["fitted"]
-    assert P.plane_search(df, "point_id", hypotheses=10, least=100_000) is None
+    assert P.plane_search(df, "point_id", least=100_000) is None
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_plane_of_a_small_share_is_found_on_every_seed(spark, seed):
+    """A plane with 12 % of the rows needs thousands of triplets."""
+    rng = np.random.default_rng(9)
+    flat = np.column_stack([rng.uniform(-1, 1, (1200, 2)), np.full(1200, 0.2)])
+    cloud = np.concatenate([flat, rng.uniform(-1, 1, (8800, 3))])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(cloud)], "point_id long, x double, y double, z double")
+    plane = P.plane_search(df, "point_id", least=1000, seed=seed)
+    assert abs(plane["nz"]) > 0.999 and plane["inliers"] >= 1200 and plane["trials"] > 128 and plane["p95"] <= 0.01
+
+
+def test_trials_follow_the_share():
+    assert P.trials_needed(0.9, 128, 10_000) == 128 and P.trials_needed(0.01, 128, 10_000) == 10_000
+    assert P.trials_needed(0.12, 128, 10_000) == int(np.ceil(np.log(0.001) / np.log(1 - 0.12**3)))
 
 
 def test_densest_bands(spark):
