@@ -124,7 +124,12 @@ def nearest_second(rows: DataFrame, ts: str, ident: str, step: float = 1.0) -> D
     after it; the earlier row wins a tie.
     """
     t0, t1 = rows.agg(F.min(ts), F.max(ts)).first()
-    targets = rows.sparkSession.range(int((t1 - t0) // step) + 1).select(
+    if t0 is None:  # no rows, no targets
+        t0 = t1 = 0.0
+        targets = rows.sparkSession.range(0)
+    else:
+        targets = rows.sparkSession.range(int((t1 - t0) // step) + 1)
+    targets = targets.select(
         F.col("id").alias("second"), (F.lit(t0) + F.col("id") * float(step)).alias("__pos")
     )
     packed = F.struct(F.col(ts).alias("t"), F.col(ident).alias("i"))

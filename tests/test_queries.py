@@ -11,6 +11,8 @@ import __spark_entry__ as entry  # noqa: E402
 import check  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
+# Nothing qualifies on the smallest test set; other tests hold rows for these.
+SPARSE: set[str] = set()
 # Long chains of small jobs; their operators are tested on small inputs in the other modules.
 SLOW = {"guarded_filter", "complete_link", "dbscan", "densest_band", "plane_search"}
 
@@ -27,7 +29,7 @@ def test_registry_is_consistent():
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
 def test_query(spark, con, name):
     out = check.compare(spark, con, name, SF)
-    assert out == "" or out == "EMPTY" or out.startswith("(rows only"), out
+    assert out == "" or out.startswith("(rows only") or (out == "EMPTY" and name in SPARSE), out
 
 
 def test_entry(spark):

@@ -68,3 +68,9 @@ def test_medians_agree(rows):
     cols = {"a": F.col("v"), "b": F.col("id")}
     key = lambda df: sorted((str(r["k"]), r["a"], r["b"]) for r in df.filter("k IS NOT NULL").collect())
     assert key(stats.medians(rows, ["k"], cols, fits=True)) == key(stats.medians(rows, ["k"], cols, fits=False))
+
+
+def test_nearest_second_of_an_empty_table(spark):
+    from polyview.operators.ordered import nearest_second
+
+    assert nearest_second(spark.createDataFrame([], "t double, i long"), "t", "i").collect() == []

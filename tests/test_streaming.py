@@ -43,13 +43,14 @@ def test_chunk_windows(spark, tmp_path):
 
 
 def test_first_arrivals(spark, tmp_path):
-    shards = [[(s, i % 12, START + dt.timedelta(seconds=s)) for i in range(s * 4, s * 4 + 8)] for s in range(3)]
-    schema = "shard int, key int, ts timestamp"
+    shards = [[(s, i % 12, START + dt.timedelta(seconds=s), f"{s}-{i}-{c}") for i in range(s * 4, s * 4 + 8) for c in range(2)] for s in range(3)]
+    schema = "shard int, key int, ts timestamp, row string"
     stream = feed(spark, tmp_path, shards, schema)
-    run(streams.first_arrivals(stream, "ts", ["key"], "1 hour"), "firsts", "append")
+    run(streams.first_arrivals(stream, "ts", ["key"], "shard", "1 hour"), "firsts", "append")
     everything = spark.createDataFrame([r for s in shards for r in s], schema)
-    want = {(r["key"], r["shard"]) for r in first_source_wins(everything, ["key"], "shard").collect()}
-    assert {(r["key"], r["shard"]) for r in spark.table("firsts").collect()} == want
+    full = lambda df: sorted((r["key"], r["shard"], r["row"]) for r in df.collect())
+    want = full(first_source_wins(everything, ["key"], "shard"))
+    assert len(want) > len({k for k, _, _ in want}) and full(spark.table("firsts")) == want
 
 
 def test_bottom_sample_and_stage_totals(spark, tmp_path):
@@ -59,11 +60,18 @@ def test_bottom_sample_and_stage_totals(spark, tmp_path):
     query = sample.start(stream, str(tmp_path / "cp"))
     query.processAllAvailable()
     query.stop()
+    spark.createDataFrame(events(120)[90:], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    sample = streams.BottomSample(str(tmp_path / "sample"), "event_id", 20)  # restarted from the checkpoint
+    query = sample.start(stream, str(tmp_path / "cp"))
+    query.processAllAvailable()
+    query.stop()
+    rows = events(120)
     everything = spark.createDataFrame(rows, SCHEMA)
+    assert len([p for p in (tmp_path / "sample").iterdir() if p.is_dir()]) == 2
     want = {r["event_id"] for r in bottom_k(everything, "event_id", 20).collect()}
-    assert {r["event_id"] for r in spark.read.parquet(sample.current).collect()} == want
+    assert {r["event_id"] for r in spark.read.parquet(sample.current(spark)).collect()} == want
     sample.merge(everything.limit(10), 99)
-    assert {r["event_id"] for r in spark.read.parquet(sample.current).collect()} == want
+    assert {r["event_id"] for r in spark.read.parquet(sample.current(spark)).collect()} == want
 
     run(streams.stage_totals(stream.withColumnRenamed("value", "wall")), "totals", "complete")
     got = {r["stage"]: (r["calls"], r["wall"]) for r in spark.table("totals").collect()}
