@@ -130,3 +130,24 @@ def batch_scorer(spark, d):
 
     docs = X.table(spark, d, "documents").select("doc_id", "text")
     return score_batches(docs, "doc_id", "text", predict).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("duplicate_ids", "SELECT user_id, event_type FROM events GROUP BY 1,2 HAVING count(*)>1")
+def duplicate_ids(spark, d):
+    return E.duplicate_ids(X.table(spark, d, "events").select("user_id", "event_type"), ["user_id", "event_type"])
+
+
+@query("class_mean", f"""WITH {HOTA}, pf AS (SELECT seq, alpha, {HFIN} FROM ss) SELECT alpha, round(avg(hota),9) AS hota, round(avg(det_a),9) AS det_a, round(avg(ass_a),9) AS ass_a FROM pf GROUP BY 1""")
+def class_mean(spark, d):
+    per, _ = E.hota(*_tracks(spark, d))
+    fields = ["hota", "det_a", "ass_a"]
+    return E.class_mean(per, ["alpha"], fields).withColumns({c: F.round(c, 9) for c in fields})
+
+
+@query("wrong_class_hits", f"""WITH {ALIGN} SELECT alpha, CAST(trk_id%3 AS BIGINT) AS trk_class, count(*) AS cls_fp FROM ht WHERE length(gt_id)%3<>trk_id%3 GROUP BY 1,2""")
+def wrong_class_hits(spark, d):
+    sim, gt, trk = _tracks(spark, d)
+    aligned = E.alignment(sim, gt, trk)
+    hit = E._by_alpha(E.step_matches(aligned, F.col("align") * F.col("sim")))
+    classed = hit.withColumns({"gt_class": F.length("gt_id") % 3, "trk_class": (F.col("trk_id") % 3).cast("long")})
+    return E.wrong_class_hits(classed)

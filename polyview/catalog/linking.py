@@ -146,3 +146,33 @@ def complete_link(spark, d):
 
     out = L.complete_link(pts, 0.06, gate)
     return out.select(F.col("node").alias("point_id"), F.col("part").alias("frame"), "cluster")
+
+
+LABELLED = "l AS (SELECT event_id, CASE WHEN user_id%11=0 THEN -1 WHEN user_id%101=7 THEN 9 ELSE user_id%3 END AS cluster FROM events)"
+
+
+def _labelled(spark, d):
+    user = F.col("user_id")
+    cluster = F.when(user % 11 == 0, -1).when(user % 101 == 7, 9).otherwise(user % 3)
+    return X.table(spark, d, "events").select("event_id", cluster.alias("cluster"))
+
+
+@query("main_cluster", f"""WITH {LABELLED}, s AS (SELECT cluster, count(*) AS n FROM l WHERE cluster>=0 GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY n DESC, cluster) AS r, sum(n) OVER () AS t FROM s)
+SELECT max(cluster) FILTER (r=1) AS cluster, max(n) FILTER (r=1) AS size, coalesce(max(n) FILTER (r=2),0) AS second,
+ coalesce(max(n) FILTER (r=2),0)>0 AND coalesce(max(n) FILTER (r=2),0)>=least(32, ceil(max(t)*0.2)) AS ambiguous FROM r""")
+def main_cluster(spark, d):
+    return L.main_cluster(_labelled(spark, d))
+
+
+@query("scene_clusters", f"""WITH {LABELLED}, s AS (SELECT cluster, count(*) AS n, sum(count(*)) OVER () AS t FROM l GROUP BY 1)
+SELECT event_id, l.cluster FROM l JOIN s ON l.cluster=s.cluster WHERE l.cluster>=0 AND n>=0.01*t""")
+def scene_clusters(spark, d):
+    return L.scene_clusters(_labelled(spark, d), 0.01).select("event_id", "cluster")
+
+
+@query("small_component_share", """WITH s AS (SELECT cluster, count(*) AS n FROM (SELECT user_id AS cluster FROM events) GROUP BY 1)
+SELECT count(*) AS components, max(n) AS largest, round(coalesce(sum(n) FILTER (n<100),0)/sum(n),9) AS small_share FROM s""")
+def small_component_share(spark, d):
+    parts = X.table(spark, d, "events").select(F.col("user_id").alias("component"))
+    return L.small_component_share(parts, 100).withColumn("small_share", F.round("small_share", 9))

@@ -8,6 +8,7 @@ from polyview import fixtures as X
 from polyview.catalog.registry import query, r6
 from polyview.operators import ordered as O
 from polyview.operators import sampling as S
+from polyview.plans.scan import along, number
 
 
 @query("avg_rank_pct", """SELECT c_custkey, round((rank() OVER (ORDER BY b)+(count(*) OVER (PARTITION BY b)-1)/2.0::DOUBLE-1)/(count(*) OVER ()-1),6) AS rank_pct
@@ -258,3 +259,28 @@ def systematic_sample(spark, d):
     quotas = px.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / 4).alias("quota"))
     out = S.systematic_sample(px, "tile", quotas, "w", [F.col("morton"), F.col("id")])
     return out.select("id", "tile", r6(F.col("probability"), "probability"))
+
+
+@query("frame_repair", """SELECT o_orderkey AS id FROM orders INTERSECT SELECT l_orderkey+5 FROM lineitem""")
+def frame_repair(spark, d):
+    a = X.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    return O.aligned_ids(a, X.table(spark, d, "lineitem").select((F.col("l_orderkey") + 5).alias("id")), "id")
+
+
+FRAMES = "f AS (SELECT o_custkey AS video, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)-1 AS i FROM orders)"
+
+
+def _order_frames(spark, d):
+    orders = X.table(spark, d, "orders").select(F.col("o_custkey").alias("video"), "o_orderkey")
+    numbered = along(orders, ["video"], [F.col("o_orderkey")], {"r": number()})
+    return numbered.select("video", (F.col("r") - 1).cast("int").alias("i"))
+
+
+@query("pair_plan_all", f"""WITH {FRAMES} SELECT a.video, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j FROM f a JOIN f b ON a.video=b.video AND a.i<>b.i""")
+def pair_plan_all(spark, d):
+    return O.frame_pairs(_order_frames(spark, d), ["video"], "i", "all").select("video", "i", "j")
+
+
+@query("pair_plan_combinations", f"""WITH {FRAMES} SELECT a.video, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j FROM f a JOIN f b ON a.video=b.video AND a.i<b.i""")
+def pair_plan_combinations(spark, d):
+    return O.frame_pairs(_order_frames(spark, d), ["video"], "i", "combinations").select("video", "i", "j")

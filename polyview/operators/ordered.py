@@ -180,7 +180,10 @@ def aligned_ids(a: DataFrame, b: DataFrame, ident: str) -> DataFrame:
 
 
 def frame_pairs(frames: DataFrame, keys: Sequence[str], index: str, mode: str, width: int = 1) -> DataFrame:
-    """Planned frame pairs: ``next`` ring, or ``window`` of following frames."""
+    """Planned frame pairs: ``next`` ring, ``window`` of following frames, ``all`` ordered pairs, or ``combinations``.
+
+    The last two are quadratic in a sequence's frames by definition.
+    """
     sized = along(frames, keys, [F.col(index)], {"__n": group_size()})
     i = F.col(index)
     if mode == "next":
@@ -192,6 +195,8 @@ def frame_pairs(frames: DataFrame, keys: Sequence[str], index: str, mode: str, w
     if mode == "all":
         every = F.sequence(F.lit(0), F.col("__n").cast("int") - 1)
         return sized.select(*keys, i.alias("i"), F.explode(every).alias("j")).filter("i <> j")
+    if mode == "combinations":
+        return sized.filter(i + 1 < F.col("__n")).select(*keys, i.alias("i"), F.explode(F.sequence(i + 1, F.col("__n").cast("int") - 1)).alias("j"))
     raise ValueError(f"unknown pair mode {mode}")
 
 
