@@ -160,11 +160,25 @@ def leave_one_out(spark, d):
     return out.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("mean", "mean_delta", "extent_delta")})
 
 
-@query("gate_table", """WITH s AS (SELECT s_suppkey, count(l_orderkey) AS n, avg(l_quantity) AS q, max(s_acctbal) AS bal FROM supplier LEFT JOIN lineitem ON l_suppkey=s_suppkey GROUP BY 1),
+GATES = """s AS (SELECT s_suppkey, count(l_orderkey) AS n, avg(l_quantity) AS q, max(s_acctbal) AS bal FROM supplier LEFT JOIN lineitem ON l_suppkey=s_suppkey GROUP BY 1),
 g AS (SELECT *, n>=600 AS a, coalesce(q>=25.4,false) AS b, bal>0 AS c FROM s),
 h AS (SELECT s_suppkey, round(CAST(a AS INTEGER)+CAST(b AS INTEGER)+CAST(c AS INTEGER)+least(1,greatest(0,bal/10000))*0.01+least(1,n/1000)*0.001,9) AS score, a AND b AND c AS eligible,
- concat_ws(',', CASE WHEN NOT a THEN 'rows' END, CASE WHEN NOT b THEN 'quantity' END, CASE WHEN NOT c THEN 'balance' END) AS failed FROM g)
-SELECT *, CASE WHEN eligible THEN row_number() OVER (PARTITION BY eligible ORDER BY score DESC, s_suppkey) END AS rank FROM h""")
+ concat_ws(',', CASE WHEN NOT a THEN 'rows' END, CASE WHEN NOT b THEN 'quantity' END, CASE WHEN NOT c THEN 'balance' END) AS failed FROM g),
+gt AS (SELECT *, CASE WHEN eligible THEN row_number() OVER (PARTITION BY eligible ORDER BY score DESC, s_suppkey) END AS rank FROM h)"""
+
+
+@query("gated_choice", f"""WITH {GATES}, n AS (SELECT *, CASE WHEN s_suppkey%3=0 THEN [1.0,0.0,0.0] WHEN s_suppkey%3=1 THEN [0.0,0.6,0.8] ELSE [0.0,0.8,0.6] END AS v FROM gt WHERE eligible),
+b AS (SELECT * FROM n WHERE rank=1)
+SELECT b.s_suppkey, coalesce(bool_or(n.s_suppkey<>b.s_suppkey AND abs(list_inner_product(n.v,b.v))<0.95 AND n.score>=0.95*b.score), false) AS ambiguous,
+ count(*) FILTER (n.s_suppkey<>b.s_suppkey AND abs(list_inner_product(n.v,b.v))<0.95 AND n.score>=0.95*b.score) AS rivals FROM n, b GROUP BY 1""")
+def gated_choice(spark, d):
+    side = F.col("s_suppkey") % 3
+    pick = lambda *v: F.when(side == 0, v[0]).when(side == 1, v[1]).otherwise(v[2])
+    normals = {"nx": pick(1.0, 0.0, 0.0), "ny": pick(0.0, 0.6, 0.8), "nz": pick(0.0, 0.8, 0.6)}
+    return R.gated_choice(gate_table(spark, d).withColumns(normals), "s_suppkey", list(normals))
+
+
+@query("gate_table", f"WITH {GATES} SELECT * FROM gt")
 def gate_table(spark, d):
     lines = X.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
         F.count("l_orderkey").alias("n"), F.avg("l_quantity").alias("q")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -30,7 +31,12 @@ class FilterOptions:
     least_rows: int = 1_000
 
     def __post_init__(self):
-        if not 0 < self.keep_share <= 1 or not 0 <= self.plane_side <= 0.5 or self.eps <= 0 or self.neighbours < 1:
+        counts = (self.neighbours, self.least_core, self.plane_least, self.least_rows)
+        shares = (self.keep_share, self.cluster_share, self.plane_share)
+        lengths = (self.sigmas, self.eps, self.plane_reach)
+        good = all(isinstance(c, int) and c >= 1 for c in counts) and all(0 <= s <= 1 for s in shares) and self.keep_share > 0
+        good &= all(math.isfinite(x) and x > 0 for x in lengths) and 0 <= self.plane_side <= 0.5
+        if not good:
             raise ValueError("filter options out of range")
 
 

@@ -207,6 +207,22 @@ def gate_table(rows: DataFrame, ident: str, gates: dict[str, Column], tie_terms:
     return out.join(ranked.select(ident, "rank"), ident, "left")
 
 
+def gated_choice(
+    gated: DataFrame, ident: str, normal: Sequence[str], near: float = 0.95, close: float = 0.95
+) -> DataFrame:
+    """The first eligible candidate of a ``gate_table`` with unit normals, and whether it is ambiguous.
+
+    It is, if another eligible candidate of a different orientation (cosine under ``near``) scores at least ``close``
+    of the best.  Without eligible candidates there is no row.
+    """
+    fit = gated.filter("eligible")
+    best = fit.agg(F.min_by(F.struct(ident, "score", *normal), F.col("rank")).alias("b"))
+    paired = fit.withColumn("b", best.scalar())
+    cosine = F.abs(sum((F.col(n) * F.col(f"b.{n}") for n in normal), F.lit(0.0)))
+    rival = (F.col(ident) != F.col(f"b.{ident}")) & (cosine < near) & (F.col("score") >= close * F.col("b.score"))
+    return paired.groupBy(F.col(f"b.{ident}").alias(ident)).agg(F.bool_or(rival).alias("ambiguous"), F.count_if(rival).alias("rivals"))
+
+
 def cell_spread(rows: DataFrame, method: str, cell: Sequence[str], height: str, reference: DataFrame, least: int = 3) -> DataFrame:
     """P90 - P10 of heights per (method, cell) on cells every method measured."""
     cells = list(cell)

@@ -168,3 +168,30 @@ def test_coplanar_score(spark):
     out = P.candidate_scores(hits, refs, tgts, "frame", 0.3, 2.0, normals=True).collect()
     assert len(out) == 1 and out[0]["box_id"] == 7
     assert out[0]["score"] == pytest.approx(0.5 + 0.2 * 0.5 + 0.3 * 0.75)
+
+
+def test_guarded_filter(spark):
+    from polyview.operators.cleaning import FilterOptions, guarded_filter
+
+    rng = np.random.default_rng(6)
+    block = rng.uniform(0, 0.3, (400, 3)) + [0, 0, 0.2]
+    ground = np.column_stack([rng.uniform(-0.2, 0.5, (900, 2)), rng.normal(0, 0.001, 900)])
+    cloud = np.concatenate([block, ground, [[40.0, 0, 0], [0, 50.0, 0], [9.0, 9.0, 9.0]]])
+    rows = [(i, *map(float, p), i == len(cloud) - 1) for i, p in enumerate(cloud)]
+    df = spark.createDataFrame(rows, "point_id long, x double, y double, z double, protected boolean")
+    options = FilterOptions(eps=0.15, plane_least=500, plane_reach=0.01, least_rows=100)
+    kept, report = guarded_filter(df, options)
+    ids = {r["point_id"] for r in kept.select("point_id").collect()}
+    assert [r["status"] for r in report] == ["applied"] * 3
+    assert len(ids & set(range(400))) > 360 and not ids & {1300, 1301} and 1302 in ids and len(ids & set(range(400, 1300))) < 20
+    same, report = guarded_filter(df, FilterOptions(least_rows=5000))
+    assert same.count() == len(cloud) and report[0]["status"] == "too_few"
+
+
+@pytest.mark.parametrize("bad", [{"neighbours": 0}, {"sigmas": float("nan")}, {"eps": -1.0}, {"least_core": 0}, {"cluster_share": 2.0}, {"plane_reach": 0.0},
+                                 {"plane_least": 0}, {"plane_share": -0.1}, {"plane_side": 0.6}, {"keep_share": 0.0}, {"least_rows": 0}])
+def test_filter_options_are_checked(bad):
+    from polyview.operators.cleaning import FilterOptions
+
+    with pytest.raises(ValueError):
+        FilterOptions(**bad)
