@@ -35,7 +35,7 @@ from polyview.llm.common import append, without
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 EDGE = re.compile(r"(?<=\S)(?= \S)")
 WIDE = re.compile(r"\s | \s|^\s|\s$")
-CACHE = 300_000  # chunks a worker remembers before it starts anew
+CACHE = 200_000  # chunks a task remembers before it starts anew
 SHORT = 48  # bytes; longer words merge one by one through a heap
 NEVER = np.iinfo(np.int64).max
 
@@ -227,10 +227,14 @@ class Codec:
         parts = EDGE.split(text)
         return [(False, [parts[0], *[p[1:] for p in parts[1:]]])]
 
+    def forget(self) -> None:
+        """Drop what a task has remembered: workers outlive their tasks and serve other operators too."""
+        self.chunks = ({}, {})
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
         if sum(map(len, self.chunks)) > CACHE:
-            self.chunks = ({}, {})
+            self.forget()
         cut = []
         for text in texts:
             if not text:
@@ -296,6 +300,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
     def run(batches):
         for batch in batches:
             yield [_lists(codec(vocabulary).encode(_texts(batch.column(batch.schema.names.index(text)))))]
+        codec(vocabulary).forget()
 
     return append(without(df, [ids]), [T.StructField(ids, T.ArrayType(T.IntegerType()))], run)
 
@@ -318,6 +323,7 @@ def round_trip(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "i
             own = codec(vocabulary)
             found = own.encode(_texts(batch.column(batch.schema.names.index(text))))
             yield [_lists(found), pa.array([own.decode(x) for x in found], pa.string())]
+        codec(vocabulary).forget()
 
     fields = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())]
     return append(without(df, [ids, decoded]), fields, run)

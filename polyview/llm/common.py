@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from polyview.session import cut_counted, prepare
 
-ARROW_ROWS = 2000  # rows an Arrow batch may hold: texts of 100 kB each still fit a worker
+ARROW_ROWS = 500  # rows an Arrow batch may hold: texts of 100 kB each still fit a worker next to its copies
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

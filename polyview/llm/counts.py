@@ -127,6 +127,7 @@ def with_counts(df: DataFrame, pieces: str, text: str = "text") -> DataFrame:
     def run(batches):
         for batch in batches:
             yield [pa.array(x, pa.int64()) for x in token_counts(batch.column(batch.schema.names.index(text)), trie(pieces))]
+        trie(pieces).clear()  # workers outlive their tasks and serve other operators too
 
     names = ["n_tokens", "n_pretokens"]
     return append(without(df, names), [T.StructField(n, T.LongType()) for n in names], run)
