@@ -42,6 +42,7 @@ from polyview.session import cut, cut_counted
 WIDTH = 5
 SET = ["n_shingles", "set_a", "set_b"]
 BLOCK = 256  # sets of one key that a worker compares at once
+KEY_SHARES = 4  # packs over which the keys of one lowest set are spread
 FEW = 2_000_000  # ids that may be broadcast: 16 MB
 _ONE = np.uint64(1)
 
@@ -287,15 +288,17 @@ def _unrefused(rows: DataFrame) -> DataFrame:
     """Pairs across components of one key that the sketches can't refuse, block by block.
 
     ``rows(key, doc, comp, n, bits)``.  Keys with over ``BLOCK`` sets are dealt into blocks, and each two blocks are
-    compared apart from the others, so no key is ever gathered whole; small keys share packs.
+    compared apart from the others, so no key is ever gathered whole.  Keys with one lowest set share few packs, where
+    a pair that meets in many of them comes up once; they are at most as many as that set lists.
     """
     packs = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("doc").alias("lowest"))
     dealt = rows.join(sizes, "key").withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    dealt = dealt.select(F.pmod(F.xxhash64("key", "i", "j"), F.lit(packs)).alias("pack"), "key", "i", "j", "own", "doc", "comp", "n", "bits")
+    near = F.xxhash64("lowest", F.pmod("key", F.lit(KEY_SHARES)), "i", "j")
+    dealt = dealt.select(F.pmod(near, F.lit(packs)).alias("pack"), "key", "i", "j", "own", "doc", "comp", "n", "bits")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
