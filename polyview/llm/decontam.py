@@ -81,10 +81,13 @@ def by_blocks(df: DataFrame, mark: str = "mark") -> DataFrame:
     return df.withColumn("__b", F.explode(blocks)).select(*df.columns, "__b.block", "__b.bits")
 
 
-def _tagged(values: Column, width: int) -> Column:
-    """The shingles of a word array, the n-th of equal ones marked with n: a multiset as a set."""
-    whole = F.transform(F.sequence(F.lit(1), F.size(values) - width + 1), lambda i: F.concat_ws(" ", F.slice(values, i, width)))
-    return F.transform(whole, lambda s, i: F.struct(s.alias("s"), F.size(F.filter(F.slice(whole, F.lit(1), i), lambda o: o == s)).alias("k")))
+def _shingles(values: Column, width: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size(values) - width + 1), lambda i: F.concat_ws(" ", F.slice(values, i, width)))
+
+
+def _tagged(name: str) -> Column:
+    """The shingles in column ``name``, the n-th of equal ones marked with n: a multiset as a set."""
+    return F.transform(name, lambda s, i: F.struct(s.alias("s"), F.size(F.filter(F.slice(name, F.lit(1), i), lambda o: o == s)).alias("k")))
 
 
 def _parts(df: DataFrame, key: str) -> list[DataFrame]:
@@ -123,7 +126,9 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         first = F.coalesce(*[F.when(_block(apart, b) == 0, F.lit(b)) for b in range(RADIUS + 1)])
         near = by_blocks(marked).join(blocks, ["n", "block", "bits"]).filter((F.bit_count(apart) <= RADIUS) & (F.col("block") == first))
         pairs = near.select("doc_id", "item_id", "start", "window").join(listed.select("item_id", "item_words"), "item_id")
-        shared = F.size(F.array_intersect(_tagged(F.col("window"), width), _tagged(F.col("item_words"), width)))
+        # columns of their own: inside the marking they would be built again for every shingle
+        pairs = pairs.withColumns({"__w": _shingles(F.col("window"), width), "__i": _shingles(F.col("item_words"), width)})
+        shared = F.size(F.array_intersect(_tagged("__w"), _tagged("__i")))
         total = F.size("window") + F.size("item_words") - 2 * (width - 1)
         scored = pairs.select("doc_id", "item_id", "start", shared.alias("n_shared"), total.alias("__total"))
         found.append(scored.select("doc_id", "item_id", "start", "n_shared", (F.col("__total") - F.col("n_shared")).alias("n_union")))
