@@ -1,8 +1,11 @@
 """Sequential scans per group, streamed: rows of a group pass in order, only small state is kept.
 
 Rows are dealt by group and sorted within partitions, which spills instead of growing; Arrow
-batches then stream through the scan.  A group's rows are never held together: a matching keeps the ends it has
-used, clusters keep their members.  One path for every size, and the result is the sequential scan by construction.
+batches then stream through the scan.  A matching keeps the ends it has used, clusters keep their members.
+
+A decision depends only on earlier edges of its connected component.  So a group beyond ``scan``'s limit of rows is
+scanned component by component, and a component that is beyond it by itself takes the rounds of ``plans/rounds``
+over all tasks: no scan keeps more than the limit's edges, and every path gives the sequential result.
 """
 
 from __future__ import annotations
@@ -13,17 +16,42 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polyview.plans import rounds
+from polyview.plans.scan import window_limit
+from polyview.session import cut, cut_counted
+
+KEYS = ["__g", "__a", "__b"]
+
+
+def _parted(edges: DataFrame, groups: Sequence[Column | str], a: str, b: str) -> tuple[DataFrame, DataFrame | None]:
+    """Edges to scan, and those of components beyond the limit (none: no such component).
+
+    Both get text forms of the scan's group ``__g`` (the group, or one of its components) and of the ends ``__a`` and
+    ``__b``, which differ between groups.
+    """
+    limit = window_limit(edges)
+    named = edges.withColumn("__g", F.to_json(F.struct(*[F.col(g) if isinstance(g, str) else g for g in groups])))
+    keyed = cut(named.withColumns({k: F.to_json(F.struct(F.col("__g").alias("g"), F.col(c).alias("v"))) for k, c in (("__a", a), ("__b", b))}))
+    beyond, count = cut_counted(keyed.groupBy("__g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("__g"))
+    if not count:
+        return keyed, None
+    wide = keyed.join(beyond, "__g", "left_semi")
+    nodes = wide.select(F.col("__a").alias("node"), F.struct(*keyed.columns).alias("row"))
+    parts = cut(rounds.components(nodes, wide.select(F.col("__a").alias("a"), F.col("__b").alias("b"))).select("component", "row"))
+    beyond_too, count = cut_counted(parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("component"))
+    split = parts.join(beyond_too, "component", "left_anti").select("row.*", "component")
+    scanned = keyed.join(beyond, "__g", "left_anti").unionByName(split.withColumn("__g", F.col("component")).drop("component"))
+    return scanned, parts.join(beyond_too, "component", "left_semi").select("row.*") if count else None
+
 
-def _dealt(rows: DataFrame, groups: Sequence[Column | str], keys: dict[str, str], order: Sequence[Column | str]) -> DataFrame:
-    """``rows`` in group and scan order, with text forms of the group and of the named columns."""
-    text = {name: F.to_json(F.struct(F.col(column).alias("v"))) for name, column in keys.items()}
-    keyed = rows.withColumns({"__g": F.to_json(F.struct(*[F.col(g) if isinstance(g, str) else g for g in groups])), **text})
-    return keyed.repartition("__g").sortWithinPartitions("__g", *order)
+def _dealt(rows: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """``rows`` in group and scan order."""
+    return rows.repartition("__g").sortWithinPartitions("__g", *order)
 
 
-def _filtered(dealt: DataFrame, drop: Sequence[str], fresh, keep) -> DataFrame:
+def _filtered(dealt: DataFrame, fresh, keep) -> DataFrame:
     """The rows that ``keep(state, *row's text forms)`` accepts; ``fresh()`` is the state of a new group."""
-    names = ["__g", *drop]
+    names = KEYS
 
     def run(batches):
         group, state = None, fresh()
@@ -47,7 +75,13 @@ def matched(edges: DataFrame, groups: Sequence[Column | str]) -> DataFrame:
             used.update((a, b))
         return free
 
-    return _filtered(_dealt(edges, groups, {"__a": "a", "__b": "b"}, ["p"]), ["__a", "__b"], set, keep)
+    scanned, large = _parted(edges, groups, "a", "b")
+    found = _filtered(_dealt(scanned, ["p"]), set, keep)
+    if large is None:
+        return found
+    row = F.struct(*edges.columns)
+    ranked = large.select(F.struct("p", F.to_json(row).alias("t")).alias("p"), F.col("__a").alias("a"), F.col("__b").alias("b"), row.alias("row"))
+    return found.unionByName(rounds.greedy_match(ranked).select("row.*"))
 
 
 def suppressed(edges: DataFrame, groups: Sequence[Column | str], order: Sequence[Column | str]) -> DataFrame:
@@ -58,16 +92,22 @@ def suppressed(edges: DataFrame, groups: Sequence[Column | str], order: Sequence
             lost.add(worse)
         return new
 
-    scanned = _filtered(_dealt(edges, groups, {"__a": "better", "__b": "worse"}, order), ["__a", "__b"], set, keep)
-    return scanned.select(F.col("worse").alias("node"))
+    scanned, large = _parted(edges, groups, "better", "worse")
+    found = _filtered(_dealt(scanned, order), set, keep).select(F.col("worse").alias("node"))
+    if large is None:
+        return found
+    lost = rounds.suppress(large.select(F.col("__a").alias("better"), F.col("__b").alias("worse"))).select(F.col("node").alias("__b"))
+    ends = large.select(F.col("worse").alias("node"), "__b").dropDuplicates(["__b"])
+    return found.unionByName(ends.join(lost, "__b", "left_semi").select("node"))
 
 
 def clustered(edges: DataFrame, groups: Sequence[Column | str]) -> DataFrame:
     """``(node, cluster)`` of nodes that ``edges(p, a, a_part, b, b_part)`` reach: an edge merges two clusters unless
     they share a part.  A cluster is named by its lowest node."""
     kind = edges.schema["a"].dataType
-    dealt = _dealt(edges, groups, {"__a": "a", "__b": "b", "__x": "a_part", "__y": "b_part"}, ["p"])
-    dealt = dealt.select("__g", "__a", "__b", "__x", "__y", "a", "b")
+    text = {k: F.to_json(F.struct(F.col(c).alias("v"))) for k, c in (("__x", "a_part"), ("__y", "b_part"))}
+    scanned, large = _parted(edges, groups, "a", "b")
+    dealt = _dealt(scanned.withColumns(text), ["p"]).select(*KEYS, "__x", "__y", "a", "b")
 
     def run(batches):
         group: str | None = None
@@ -108,4 +148,9 @@ def clustered(edges: DataFrame, groups: Sequence[Column | str]) -> DataFrame:
     schema = T.StructType([T.StructField("node", kind), T.StructField("root", T.StringType())])
     found = dealt.mapInArrow(run, schema)
     lowest = found.groupBy("root").agg(F.min("node").alias("cluster"))
-    return found.join(lowest, "root").select("node", "cluster")
+    grown = found.join(lowest, "root").select("node", "cluster")
+    if large is None:
+        return grown
+    ends = [large.select(F.col(e).alias("node"), F.col(f"{e}_part").alias("part")) for e in ("a", "b")]
+    members = rounds.constrained_clusters(ends[0].union(ends[1]).distinct(), large.select("p", "a", "b"))
+    return grown.unionByName(members.select("node", "cluster"))

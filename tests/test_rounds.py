@@ -212,6 +212,48 @@ def test_folds_equal_rounds(spark, seed):
     assert key(folds.matched(edges.limit(0), [F.lit(0)])) == key(rounds.greedy_match(edges.limit(0))) == []
 
 
+@pytest.mark.parametrize("limit", [0, 12])
+def test_no_scan_holds_more_than_the_limit(spark, monkeypatch, limit):
+    """One sequence of many small components and a large one: every scan stays within the limit, results stay sequential."""
+    from polyview.plans import folds, scan
+
+    rnd = random.Random(12)
+    raw = [(r, i, a, b) for i, (r, _, a, b) in enumerate(edges_of(11, 40, 90) + [(rnd.randrange(6), 0, a + s, b + s) for s in range(100, 400, 10) for _, _, a, b in edges_of(s, 6, 7)])]
+    part = {n: rnd.randrange(9) for n in {x for e in raw for x in e[2:]}}
+    real, most = folds._dealt, [0]
+
+    def spy(*given):
+        out = real(*given)
+        most[0] = max([most[0], *(r["count"] for r in out.groupBy("__g").count().collect())])
+        return out
+
+    monkeypatch.setattr(folds, "_dealt", spy)
+    spark.conf.set(scan.LIMIT_SETTING, str(limit))
+    try:
+        edges = frame(spark, raw)
+        used, want = set(), set()
+        for _, _, a, b in sorted(raw):
+            if a not in used and b not in used:
+                used |= {a, b}
+                want.add((a, b))
+        assert {(r["a"], r["b"]) for r in folds.matched(edges, [F.lit(0)]).collect()} == want
+        gone = set()
+        for n in sorted(part):
+            if n not in gone:
+                gone |= {max(a, b) for _, _, a, b in raw if min(a, b) == n}
+        conflicts = edges.select(F.least("a", "b").alias("better"), F.greatest("a", "b").alias("worse"))
+        assert sorted(r["node"] for r in folds.suppressed(conflicts, [F.lit(0)], ["better"]).collect()) == sorted(gone)
+        nodes = spark.createDataFrame([(n, p, "v") for n, p in part.items()], "node long, part int, video string")
+        links = spark.createDataFrame([(a, b, -float(r), i) for r, i, a, b in raw], "a long, b long, hit_ratio double, seq int")
+        home = sequential_clusters(list(part), part, raw)
+        order = {c: k + 1 for k, c in enumerate(sorted(set(home.values())))}
+        got = L.global_ids(nodes, links, "hit_ratio", "seq", "video").collect()
+        assert {r["node"]: (r["global_id"], r["removed"]) for r in got} == {n: (order[c], n != c) for n, c in home.items()}
+    finally:
+        spark.conf.unset(scan.LIMIT_SETTING)
+    assert most[0] <= limit
+
+
 @pytest.mark.parametrize("sizes,ambiguous", [([100, 21], False), ([100, 25], True), ([100], False), ([300, 32], True)])
 def test_main_cluster_compares_with_all_clustered_rows(spark, sizes, ambiguous):
     rows = [(c,) for c, n in enumerate(sizes) for _ in range(n)] + [(-1,)] * 50
