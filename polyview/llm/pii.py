@@ -13,7 +13,8 @@ that what is known at one place holds for its repetitions.  Tokens that no base
 marginal for a kind reaches ``SURE`` become further spans; neighbours of one kind join.  Base spans always stay.
 
 The field learns from the tokens of at most ``SAMPLE`` texts (lowest in hash order of the id, of those
-with a digit or ``@``), labelled by the base spans.  Scoring covers whole texts.
+with a digit or ``@``; the lowest text of a repeated id), labelled by the base spans.  The executors count shapes, labels and
+label pairs; no text goes to the driver.  Scoring covers whole texts.
 
 Defined cases: null texts count as empty and have no spans; repeated rows get the same spans; without any
 token in the sample only base spans are found.
@@ -22,6 +23,8 @@ token in the sample only base spans are found.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -182,30 +185,45 @@ class Field:
     skip: np.ndarray
 
 
+def tally(g: Graph) -> Counter:
+    """How often each token shape and label occurs (keys ``(0, *shape, label)``), and the labels of chain (1) and skip (2) edges."""
+    label = np.maximum(g.fixed, 0)
+    found = Counter((0, *s, y) for s, y in zip(g.shapes.tolist(), label.tolist(), strict=True))
+    for kind, edges in ((1, g.chain), (2, g.skip)):
+        found.update((kind, *pair) for pair in label[edges].tolist())
+    return found
+
+
 def fit(g: Graph) -> Field:
+    """``fit_tally`` of a graph."""
+    return fit_tally(tally(g))
+
+
+def fit_tally(found: Mapping[tuple[int, ...], int]) -> Field:
     """Softmax regression on the shapes; edge potentials from how often labels meet, beyond chance."""
     count = len(KINDS) + 1
-    label = np.maximum(g.fixed, 0)
+    rows = {kind: sorted((*key[1:], n) for key, n in found.items() if key[0] == kind) for kind in range(3)}
+    table = np.array(rows[0], np.int64).reshape(-1, len(SIZES) + 2)
+    shapes, label, weight = table[:, :-2], table[:, -2], table[:, -1].astype(np.float64)
     unary = np.zeros((sum(SIZES), count))
     if len(label):
-        shapes, back = np.unique(np.column_stack([g.shapes, label]), axis=0, return_inverse=True)
-        weight = np.bincount(back.ravel()).astype(np.float64)
-        x, y = shape_columns(shapes[:, :-1]), np.eye(count)[shapes[:, -1]]
+        x, y = shape_columns(shapes), np.eye(count)[label]
         for step in range(400):
             p = np.exp(_normal(x @ unary))
             grad = x.T @ ((p - y) * weight[:, None]) / weight.sum() + 1e-4 * unary
             unary -= (4.0 if step < 300 else 1.0) * grad
-    share = np.bincount(label, minlength=count) + 1.0
+    share = np.bincount(label, weight, minlength=count) + 1.0
     share /= share.sum()
 
-    def beyond_chance(edges: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    def beyond_chance(kind: int, prior: np.ndarray) -> np.ndarray:
         seen = prior.copy()
-        np.add.at(seen, (label[edges[:, 0]], label[edges[:, 1]]), 1)
+        for a, b, n in rows[kind]:
+            seen[a, b] += n
         seen = (seen + seen.T) / (2 * seen.sum())
         return np.clip(np.log(seen / np.outer(share, share)), -4, 4)
 
     even = np.outer(share, share) * count
-    return Field(unary, beyond_chance(g.chain, even), beyond_chance(g.skip, even + 4 * np.diag(share)))
+    return Field(unary, beyond_chance(1, even), beyond_chance(2, even + 4 * np.diag(share)))
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -261,12 +279,21 @@ def all_spans(field: Field, texts: list[str]) -> tuple[list[list[tuple[str, int,
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field from the base spans of at most ``sample`` whole texts."""
+    """A field from the base spans of at most ``sample`` whole texts, one per id."""
     some = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]"))
     ids = some.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = some.join(F.broadcast(ids), "doc_id").select("doc_id", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    texts = rows.column("text").to_pylist()
-    return fit(graph(texts, [base_spans(t) for t in texts]))
+    texts = some.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("text")
+
+    def run(batches):
+        for batch in batches:
+            found: Counter = Counter()
+            for value in batch.column(0):
+                text = value.as_py()
+                found.update(tally(graph([text], [base_spans(text)])))
+            yield pa.RecordBatch.from_arrays([pa.array(map(list, found), pa.list_(pa.int32())), pa.array(found.values(), pa.int64())], names=["key", "n"])
+
+    counted = texts.mapInArrow(run, "key array<int>, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    return fit_tally({tuple(k): n for k, n in zip(counted.column("key").to_pylist(), counted.column("n").to_pylist(), strict=True)})
 
 
 def find(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:

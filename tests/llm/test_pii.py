@@ -109,3 +109,16 @@ def test_odd_rows(spark, field):
     assert masked[:4] == [None, "", "", "[EMAIL]"] and masked[4].endswith("é [EMAIL]")
     empty = pii.train(df.filter("doc_id > 9"))
     assert [len(r["added"]) for r in pii.find(df, empty).collect()] == [0] * 5
+
+
+def test_training_takes_one_row_per_id_and_brings_no_text(spark, monkeypatch):
+    texts = [f"call +1 555 {k:03d} {k * 37 % 10000:04d} or 1555{k:03d}{k * 37 % 10000:04d} mail x{k}@mail.example.com 2{k}" for k in range(40)]
+    rows = list(enumerate(texts)) + [(7, texts[7])] * 200 + [(7, texts[7] + " " + "9" * 5000 + " a1")]
+    brought = []
+    real = type(spark.range(1)).toArrow
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", lambda df: brought.append(real(df)) or brought[-1])
+    got = pii.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = pii.fit(pii.graph(texts, [pii.base_spans(t) for t in texts]))
+    for one, two in ((got.unary, want.unary), (got.chain, want.chain), (got.skip, want.skip)):
+        np.testing.assert_allclose(one, two, atol=1e-9)
+    assert all("text" not in t.column_names and t.num_rows < 2000 for t in brought)
