@@ -38,6 +38,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+"), "")
 
 
+def _once(value: Column) -> Column:
+    """``value`` behind a row number, which keeps the optimizer from copying it into every use of the column."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def _at(values: Column, start: Column, width: int) -> list[Column]:
     return [F.get(values, start + i) for i in range(width)]
 
@@ -100,9 +105,7 @@ def _parts(df: DataFrame, key: str) -> list[DataFrame]:
 def _windows(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     """``(doc_id, start, n, window)``: windows that begin with an item's shingle, at that item's length."""
     keys = items.select("n", F.explode(_hashes(F.col("item_words"), width)).alias("__key")).distinct()
-    # the row number keeps the optimizer from copying the split into every filter on its result
-    once = F.when(F.monotonically_increasing_id() >= 0, words(F.col("text")))
-    worded = docs.select("doc_id", once.alias("__words")).filter(F.size("__words") >= width)
+    worded = docs.select("doc_id", _once(words(F.col("text"))).alias("__words")).filter(F.size("__words") >= width)
     placed = worded.select("doc_id", "__words", F.posexplode("__words").alias("start", "__word")).filter(F.col("start") + width <= F.size("__words"))
     hashed = placed.select("doc_id", "__words", "start", F.xxhash64(*_at(F.col("__words"), F.col("start"), width)).alias("__own"))
     found = [hashed.join(part, F.col("__own") == F.col("__key")) for part in _parts(keys, "__key")]
@@ -126,11 +129,11 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         first = F.coalesce(*[F.when(_block(apart, b) == 0, F.lit(b)) for b in range(RADIUS + 1)])
         near = by_blocks(marked).join(blocks, ["n", "block", "bits"]).filter((F.bit_count(apart) <= RADIUS) & (F.col("block") == first))
         pairs = near.select("doc_id", "item_id", "start", "window").join(listed.select("item_id", "item_words"), "item_id")
-        # columns of their own: inside the marking they would be built again for every shingle
-        pairs = pairs.withColumns({"__w": _shingles(F.col("window"), width), "__i": _shingles(F.col("item_words"), width)})
+        # guarded columns of their own: inside the marking, or in a filter on the result, they would be built again for every shingle
+        pairs = pairs.withColumns({"__w": _once(_shingles(F.col("window"), width)), "__i": _once(_shingles(F.col("item_words"), width))})
         shared = F.size(F.array_intersect(_tagged("__w"), _tagged("__i")))
         total = F.size("window") + F.size("item_words") - 2 * (width - 1)
-        scored = pairs.select("doc_id", "item_id", "start", shared.alias("n_shared"), total.alias("__total"))
+        scored = pairs.select("doc_id", "item_id", "start", _once(shared).alias("n_shared"), total.alias("__total"))
         found.append(scored.select("doc_id", "item_id", "start", "n_shared", (F.col("__total") - F.col("n_shared")).alias("n_union")))
     every = reduce(DataFrame.union, found) if found else none
     best = every.filter("100 * n_shared >= 75 * n_union").groupBy("doc_id", "item_id")
