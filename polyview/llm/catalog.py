@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from polyview.llm import bpe, chat, counts, decontam, jaccard, pii, sharding, topk, toxicity, warc
+from polyview.llm import bpe, chat, counts, decontam, jaccard, merkle, pii, sharding, topk, toxicity, warc
 from polyview.llm.common import table
 from polyview.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -141,3 +141,39 @@ FROM o GROUP BY pair_id"""
 @query("op8_preferences", _PAIRS)
 def op8_preferences(spark, sf_dir):
     return chat.preference_texts(chat.neighbours(table(spark, sf_dir, "conversations")))
+
+
+def _manifest_sql(depth: int = 7) -> str:
+    """The manifest with ``depth`` levels written out, for up to 16 ** depth rows a source and as many sources."""
+    def leaf(text):
+        fields = [f"coalesce(strlen({v}::VARCHAR) || ':' || {v}::VARCHAR, '-')" for v in ("doc_id", "source", "lang", "n_chars", text)]
+        return f"sha256({' || '.join(fields)})"
+
+    byte_step = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda t: unicode(t)::BIGINT)), lambda a, b: {byte_step}), 4294967295)"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [f"""d AS (SELECT coalesce('=' || source, '-') AS tree, doc_id, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS changed FROM documents),
+l0 AS (SELECT *, leaf AS digest, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d)"""]
+    for name in ("l", "u"):
+        if name == "u":
+            parts.append(f"u0 AS (SELECT '' AS tree, tree AS source_tree, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM l{depth})")
+        for k in range(depth):
+            parts.append(f"""{name}{k + 1} AS (SELECT tree, pos // 16 AS pos, CASE WHEN max(n) = 1 THEN max(digest) ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest, (max(n) + 15) // 16 AS n
+ FROM {name}{k} GROUP BY tree, pos // 16)""")
+            frame = "OVER (PARTITION BY tree, pos // 16 ORDER BY pos ROWS BETWEEN"
+            parts.append(f"""{name}s{k} AS (SELECT tree, pos, n = 1 AS alone, coalesce(string_agg(digest, '') {frame} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+ coalesce(string_agg(digest, '') {frame} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS behind FROM {name}{k})""")
+    last = "SELECT doc_id, leaf, l0.tree, l0.pos, u0.pos AS top, u0.digest AS subroot, '' AS path, changed AS folded FROM l0 JOIN u0 ON l0.tree = u0.source_tree"
+    for step, (name, k) in enumerate([(n, k) for n in ("l", "u") for k in range(depth)]):
+        on = f"s.tree = f.tree AND s.pos = f.pos // {16**k}" if name == "l" else f"s.pos = f.top // {16**k}"
+        parts.append(f"f{step} AS ({last})")
+        last = f"""SELECT f.* REPLACE (path || before || behind AS path, CASE WHEN alone THEN folded ELSE sha256(before || folded || behind) END AS folded)
+ FROM f{step} f JOIN {name}s{k} s ON {on}"""
+    return f"""WITH {', '.join(parts)}, f AS ({last})
+SELECT doc_id, leaf, subroot, u{depth}.digest AS root, sha256(path) AS proof_sha256, folded AS folded_root, folded = u{depth}.digest AS verified FROM f, u{depth}"""
+
+
+@query("op11_merkle", _manifest_sql())
+def op11_merkle(spark, sf_dir):
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.proofs(merkle.build(merkle.leaves(table(spark, sf_dir, "documents"), tampered)))
