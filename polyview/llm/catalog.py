@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from polyview.llm import bpe, chat, counts, decontam, jaccard, merkle, pii, sharding, topk, toxicity, warc
+from polyview.llm import bpe, chat, counts, decontam, jaccard, langid, merkle, pii, sharding, topk, toxicity, warc
 from polyview.llm.common import table
 from polyview.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -177,3 +177,11 @@ SELECT doc_id, leaf, subroot, u{depth}.digest AS root, sha256(path) AS proof_sha
 def op11_merkle(spark, sf_dir):
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return merkle.proofs(merkle.build(merkle.leaves(table(spark, sf_dir, "documents"), tampered)))
+
+
+@query("op12_langid")
+def op12_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.filter(~langid.held_out()))
+    found = langid.label(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "spans")
