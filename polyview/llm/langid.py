@@ -19,6 +19,7 @@ labelled alike; rows without lang or doc_id teach nothing; result columns replac
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -237,13 +238,13 @@ def label(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             if len(known) > CACHE:
                 known, scores, sizes = {}, scores[:0], sizes[:0]
             listed = [WORD.findall(low) if langs and t and len(low := t.lower()) == len(t) else [w.lower() for w in WORD.findall(t or "")] if langs else [] for t in texts]
-            fresh = list({w for ws in listed for w in ws if w not in known})
-            known |= {w: len(known) + i for i, w in enumerate(fresh)}
+            fresh = sorted(set().union(*listed).difference(known))
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
             scores = np.concatenate([scores, word_scores(fresh, own)])
             sizes = np.concatenate([sizes, np.fromiter(map(len, fresh), np.int64, len(fresh))])
             full = [i for i, ws in enumerate(listed) if ws]
             lengths = np.array([len(listed[i]) for i in full], np.int64)
-            at = np.fromiter((known[w] for i in full for w in listed[i]), np.int64, int(lengths.sum()))
+            at = np.fromiter(map(known.__getitem__, chain.from_iterable(listed)), np.int64, int(lengths.sum()))
             labels = best_labels(scores[at], lengths) if full else at
             letters = np.bincount(np.repeat(np.arange(len(full)), lengths) * len(langs) + labels, sizes[at], len(full) * len(langs)).reshape(len(full), len(langs))
             found, share, spans = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
