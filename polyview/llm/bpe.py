@@ -35,8 +35,10 @@ from polyview.llm.common import append, without
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 EDGE = re.compile(r"(?<=\S)(?= \S)")
 WIDE = re.compile(r"\s | \s|^\s|\s$")
-CACHE = 200_000  # chunks a task remembers before it starts anew
+CACHE = 64_000_000  # bytes of chunks that a worker remembers, from task to task, before it starts anew
+ENTRY = 150  # bytes an entry takes beside its own
 SHORT = 48  # bytes; longer words merge one by one through a heap
+WALK = 256  # bytes; longer words are matched one by one
 NEVER = np.iinfo(np.int64).max
 
 
@@ -47,6 +49,40 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Lookup:
+    """Whole numbers by whole-number keys (0 or more), found side by side: open addressing in one array."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (8 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        slot, self.probes = self._home(keys), 0
+        while len(keys):  # all try their slot, the first of each free one gets it, the rest go on to the next
+            free = np.flatnonzero(self.keys[slot] < 0)
+            taken = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[taken]], self.values[slot[taken]] = keys[taken], values[taken]
+            left = np.ones(len(keys), bool)
+            left[taken] = False
+            keys, values, slot, self.probes = keys[left], values[left], (slot[left] + 1) & ((1 << self.bits) - 1), self.probes + 1
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 for keys that aren't there."""
+        slot = self._home(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.values[slot], -1)
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        for _ in range(1, self.probes):
+            if not len(open_):
+                break
+            at = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            slot[open_], there = at, self.keys[at]
+            out[open_] = np.where(there == keys[open_], self.values[at], -1)
+            open_ = open_[(there != keys[open_]) & (there >= 0)]
+        return out
+
+
 class Codec:
     """A vocabulary with its merges, and what a worker has encoded so far."""
 
@@ -71,13 +107,10 @@ class Codec:
         self.born[made], self.left[made], self.right[made] = np.arange(len(pairs)), left, right
         self.made = made
         self.byte_ids = np.array([self.ids[bytes((b,))] for b in range(256)], np.int64)
-        code = left * size + right
-        order = np.argsort(code)
-        self.size, self.codes, self.code_ranks = size, code[order], order
+        self.size, self.rank_of = size, Lookup(left * size + right, np.arange(len(pairs)))
         self.ranks = {(int(a), int(b)): (r, int(m)) for r, (a, b, m) in enumerate(zip(left, right, made, strict=True))}
-        self.longest: dict[bytes, int] = {}
-        for b in self.ids:
-            self.longest[b[:2]] = max(len(b), self.longest.get(b[:2], 0))
+        self.steps, self.ends = self._trie()
+        self.longest = max(map(len, self.ids))
         self.words = regex.compile(WORDS)
         self.split_special = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         whole = np.flatnonzero(self.born >= 0)
@@ -86,13 +119,24 @@ class Codec:
         lengths = np.array([len(b) for b in self.tokens], np.int64)
         self.lengths, self.starts = lengths, np.concatenate([[0], np.cumsum(lengths)])
         self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.chunks: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.forget()
         self.exact_words = self.seen_words = 0
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        code = a * self.size + b
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        return np.where(self.codes[at] == code, self.code_ranks[at], NEVER)
+        rank = self.rank_of.get(a * self.size + b)
+        return np.where(rank < 0, NEVER, rank)
+
+    def _trie(self) -> tuple[Lookup, np.ndarray]:
+        """Steps from a prefix of a token over a byte to the next prefix, and the token that each prefix is (-1: none)."""
+        states, ends = {b"": 0}, {}
+        for token, i in self.ids.items():
+            for end in range(1, len(token) + 1):
+                states.setdefault(token[:end], len(states))
+            ends[states[token]] = i
+        keys = np.array([states[p[:-1]] * 256 + p[-1] for p in states if p], np.int64)
+        found = np.full(len(states), -1, np.int64)
+        found[list(ends)] = list(ends.values())
+        return Lookup(keys, np.arange(1, len(states))), found
 
     def compatible(self, a: np.ndarray, b: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
         """Whether each pair stays apart; with ``own`` ranks, apart until that merge joins it."""
@@ -118,16 +162,56 @@ class Codec:
             y_until[ly], y[ly] = by[~back], self.left[y[ly]]
         return fine
 
-    def propose(self, word: bytes) -> list[int]:
-        out, at, n, ids = [], 0, len(word), self.ids
+    def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest matches of all words: tokens and the words they belong to, in order.
+
+        Words of up to ``WALK`` bytes walk the trie side by side.
+        """
+        sizes = np.array([len(w) for w in words], np.int64)
+        near = np.flatnonzero(sizes <= WALK)
+        tokens, home = self._walked([words[k] for k in near])
+        far = [(k, self._longest_matches(words[k])) for k in np.flatnonzero(sizes > WALK)]
+        tokens = np.concatenate([tokens, *[np.array(t, np.int64) for _, t in far]])
+        home = np.concatenate([near[home], *[np.full(len(t), k) for k, t in far]])
+        order = np.argsort(home, kind="stable")
+        return tokens[order], home[order]
+
+    def _longest_matches(self, word: bytes) -> list[int]:
+        out, at, n = [], 0, len(word)
         while at < n:
-            size = min(self.longest.get(word[at : at + 2], 1), n - at)
-            while (token := ids.get(word[at : at + size])) is None:
+            size = min(self.longest, n - at)
+            while (token := self.ids.get(word[at : at + size])) is None:
                 size -= 1
             out.append(token)
             at += size
         return out
 
+    def _walked(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        stop = np.cumsum([len(w) for w in words])
+        owner = np.flatnonzero(np.diff(stop, prepend=0))
+        stop = stop[owner]
+        at = np.concatenate([[0], stop[:-1]]) if len(stop) else stop
+        state, token, end = np.zeros_like(at), np.zeros_like(at), at.copy()
+        found, homes = [], []
+        while len(owner):
+            inside = at < stop
+            step = np.full(len(at), -1)
+            step[inside] = self.steps.get(state[inside] * 256 + data[at[inside]])
+            on = step >= 0
+            state, at = np.where(on, step, 0), at + on
+            hit = on & (self.ends[state] >= 0)
+            token, end = np.where(hit, self.ends[state], token), np.where(hit, at, end)
+            if not on.all():  # the match is over: its token stands, the walk starts anew behind it
+                over = ~on
+                found.append(token[over])
+                homes.append(owner[over])
+                at = np.where(over, end, at)
+                if (over & (end == stop)).any():
+                    go_on = ~(over & (end == stop))
+                    owner, stop, at, state, token, end = (x[go_on] for x in (owner, stop, at, state, token, end))
+        return np.concatenate([np.zeros(0, np.int64), *found]), np.concatenate([np.zeros(0, np.int64), *homes])
+
     def merge(self, word: bytes) -> list[int]:
         """The exact merges: always the lowest rank, leftmost first."""
         ids = [self.ids[bytes((b,))] for b in word]
@@ -150,9 +234,9 @@ class Codec:
                     heapq.heappush(heap, (found[0], u, found[1], ids[u], ids[after[u]]))
         return [t for t in ids if t >= 0]
 
-    def merge_short(self, words: list[bytes]) -> list[list[int]]:
-        """The exact merges of many words side by side: a merge per word and round."""
-        out: list[list[int]] = [[] for _ in words]
+    def merge_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The exact merges of many words side by side, a merge per word and round: tokens and the words they belong to."""
+        found, homes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
         rank = self._next_ranks(ids, owner)
@@ -161,10 +245,9 @@ class Codec:
             least = np.minimum.reduceat(rank, heads)
             done = least == NEVER
             if done.any():
-                sizes = np.diff(heads, append=len(ids))
-                over = np.repeat(done, sizes)
-                for k, run in zip(owner[heads[done]], np.split(ids[over], np.cumsum(sizes[done])[:-1]), strict=True):
-                    out[k] = run.tolist()
+                over = np.repeat(done, np.diff(heads, append=len(ids)))
+                found.append(ids[over])
+                homes.append(owner[over])
                 ids, owner, rank, least = ids[~over], owner[~over], rank[~over], least[~done]
                 if not len(ids):
                     break
@@ -181,7 +264,12 @@ class Codec:
                 rank[changed] = NEVER
                 same = inner[owner[inner] == owner[inner + 1]]
                 rank[same] = self.pair_ranks(ids[same], ids[same + 1])
-        return out
+        return np.concatenate(found), np.concatenate(homes)
+
+    def merge_short(self, words: list[bytes]) -> list[list[int]]:
+        """The exact merges of many words as lists."""
+        flat, home = self.merge_flat(words)
+        return [x.tolist() for x in np.split(flat[np.argsort(home, kind="stable")], np.cumsum(np.bincount(home, minlength=len(words)))[:-1])]
 
     def _next_ranks(self, ids: np.ndarray, owner: np.ndarray) -> np.ndarray:
         rank = np.full(len(ids), NEVER)
@@ -190,11 +278,12 @@ class Codec:
         return rank
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word: proposals where every pair holds, else the exact merges."""
-        proposed = [self.propose(w) for w in words]
-        counts = np.array([len(p) for p in proposed], np.int64)
-        flat = np.fromiter((t for p in proposed for t in p), np.int64, int(counts.sum()))
-        owner = np.repeat(np.arange(len(words)), counts)
+        """Token ids of each word as lists."""
+        return [np.frombuffer(ids, np.int32).tolist() for ids in self.encoded(words)]
+
+    def encoded(self, words: list[bytes]) -> list[bytes]:
+        """Token ids of each word (as 32-bit numbers): proposals where every pair holds, else the exact merges."""
+        flat, owner = self.propose(words)
         failing = np.zeros(len(words), bool)
         failing[owner[~self.whole[flat]]] = True
         inner = np.flatnonzero(owner[1:] == owner[:-1])
@@ -202,23 +291,34 @@ class Codec:
         fits = self.compatible(codes // self.size, codes % self.size)[back]
         failing[owner[inner[~fits]]] = True
         failed = np.flatnonzero(failing)
-        short = [k for k in failed if len(words[k]) <= SHORT]
-        for k, merged in zip(short, self.merge_short([words[k] for k in short]), strict=True):
-            proposed[k] = merged
-        for k in failed:
-            if len(words[k]) > SHORT:
-                proposed[k] = self.merge(words[k])
+        lengths = np.array([len(words[k]) for k in failed], np.int64)
+        short, long = failed[lengths <= SHORT], failed[lengths > SHORT]
+        merged, of_short = self.merge_flat([words[k] for k in short])
+        exact = [self.merge(words[k]) for k in long]
+        kept = ~failing[owner]
+        flat = np.concatenate([flat[kept], merged, *[np.array(e, np.int64) for e in exact]])
+        owner = np.concatenate([owner[kept], short[of_short], np.repeat(long, [len(e) for e in exact])])
+        order = np.argsort(owner, kind="stable")
+        ends = (4 * np.cumsum(np.bincount(owner, minlength=len(words)))).tolist()
+        raw = flat[order].astype(np.int32).tobytes()
         self.seen_words += len(words)
-        self.exact_words += int(failing.sum())
-        return proposed
+        self.exact_words += len(failed)
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def learn(self, missing: list[tuple[int, set[str]]]) -> None:
         """Encode chunks that aren't remembered yet; ``1`` marks those after a space."""
-        chunks = [(k, c, [w.encode() for w in self.words.findall(" " + c if k else c)]) for k, cs in missing for c in cs]
-        words = list({w for _, _, ws in chunks for w in ws})
-        found = {w: np.array(t, np.int32).tobytes() for w, t in zip(words, self.encode_words(words), strict=True)}
-        for k, c, ws in chunks:
-            self.chunks[k][c] = b"".join([found[w] for w in ws])
+        for k, cs in missing:
+            plain = [c for c in cs if c.isalpha()]  # one word each
+            mixed = [c for c in cs if not c.isalpha()]
+            whole = [c.encode() for c in ([" " + c for c in plain] if k else plain)]
+            split = [[w.encode() for w in self.words.findall(" " + c if k else c)] for c in mixed]
+            words = list(set().union(*split))
+            ids = self.encoded(whole + words)
+            found = dict(zip(words, ids[len(whole) :], strict=True))
+            joined = [b"".join([found[w] for w in ws]) for ws in split]
+            self.chunks[k].update(zip(plain, ids, strict=False))
+            self.chunks[k].update(zip(mixed, joined, strict=True))
+            self.held += sum(map(len, cs)) + sum(map(len, ids[: len(whole)])) + sum(map(len, joined)) + ENTRY * len(cs)
 
     def pieces(self, text: str) -> list[tuple[bool, list[str]]]:
         """A text as runs of chunks: each but the first stands after one space that is its own."""
@@ -228,12 +328,11 @@ class Codec:
         return [(False, [parts[0], *[p[1:] for p in parts[1:]]])]
 
     def forget(self) -> None:
-        """Drop what a task has remembered: workers outlive their tasks and serve other operators too."""
-        self.chunks = ({}, {})
+        self.chunks, self.held = ({}, {}), 0
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
-        if sum(map(len, self.chunks)) > CACHE:
+        if self.held > CACHE:
             self.forget()
         cut = []
         for text in texts:
@@ -300,7 +399,6 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
     def run(batches):
         for batch in batches:
             yield [_lists(codec(vocabulary).encode(_texts(batch.column(batch.schema.names.index(text)))))]
-        codec(vocabulary).forget()
 
     return append(without(df, [ids]), [T.StructField(ids, T.ArrayType(T.IntegerType()))], run)
 
@@ -323,7 +421,6 @@ def round_trip(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "i
             own = codec(vocabulary)
             found = own.encode(_texts(batch.column(batch.schema.names.index(text))))
             yield [_lists(found), pa.array([own.decode(x) for x in found], pa.string())]
-        codec(vocabulary).forget()
 
     fields = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())]
     return append(without(df, [ids, decoded]), fields, run)
