@@ -1,105 +1,132 @@
-"""Exact nearest neighbours of vectors in blocks.
-
-Rows are assigned to their nearest pivot (a Voronoi cell), and the triangle inequality
-discards pairs of cells that cannot hold a neighbour.  Cells are split by hash into
-blocks of bounded size, so a crowded cell becomes many tasks.  Only pairs of surviving
-blocks meet; each task reduces its block pair to k rows per target with NumPy, and a
-final rank merges the blocks.  Pivots and cell radii are the only rows on the driver:
-at most ``PIVOTS`` vectors and ``PIVOTS`` radii.
+"""Exact nearest neighbours of vectors on a two-level pivot tree.
+
+* Cells: about sqrt(n) source rows, taken in hash order, are pivots; a row goes to the nearest of the top pivots and then to the nearest
+  pivot below that.  Rows of a cell fall into rings by their distance to the pivot, rings into blocks of bounded size by hash, so
+  a crowded cell, or a third of all rows at one place, becomes many tasks.
+* Bound pass: each ring of targets meets the source rings that must lie nearest.  The worst k-th distance found is what any
+  other block has to beat.
+* Search pass: by the triangle inequality, centre distances, ring bounds and that worst distance leave the source rings that can hold a
+  neighbour; the others are never read.
+* Inner products: vectors get one more coordinate that brings all sources to the largest source's length.  There, larger products
+  are smaller distances, so the same bounds prune them.
+
+Each pair of blocks is one task's NumPy product; a rank merges them.  The driver holds the pivots and at most ``RINGS`` rows a
+cell for each side, about ``RINGS * sqrt(n)`` rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyview.session import cut
+from polyview.session import cut, cut_counted
 
-PIVOTS = 32
-PIVOT_ROWS = 1_024
+PIVOT_ROWS = 1_024  # sources a cell holds at least, on average
 BLOCK_ROWS = 2_048
+RINGS = 16  # of a cell, at most
+SLACK = 1e-9
+PLACED = "id long, vec array<double>, cell int, gap double"
+
+
+class Tree:
+    """Pivots in two levels, in lifted coordinates."""
+
+    def __init__(self, vectors: np.ndarray, length: float | None):
+        self.length = length
+        self.pivots = self.lift(vectors, True)
+        self.tops = self.pivots[: max(1, round(len(vectors) ** 0.5))]
+        home = self._gaps(self.pivots, self.tops).argmin(axis=1)
+        self.below = [np.flatnonzero(home == t) for t in range(len(self.tops))]
+
+    def lift(self, vectors: np.ndarray, source: bool) -> np.ndarray:
+        """Vectors as they are for distances; for products with the coordinate that evens out the sources' lengths."""
+        if self.length is None:
+            return vectors
+        rest = np.sqrt(np.maximum(self.length**2 - (vectors**2).sum(axis=1), 0)) if source else np.zeros(len(vectors))
+        return np.concatenate([vectors, rest[:, None]], axis=1)
+
+    @staticmethod
+    def _gaps(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        return np.stack([np.sqrt(((rows - c) ** 2).sum(axis=1)) for c in centres], axis=1)
+
+    def place(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each (lifted) row and its distance to the pivot."""
+        top = self._gaps(rows, self.tops).argmin(axis=1)
+        cell, gap = np.zeros(len(rows), np.int32), np.zeros(len(rows))
+        for t in np.unique(top):
+            mine = np.flatnonzero(top == t)
+            gaps = self._gaps(rows[mine], self.pivots[self.below[t]])
+            best = gaps.argmin(axis=1)
+            cell[mine], gap[mine] = self.below[t][best], gaps[np.arange(len(mine)), best]
+        return cell, gap
+
+
+def _placed(df: DataFrame, tree: Tree, source: bool) -> tuple[DataFrame, pd.DataFrame]:
+    """Rows with cell and ring, and what each ring holds: its rows and the least and largest distance to the pivot."""
+    shared = df.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                cell, gap = shared.value.place(shared.value.lift(np.stack(pdf["vec"].to_numpy()).astype(float), source))
+                yield pdf.assign(cell=cell, gap=gap)
 
+    rows = cut(df.mapInPandas(run, PLACED))
+    cells = rows.groupBy("cell").agg(F.count("id").alias("n"), F.max("gap").alias("far"))
+    rings = F.least(F.lit(RINGS), F.ceil(F.col("n") / BLOCK_ROWS))
+    ring = F.when(F.col("far") > 0, F.least(rings - 1, F.floor(F.col("gap") / F.col("far") * rings))).otherwise(0)
+    ringed = rows.join(F.broadcast(cells), "cell").select("id", "vec", "cell", ring.cast("int").alias("ring"), "gap")
+    held = ringed.groupBy("cell", "ring").agg(F.count("id").alias("n"), F.min("gap").alias("lo"), F.max("gap").alias("hi"))
+    return ringed.drop("gap"), held.orderBy("cell", "ring").toPandas()
 
-def _pivots(sources: DataFrame) -> np.ndarray:
-    wanted = max(1, min(PIVOTS, sources.count() // PIVOT_ROWS))
-    rows = sources.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
-    return np.array([r["vec"] for r in rows], dtype=float)
 
+Choice = Callable[[np.ndarray, np.ndarray, pd.Series], np.ndarray]
 
-def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Nearest pivot and the distance to it."""
+
+def _pairs(tree: Tree, targets: pd.DataFrame, sources: pd.DataFrame, df: DataFrame, choose: Choice) -> DataFrame:
+    """``(tc, tr, sc, sr, tb, sb)``: pairs of rings that meet and their numbers of blocks.
+
+    ``choose(nearest, farthest, ring)`` picks source rings by bounds on the distance between any two rows.
+    """
+    shared = df.sparkSession.sparkContext.broadcast((tree.pivots, sources))
 
     def run(batches):
+        pivots, held = shared.value
+        cell, lo, hi = held["cell"].to_numpy(), held["lo"].to_numpy(), held["hi"].to_numpy()
         for pdf in batches:
-            if not len(pdf):
-                continue
-            vecs = np.stack(pdf["vec"].to_numpy()).astype(float)
-            gaps = np.stack([np.sqrt(((vecs - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
-            cell = gaps.argmin(axis=1)
-            yield pdf.assign(cell=cell.astype("int32"), gap=gaps[np.arange(len(cell)), cell])
-
-    return df.mapInPandas(run, "id long, vec array<double>, cell int, gap double")
-
-
-def _cell_pairs(t_stats, s_stats, pivots, k, prune):
-    """Source cells each target cell must look at."""
-    between = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
-    pairs = []
-    for t, (_, rt) in t_stats.items():
-        reach = sorted((between[t, s] + rt + rs, n) for s, (n, rs) in s_stats.items())
-        bound, have = np.inf, 0
-        for far, n in reach:
-            have += n
-            if have >= k:
-                bound = far
-                break
-        for s, (_, rs) in s_stats.items():
-            if not prune or between[t, s] - rt - rs <= bound * (1 + 1e-9):
-                pairs.append((int(t), int(s)))
-    return pairs
+            for _, r in pdf.iterrows():
+                apart = np.sqrt(((pivots - pivots[int(r["cell"])]) ** 2).sum(axis=1))[cell]
+                near = np.maximum.reduce([apart - r["hi"] - hi, lo - apart - r["hi"], r["lo"] - apart - hi, np.zeros(len(cell))])
+                at = choose(near, apart + r["hi"] + hi, r)
+                yield pd.DataFrame({
+                    "tc": np.int32(r["cell"]), "tr": np.int32(r["ring"]), "sc": cell[at].astype(np.int32), "sr": held["ring"].to_numpy()[at].astype(np.int32),
+                    "tb": np.int32(-(-r["n"] // BLOCK_ROWS)), "sb": (-(-held["n"].to_numpy()[at] // BLOCK_ROWS)).astype(np.int32),
+                })
 
+    asked = df.sparkSession.createDataFrame(targets).coalesce(1 + len(targets) // 256)
+    return cut(asked.mapInPandas(run, "tc int, tr int, sc int, sr int, tb int, sb int"))
 
-def nearest(
-    targets: DataFrame, sources: DataFrame, k: int, metric: str = "l2", exclude_self: bool = False
-) -> DataFrame:
-    """The k best sources of every target: ``(target, source, value, rank)``, ties by id.
 
-    ``l2`` ranks by distance ascending, ``dot`` by inner product descending.
-    """
-    shape = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-    t_rows, s_rows = shape(targets), shape(sources)
-    pivots = _pivots(s_rows)
-    schema = "target long, source long, value double"
-    if not len(pivots):
-        return targets.sparkSession.createDataFrame([], schema + ", rank int")
-    t_cells, s_cells = cut(_assign(t_rows, pivots)), cut(_assign(s_rows, pivots))
-    stats = lambda df: {
-        r["cell"]: (r["n"], r["far"]) for r in df.groupBy("cell").agg(F.count("id").alias("n"), F.max("gap").alias("far")).collect()
-    }
-    t_stats, s_stats = stats(t_cells), stats(s_cells)
-    pairs = _cell_pairs(t_stats, s_stats, pivots, k + exclude_self, metric == "l2")
-    blocks = lambda n: -(-n // BLOCK_ROWS)
-    plan = targets.sparkSession.createDataFrame(
-        [(t, s, blocks(t_stats[t][0]), blocks(s_stats[s][0])) for t, s in pairs], "tc int, sc int, tb int, sb int"
-    )
+def _met(targets: DataFrame, sources: DataFrame, pairs: DataFrame, k: int, metric: str, exclude_self: bool, length: float | None) -> DataFrame:
+    """``(target, source, value, tc, tr, reach)``: the ``k`` best of each target in each pair of blocks; ``reach`` is the lifted distance."""
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keys = ["tc", "sc", "tblock", "sblock"]
-    t_side = (
-        t_cells.join(F.broadcast(plan), F.col("cell") == F.col("tc"))
-        .withColumn("tblock", F.pmod(F.xxhash64("id"), F.col("tb")).cast("int"))
-        .withColumn("sblock", every("sb")).select(*keys, "id", "vec")
-    )
-    s_side = (
-        s_cells.join(F.broadcast(plan), F.col("cell") == F.col("sc"))
-        .withColumn("sblock", F.pmod(F.xxhash64("id"), F.col("sb")).cast("int"))
-        .withColumn("tblock", every("tb")).select(*[F.col(c).alias(f"s_{c}") for c in keys], "id", "vec")
-    )
+    keys = ["tc", "tr", "sc", "sr", "tblock", "sblock"]
+
+    def side(df: DataFrame, cell: str, ring: str, own: str, other: str, blocks: str, others: str) -> DataFrame:
+        met = df.join(pairs, (F.col("cell") == F.col(cell)) & (F.col("ring") == F.col(ring)))
+        return met.withColumn(own, F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")).withColumn(other, every(others)).select(*keys, "id", "vec")
+
+    t_side = side(targets, "tc", "tr", "tblock", "sblock", "tb", "sb")
+    s_side = side(sources, "sc", "sr", "sblock", "tblock", "sb", "tb").select(*[F.col(c).alias(f"s_{c}") for c in keys], "id", "vec")
+    types = {"target": "int64", "source": "int64", "value": "float64", "tc": "int32", "tr": "int32", "reach": "float64"}
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"target": [], "source": [], "value": []}).astype({"target": "int64", "source": "int64", "value": "float64"})
+            return pd.DataFrame({c: [] for c in types}).astype(types)
         a, b = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
         ai, bi = left["id"].to_numpy(), right["id"].to_numpy()
         total = np.zeros((len(a), len(b)))
@@ -112,17 +139,67 @@ def nearest(
         cost = np.round(np.sqrt(total), 12) if metric == "l2" else -np.round(total, 12)
         if exclude_self:
             cost = np.where(ai[:, None] == bi[None, :], np.inf, cost)
-        order = np.lexsort((np.broadcast_to(bi, cost.shape), cost), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(a)), order.shape[1])
-        flat = order.ravel()
+        some = min(k, cost.shape[1])
+        rows, flat = np.nonzero(cost <= np.partition(cost, some - 1, axis=1)[:, some - 1 : some])  # the k best of each row, and ties
+        order = np.lexsort((bi[flat], cost[rows, flat], rows))
+        rows, flat = rows[order], flat[order]
+        starts = np.searchsorted(rows, np.arange(len(a)))
+        kept = np.arange(len(rows)) - starts[rows] < some
+        rows, flat = rows[kept], flat[kept]
         value = cost[rows, flat]
-        good = np.isfinite(value)
-        return pd.DataFrame({
-            "target": ai[rows][good], "source": bi[flat][good], "value": (value if metric == "l2" else -value)[good],
-        })
+        reach = value if metric == "l2" else np.sqrt(np.maximum((a[rows] ** 2).sum(axis=1) + length**2 + 2 * value, 0))
+        out = pd.DataFrame({"target": ai[rows], "source": bi[flat], "value": value if metric == "l2" else -value, "tc": left["tc"].iloc[0], "tr": left["tr"].iloc[0], "reach": reach})
+        return out[np.isfinite(value)].astype(types)
 
     s_keys = [f"s_{c}" for c in keys]
-    met = t_side.groupBy(*keys).cogroup(s_side.groupBy(*s_keys)).applyInPandas(meet, schema)
+    return t_side.groupBy(*keys).cogroup(s_side.groupBy(*s_keys)).applyInPandas(meet, "target long, source long, value double, tc int, tr int, reach double")
+
+
+def nearest(
+    targets: DataFrame, sources: DataFrame, k: int, metric: str = "l2", exclude_self: bool = False
+) -> DataFrame:
+    """The k best sources of every target: ``(target, source, value, rank)``, ties by id.
+
+    ``l2`` ranks by distance ascending, ``dot`` by inner product descending.
+    """
+    shape = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    s_rows, count = cut_counted(shape(sources))
+    if not count:
+        return targets.sparkSession.createDataFrame([], "target long, source long, value double, rank int")
+    length = None
+    if metric == "dot":
+        squares = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v)
+        length = s_rows.agg(F.max(F.sqrt(squares))).first()[0]
+    wanted = max(1, min(int(count**0.5), count // PIVOT_ROWS))
+    pivots = s_rows.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
+    tree = Tree(np.array([r["vec"] for r in pivots], dtype=float), length)
+    s_placed, s_rings = _placed(s_rows, tree, True)
+    t_placed, t_rings = _placed(shape(targets), tree, False)
     best = F.col("value").asc() if metric == "l2" else F.col("value").desc()
     rank = F.row_number().over(Window.partitionBy("target").orderBy(best, "source"))
-    return met.withColumn("rank", rank).filter(F.col("rank") <= k)
+    if not len(t_rings):
+        return targets.sparkSession.createDataFrame([], "target long, source long, value double, rank int")
+    need, sizes = k + exclude_self, s_rings["n"].to_numpy()
+
+    def closest(near, far, ring):
+        order = np.argsort(far, kind="stable")
+        return order[: 1 + int(np.searchsorted(np.cumsum(sizes[order]), need))]
+
+    first = _pairs(tree, t_rings, s_rings, t_placed, closest)
+    found = cut(_met(t_placed, s_placed, first, k, metric, exclude_self, length).withColumn("rank", rank).filter(F.col("rank") <= k))
+    if len(s_rings) > 1:
+        full = found.groupBy("target", "tc", "tr").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("reach"))
+        worst = full.groupBy("tc", "tr").agg(F.when(F.min("n") == k, F.max("reach")).alias("reach"), F.count(F.lit(1)).alias("seen")).toPandas()
+        asked = t_rings.merge(worst, how="left", left_on=["cell", "ring"], right_on=["tc", "tr"])
+        # a ring in which some target found too few, or nothing at all, looks everywhere
+        asked["bound"] = asked["reach"].where(asked["seen"] == asked["n"], np.inf).fillna(np.inf)
+        asked = asked[["cell", "ring", "n", "lo", "hi", "bound"]]
+
+        def within(near, far, ring):
+            return np.flatnonzero(near <= ring["bound"] * (1 + SLACK) + SLACK)
+
+        rest = _pairs(tree, asked, s_rings, t_placed, within).join(first.select("tc", "tr", "sc", "sr"), ["tc", "tr", "sc", "sr"], "left_anti")
+        met = _met(t_placed, s_placed, cut(rest.select(first.columns)), k, metric, exclude_self, length)
+        both = found.drop("rank").unionByName(met)
+        found = both.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.select("target", "source", "value", "rank")

@@ -3,7 +3,8 @@
 State is cut after every round (see ``session.cut``), which also reports how many
 rows are left, so a loop costs no extra action.  All choices follow a total priority,
 so the outcome equals the sequential scan in priority order.  Every round settles the first open edge at
-least, so loops end without a limit on rounds.
+least, so loops end without a limit on rounds; and it settles whole chains of edges that wait for one another
+(see ``chains``), so a path takes few rounds in whatever order its edges stand.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from polyview.plans import chains
 from polyview.session import cut, cut_counted, fresh_folder
 
 
@@ -49,7 +51,7 @@ def greedy_match(edges: DataFrame) -> DataFrame:
     left, count = cut_counted(edges)
     folder = fresh_folder(edges.sparkSession)
     while count:
-        now = _added(_dominant(left), folder)
+        now = _added(left.join(chains.taken(left), "p", "left_semi").select(edges.columns), folder)
         used = now.select(F.explode(F.array("a", "b")).alias("__used"))
         free = left.join(used, F.col("a") == F.col("__used"), "left_anti")
         free = free.join(used, F.col("b") == F.col("__used"), "left_anti")
@@ -93,7 +95,8 @@ def suppress(edges: DataFrame) -> DataFrame:
     """Nodes lost to a kept better node, from conflict edges ``(better, worse)``.
 
     A node without an undecided better neighbour is kept; its worse neighbours are
-    lost, together with all their edges.
+    lost, together with all their edges.  A node with one undecided better neighbour is lost if that is kept and
+    kept if that is lost, so chains of them are settled from their ends.
     """
     left, count = cut_counted(edges.select("better", "worse").distinct())
     nodes = left.select(F.col("worse").alias("node"))
@@ -101,7 +104,11 @@ def suppress(edges: DataFrame) -> DataFrame:
     while count:
         worse = left.select(F.col("worse").alias("node")).distinct()
         heads = left.join(worse, F.col("better") == F.col("node"), "left_anti")
-        now = _added(heads.select(F.col("worse").alias("node")).distinct(), folder)
+        tops = cut(heads.select(F.col("better").alias("top")).distinct())
+        single = left.groupBy(F.col("worse").alias("e")).agg(F.count(F.lit(1)).alias("n"), F.min("better").alias("pred")).filter("n = 1")
+        odd = chains.way_back(single.select("e", "pred")).filter("steps % 2 = 1").join(tops, F.col("root") == F.col("top"), "left_semi")
+        lost = heads.select(F.col("worse").alias("node")).unionByName(odd.select(F.col("e").alias("node"))).distinct()
+        now = _added(lost, folder)
         rest = left.join(now, F.col("worse") == F.col("node"), "left_anti")
         rest = rest.join(now, F.col("better") == F.col("node"), "left_anti")
         left, count = cut_counted(rest)
@@ -111,12 +118,12 @@ def suppress(edges: DataFrame) -> DataFrame:
 def constrained_clusters(nodes: DataFrame, edges: DataFrame, gate=None) -> DataFrame:
     """Clusters grown by edges in priority order, never with two nodes of one part.
 
-    ``nodes(node, part, ...)``, ``edges(p, a, b)`` with unique ``p``.  Per round:
-    dominant edges are tested (parts disjoint, and ``gate`` if given) and merge their
-    clusters or vanish; end points are rewritten; edges whose clusters now share a part
+    ``nodes(node, part, ...)``, ``edges(p, a, b)`` with unique ``p``.  Per round: edges that are first at both
+    ends, with the chains behind them, merge their clusters or vanish; end points are rewritten; of edges
+    between the same two clusters the first stays; edges whose clusters now share a part
     are dropped early, which is safe because clusters only grow.  ``gate(pairs)`` gets
     ``(p, x, y)`` of all node pairs across a candidate merge, as structs of ``nodes``,
-    and returns the column that must hold for every pair.
+    and returns the column that must hold for every pair; with a gate a round takes first edges only.
     """
     members = cut(nodes.withColumn("cluster", F.col("node")))
     row = F.struct(*nodes.columns)
@@ -128,16 +135,23 @@ def constrained_clusters(nodes: DataFrame, edges: DataFrame, gate=None) -> DataF
         right = parts.withColumnRenamed("cluster", "b")
         return left.join(right, ["b", "part"]).select("p").distinct()
 
-    left, count = cut_counted(_without(edges.filter("a <> b").select("p", "a", "b"), clash(edges.select("p", "a", "b"), members)))
+    def passed(tried: DataFrame) -> DataFrame:
+        side = lambda c, n: members.select(F.col("cluster").alias(c), row.alias(n))
+        pairs = tried.join(side("a", "x"), "a").join(side("b", "y"), "b")
+        bad = pairs.filter(~F.coalesce(gate(pairs), F.lit(False))).select("p").distinct()
+        good = _without(tried, bad)
+        return good.select(F.greatest("a", "b").alias("__old"), F.least("a", "b").alias("__new"))
+
+    def once(edges: DataFrame) -> DataFrame:
+        pairs = edges.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return pairs.agg(F.min("p").alias("p")).select("p", "a", "b")
+
+    first = cut(once(edges.select("p", "a", "b")))
+    left, count = cut_counted(_without(first, clash(first, members)))
     while count:
-        tried = cut(_dominant(left))
-        good = tried
-        if gate is not None:
-            side = lambda c, n: members.select(F.col("cluster").alias(c), row.alias(n))
-            pairs = tried.join(side("a", "x"), "a").join(side("b", "y"), "b")
-            bad = pairs.filter(~F.coalesce(gate(pairs), F.lit(False))).select("p").distinct()
-            good = cut(_without(tried, bad))
-        moved = good.select(F.greatest("a", "b").alias("__old"), F.least("a", "b").alias("__new"))
+        tried = cut(_dominant(left)) if gate is not None else chains.settled(left)
+        moved = passed(tried) if gate is not None else chains.merged(tried, members).select(F.col("old").alias("__old"), F.col("new").alias("__new"))
+        moved = cut(moved)
         members = cut(
             members.join(moved, F.col("cluster") == F.col("__old"), "left")
             .withColumn("cluster", F.coalesce("__new", "cluster")).drop("__old", "__new")
@@ -147,8 +161,8 @@ def constrained_clusters(nodes: DataFrame, edges: DataFrame, gate=None) -> DataF
             rest = rest.join(moved, F.col(end) == F.col("__old"), "left").withColumn(
                 end, F.coalesce("__new", end)
             ).drop("__old", "__new")
-        rest = rest.filter("a <> b")
-        grown = moved.select(F.col("__new").alias("__g"))
+        rest = cut(once(rest))
+        grown = moved.select(F.col("__new").alias("__g")).distinct()
         touched = rest.join(grown, F.col("a") == F.col("__g"), "left_semi").union(
             rest.join(grown, F.col("b") == F.col("__g"), "left_semi")
         ).distinct()

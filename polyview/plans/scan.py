@@ -44,6 +44,10 @@ def running_max(col: Column, strict: bool = False) -> Spec:
     return Spec("max", col, strict)
 
 
+def running_min(col: Column, strict: bool = False) -> Spec:
+    return Spec("min", col, strict)
+
+
 def last_seen(col: Column, strict: bool = False) -> Spec:
     """Nearest non-null value at or before the row."""
     return Spec("last", col, strict)
@@ -97,8 +101,8 @@ def _local(spec: Spec, name: str, window, unordered) -> Column:
     col = F.col(name)
     if spec.kind == "sum":
         return F.coalesce(F.sum(col).over(_frame(window, spec)), F.lit(0))
-    if spec.kind == "max":
-        return F.max(col).over(_frame(window, spec))
+    if spec.kind in ("max", "min"):
+        return (F.max if spec.kind == "max" else F.min)(col).over(_frame(window, spec))
     if spec.kind == "last":
         return F.last(col, ignorenulls=True).over(_frame(window, spec))
     if spec.kind == "next":
@@ -154,8 +158,8 @@ def _tiled(staged, keys, order, specs, inputs):
         col = F.col(inputs[name])
         if spec.kind in ("sum", "total"):
             agg = F.coalesce(F.sum(col), F.lit(0))
-        elif spec.kind == "max":
-            agg = F.max(col)
+        elif spec.kind in ("max", "min"):
+            agg = (F.max if spec.kind == "max" else F.min)(col)
         elif spec.kind == "last":
             agg = F.max_by(F.struct(col.alias("v")), F.when(col.isNotNull(), F.col("__rn")))
         elif spec.kind == "next":
@@ -178,8 +182,8 @@ def _tiled(staged, keys, order, specs, inputs):
             carries[carry] = F.coalesce(F.sum(handed).over(before), F.lit(0))
         elif spec.kind == "total":
             carries[carry] = F.sum(handed).over(Window.partitionBy(*keys))
-        elif spec.kind == "max":
-            carries[carry] = F.max(handed).over(before)
+        elif spec.kind in ("max", "min"):
+            carries[carry] = (F.max if spec.kind == "max" else F.min)(handed).over(before)
         elif spec.kind == "last":
             carries[carry] = F.last(handed, ignorenulls=True).over(before)["v"]
         elif spec.kind == "next":
@@ -208,8 +212,8 @@ def _tiled(staged, keys, order, specs, inputs):
             merged[name] = mine + carry
         elif spec.kind == "total":
             merged[name] = carry
-        elif spec.kind == "max":
-            merged[name] = F.greatest(mine, carry)
+        elif spec.kind in ("max", "min"):
+            merged[name] = (F.greatest if spec.kind == "max" else F.least)(mine, carry)
         elif spec.kind == "lag":
             merged[name] = F.when(F.col("__rn") == 1, carry).otherwise(mine)
         elif spec.kind == "lead":

@@ -259,3 +259,77 @@ def test_main_cluster_compares_with_all_clustered_rows(spark, sizes, ambiguous):
     rows = [(c,) for c, n in enumerate(sizes) for _ in range(n)] + [(-1,)] * 50
     got = L.main_cluster(spark.createDataFrame(rows, "cluster int")).first()
     assert (got["cluster"], got["size"], got["ambiguous"]) == (0, sizes[0], ambiguous)
+
+
+def chain_cases():
+    """Tied and mixed paths whose parts repeat in several ways, side by side: (edges, part of each node)."""
+    rnd = random.Random(21)
+    n = 24
+    up = [(0, k, k, k + 1) for k in range(n)]
+    down = [(0, n - k, k, k + 1) for k in range(n)]
+    valley = [(abs(k - 5), k, k, k + 1) for k in range(11)]
+    hills = [(k % 7 if k // 7 % 2 else 7 - k % 7, k, k, k + 1) for k in range(n)]
+    ring = [*up, (0, n, n, 0)]
+    tree = [(0, k, k // 2, k) for k in range(1, n)]
+    comb = [*up, *[(rnd.randrange(2), 200 + k, k, 1000 + k) for k in range(0, n, 3)]]
+    twice = [(0, k, a, b) for k, (_, _, a, b) in enumerate([e for e in up for _ in (0, 1)])]
+    edges, part = [], {}
+    for case, own in enumerate([c for c in (up, down, valley, hills, ring, tree, comb, twice) for _ in range(3)]):
+        base = 10_000 * case
+        edges += [(r, base + i, base + a, base + b) for r, i, a, b in own]
+        for x in sorted({x for e in own for x in e[2:]}):
+            part[base + x] = base + (x, x % 3, rnd.randrange(12))[case % 3]
+    return edges, part
+
+
+def test_chains_equal_the_sequential_scan(spark, monkeypatch):
+    edges, part = chain_cases()
+    calls = []
+    real = rounds.chains.settled
+    monkeypatch.setattr(rounds.chains, "settled", lambda left: calls.append(1) or real(left))
+    nodes = spark.createDataFrame(sorted(part.items()), "node long, part int")
+    got = {r["node"]: r["cluster"] for r in rounds.constrained_clusters(nodes, frame(spark, edges)).collect()}
+    assert got == sequential_clusters(list(part), part, edges)
+    assert len(calls) <= 25
+
+
+def test_chains_of_matches_and_suppressions(spark, monkeypatch):
+    edges, part = chain_cases()
+    calls = []
+    real = rounds.chains.way_back
+    monkeypatch.setattr(rounds.chains, "way_back", lambda links: calls.append(1) or real(links))
+    used, want = set(), set()
+    for _, _, a, b in sorted(edges):
+        if a not in used and b not in used:
+            used |= {a, b}
+            want.add((a, b))
+    assert {(r["a"], r["b"]) for r in rounds.greedy_match(frame(spark, edges)).collect()} == want
+    gone = set()
+    for n in sorted(part):
+        if n not in gone:
+            gone |= {max(a, b) for _, _, a, b in edges if min(a, b) == n}
+    conflicts = frame(spark, edges).select(F.least("a", "b").alias("better"), F.greatest("a", "b").alias("worse"))
+    assert {r["node"] for r in rounds.suppress(conflicts).collect()} == gone
+    assert len(calls) <= 24
+
+
+def test_long_tied_paths_take_few_rounds(spark, monkeypatch):
+    """2000 edges tied in input order, no scan allowed: under 30 rounds, each of a logarithmic number of joins."""
+    from polyview.plans import folds, scan
+
+    calls = []
+    for name in ("settled", "taken"):
+        real = getattr(rounds.chains, name)
+        monkeypatch.setattr(rounds.chains, name, lambda left, real=real: calls.append(1) or real(left))
+    spark.conf.set(scan.LIMIT_SETTING, "0")
+    try:
+        edges = frame(spark, [(0, k, k, k + 1) for k in range(2000)])
+        got = {(r["a"], r["b"]) for r in folds.matched(edges, [F.lit(0)]).collect()}
+        assert got == {(k, k + 1) for k in range(0, 2000, 2)}
+        nodes = spark.createDataFrame([(k, k % 50, "v") for k in range(2001)], "node long, part int, video string")
+        links = spark.createDataFrame([(1.0, k, k, k + 1) for k in range(2000)], "hit_ratio double, seq long, a long, b long")
+        ids = {r["node"]: r["global_id"] for r in L.global_ids(nodes, links, "hit_ratio", "seq", "video").collect()}
+    finally:
+        spark.conf.unset(scan.LIMIT_SETTING)
+    assert ids == {k: k // 50 + 1 for k in range(2001)}
+    assert len(calls) < 30

@@ -195,3 +195,47 @@ def test_filter_options_are_checked(bad):
 
     with pytest.raises(ValueError):
         FilterOptions(**bad)
+
+
+def clustered_vectors(spark, count, spots, seed=5):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(spots, 8)) * 20
+    vecs = centres[np.arange(count) % spots] + rng.normal(size=(count, 8)) * 0.3
+    return vecs, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, vec array<double>")
+
+
+@pytest.mark.parametrize("metric,self_", [("l2", True), ("dot", False)])
+def test_pivot_tree_equals_brute_force(spark, monkeypatch, metric, self_):
+    from polyview.plans import knn
+
+    monkeypatch.setattr(knn, "PIVOT_ROWS", 8)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 12)
+    vecs, df = clustered_vectors(spark, 240, 9)
+    vecs[200:230] = vecs[200]  # copies share a place and split into blocks
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, vec array<double>")
+    cost = np.sqrt(((vecs[:, None] - vecs[None]) ** 2).sum(axis=2)) if metric == "l2" else -(vecs @ vecs.T)
+    if self_:
+        np.fill_diagonal(cost, np.inf)
+    want = {(i, r + 1): j for i in range(240) for r, j in enumerate(np.lexsort((np.arange(240), np.round(cost[i], 9)))[:4])}
+    got = {(r["target"], r["rank"]): r["source"] for r in knn.nearest(df, df, 4, metric, self_).collect()}
+    same = {(i, r): round(float(cost[i, j]), 6) for (i, r), j in got.items()}
+    assert same == {(i, r): round(float(cost[i, j]), 6) for (i, r), j in want.items()}
+    assert knn.nearest(df, df.limit(0), 4, metric).count() == 0 and knn.nearest(df.limit(0), df, 4, metric).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["l2", "dot"])
+def test_block_pairs_grow_slower_than_their_square(spark, monkeypatch, metric):
+    from polyview.plans import knn
+
+    monkeypatch.setattr(knn, "PIVOT_ROWS", 16)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 64)
+    real, met = knn._met, []
+    monkeypatch.setattr(knn, "_met", lambda t, s, pairs, *more: met.append(pairs.selectExpr("coalesce(sum(tb * sb), 0)").first()[0]) or real(t, s, pairs, *more))
+    counts = []
+    for count in (500, 2000):
+        met.clear()
+        _, df = clustered_vectors(spark, count, count // 50)
+        queries = df.filter("id % 10 = 0") if metric == "dot" else df
+        assert knn.nearest(queries, df, 3, metric).count() == 3 * queries.count()
+        counts.append(sum(met))
+    assert counts[1] < 8 * counts[0], counts
