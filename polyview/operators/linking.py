@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from polyview.functions import boxes as B
 from polyview.plans import folds, rounds
 from polyview.plans.scan import along, number, numbered
+from polyview.plans.octree import box_columns, box_gaps, occupied_pairs
 from polyview.plans.spatial import overlapping, within_radius
 from polyview.plans.stats import with_aggregates
 from polyview.session import cut
@@ -184,28 +185,30 @@ def dbscan(points: DataFrame, ident: str, eps: float, least: int) -> DataFrame:
 
     Equal points are folded.  Cells have a diagonal of ``eps``, so the points of a cell
     are neighbours: a cell with ``least`` points is all core without looking at pairs,
-    and the core points of a cell always share a cluster.  Pairs are formed between
-    neighbouring cells only, counted for sparse cells, and reduced to cell links.
+    and the core points of a cell always share a cluster.  Only occupied cells near each other
+    are paired; the boxes of their points settle most pairs, points meet in the rest, and links join cells.
     """
     axes = ["x", "y", "z"]
     cells = ["cx", "cy", "cz"]
     size = eps / 3**0.5 * (1 - 1e-9)
     located = points.groupBy(*axes).agg(F.count(F.lit(1)).alias("n"), F.min(ident).alias("loc"))
     located = cut(located.withColumns({c: F.floor(F.col(a) / size) for c, a in zip(cells, axes)}))
-    full = located.groupBy(*cells).agg((F.sum("n") >= least).alias("dense"))
-    placed = located.join(full, cells)
-
-    offsets = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3)]
-    spread = lambda df, steps: df.withColumn(
-        "o", F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("ijk", s)]) for s in steps]))
-    ).select(
-        F.struct("loc", "n", *axes, *cells).alias("a"), *[(F.col(c) + F.col(f"o.{n}")).alias(c) for c, n in zip(cells, "ijk")]
-    )
-    near = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in axes), F.lit(0.0))
-    packed = lambda df: df.select(*cells, F.struct("loc", "n", *axes, *cells, *(["cluster"] if "cluster" in df.columns else [])).alias("b"))
-
-    sparse = placed.filter(~F.col("dense"))
-    counted = spread(sparse, offsets).join(packed(located), cells).filter(F.sqrt(near) <= eps)
+    boxed = lambda df, *more: df.groupBy(*cells).agg(*box_columns(), *more)
+    of = lambda side: [F.col(f"{side}.{c}").alias(f"{side}{c}") for c in cells]
+    least_gap, largest_gap = box_gaps("a", "b")
+
+    def met(asking: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Locations ``a`` and ``b`` of paired cells at most ``eps`` apart."""
+        packed = lambda df, side: df.select(F.struct(*df.columns).alias(side), *[F.col(c).alias(f"{side}{c}") for c in cells])
+        near = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in axes), F.lit(0.0))
+        both = packed(asking, "a").join(pairs, [f"a{c}" for c in cells]).join(packed(held, "b"), [f"b{c}" for c in cells])
+        return both.filter(F.sqrt(near) <= eps)
+
+    full = cut(boxed(located, (F.sum("n") >= least).alias("dense")))
+    pairs = cut(occupied_pairs(full).filter(least_gap <= eps))
+    placed = located.join(full.select(*cells, "dense"), cells)
+    sparse = placed.filter(~F.col("dense")).select(*located.columns)
+    counted = met(sparse, located, pairs.filter("NOT a.dense").select(*of("a"), *of("b")))
     found = counted.groupBy(F.col("a.loc").alias("loc")).agg(F.sum("b.n").alias("degree")).filter(F.col("degree") >= least)
     core = cut(
         placed.filter("dense").select(*located.columns).union(
@@ -213,11 +216,14 @@ def dbscan(points: DataFrame, ident: str, eps: float, least: int) -> DataFrame:
         )
     )
     cell = F.struct(*cells)
-    forward = [s for s in offsets if s > (0, 0, 0)]
-    touching = spread(core, forward).join(packed(core), cells).filter(F.sqrt(near) <= eps)
-    links = touching.select(
-        F.struct(*[F.col(f"a.{c}").alias(c) for c in cells]).alias("a"), F.struct(*[F.col(f"b.{c}").alias(c) for c in cells]).alias("b")
-    ).distinct()
+    struct = lambda side: F.struct(*[F.col(f"{side}{c}").alias(c) for c in cells])
+    forward = cut(
+        occupied_pairs(boxed(core)).filter(struct("a.") < struct("b.")).filter(least_gap <= eps)
+        .select(*of("a"), *of("b"), (largest_gap <= eps).alias("sure"))
+    )
+    open_ = forward.filter(~F.col("sure"))
+    some = met(core, core, open_.drop("sure")).select(*open_.drop("sure").columns).distinct()
+    links = forward.filter("sure").drop("sure").union(some.select(forward.drop("sure").columns)).select(struct("a").alias("a"), struct("b").alias("b"))
     per_cell = core.groupBy(*cells).agg(F.min("loc").alias("first")).select(cell.alias("node"), "first")
     parts = rounds.components(per_cell, links)
     # Clusters are numbered by their first core point.
@@ -228,7 +234,7 @@ def dbscan(points: DataFrame, ident: str, eps: float, least: int) -> DataFrame:
         .select(*located.columns, "cluster")
     )
     rest = located.join(cores.select("loc"), "loc", "left_anti")
-    border = spread(rest, offsets).join(packed(cores), cells).filter(F.sqrt(near) <= eps)
+    border = met(rest, cores.drop("node"), pairs.select(*of("a"), *of("b")))
     owned = border.groupBy(F.col("a.loc").alias("loc")).agg(F.min("b.cluster").alias("cluster"))
     label = cores.select(*axes, "cluster").union(
         rest.join(owned, "loc", "left").select(*axes, F.coalesce("cluster", F.lit(-1)).alias("cluster"))

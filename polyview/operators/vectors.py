@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyview.plans.knn import nearest
-from polyview.plans.scan import largest_group
+from polyview.plans.octree import nearest_rows
 from polyview.plans.stats import attach, with_aggregates
-from polyview.session import cut, cut_counted
+from polyview.session import cut_counted
 
 
 def knn(targets: DataFrame, sources: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
@@ -122,59 +122,20 @@ def balanced_representative(rows: DataFrame, group: str) -> DataFrame:
     return ends.groupBy(group).agg(best).select(group, "b.*")
 
 
-def mean_neighbour_distance(points: DataFrame, ident: str, k: int, cell: float | None = None) -> DataFrame:
-    """Mean distance of each 3-D point to its k nearest rows, itself included.
+def mean_neighbour_distance(points: DataFrame, ident: str, k: int) -> DataFrame:
+    """Mean distance of each 3-D point to its k nearest rows, itself included (all rows, if they are fewer).
 
-    Equal points are folded into one location with a count.  Locations are searched in
-    27 grid cells; a location is done when k rows lie within one cell width, which the
-    27 cells cover completely.  The rest searches again with doubled cells.
+    Equal points are folded into one location with a count.
     """
-    axes, cells = ["x", "y", "z"], ["cx", "cy", "cz"]
-    located = cut(points.groupBy(*axes).agg(F.count(F.lit(1)).alias("n"), F.min(ident).alias("loc")))
-    box = located.agg(*[F.min(a).alias(f"lo{a}") for a in axes], *[F.max(a).alias(f"hi{a}") for a in axes], F.sum("n").alias("n"), F.count("n").alias("locs")).first()
-    if not box["locs"]:
+    axes = ["x", "y", "z"]
+    located, count = cut_counted(points.groupBy(*axes).agg(F.count(F.lit(1)).alias("n"), F.min(ident).alias("loc")))
+    if not count:
         return points.select(ident).withColumn("mean_distance", F.lit(None).cast("double"))
-    need = min(k, box["n"])
-    sides = [max(box[f"hi{a}"] - box[f"lo{a}"], 1e-12) for a in axes]
-    size = cell or (sides[0] * sides[1] * sides[2] * need / box["locs"]) ** (1 / 3) / 4
-    keyed = lambda df, s: df.withColumns({c: F.floor((F.col(a) - box[f"lo{a}"]) / s) for c, a in zip(cells, axes)})
-    # Dense spots get smaller cells: no cell may hold more than 2048 locations.
-    while largest_group(keyed(located, size), cells) > 2_048:
-        size /= 2
-    steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    open_, left, done = located, box["locs"], None
-    total = {a: s for a, s in zip(axes, sides)}
-    while left:
-        wide = keyed(open_, size)
-        for c in cells:
-            wide = wide.withColumn("__d", F.explode(steps)).withColumn(c, F.col(c) + F.col("__d"))
-        a = wide.select(*cells, F.col("loc"), *[F.col(x).alias(f"a{x}") for x in axes])
-        b = keyed(located, size).select(*cells, F.col("n"), *[F.col(x).alias(f"b{x}") for x in axes])
-        gap = F.sqrt(sum(((F.col(f"a{x}") - F.col(f"b{x}")) * (F.col(f"a{x}") - F.col(f"b{x}")) for x in axes), F.lit(0.0)))
-        seen = a.join(b, cells).select("loc", "n", gap.alias("gap"))
-        covers = all(size >= s for s in total.values())
-        near = seen if covers else seen.filter(F.col("gap") <= size)
-        ranked = _first_k(near, need)
-        enough = ranked.groupBy("loc").agg(F.sum("take").alias("got"), (F.sum(F.col("gap") * F.col("take")) / need).alias("mean_distance"))
-        fine = cut(enough.filter(F.col("got") >= need).select("loc", "mean_distance"))
-        done = fine if done is None else done.union(fine)
-        open_, left = cut_counted(open_.join(fine, "loc", "left_anti"))
-        size *= 2
-    out = located.join(done, "loc").select(*axes, "mean_distance")
+    rows = located.agg(F.sum("n")).first()[0]
+    out = located.join(nearest_rows(located, min(k, rows)), "loc").select(*axes, "mean_distance")
     return points.join(out, axes)
 
 
-def _first_k(per: DataFrame, k: int) -> DataFrame:
-    """How many rows of each (loc, gap, n) belong to the k nearest.
-
-    The rank limit keeps k distances per location before the shuffle.
-    """
-    w = Window.partitionBy("loc").orderBy("gap")
-    short = per.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k)
-    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return short.withColumn("take", F.greatest(F.lit(0), F.least(F.col("n"), F.lit(k) - before)))
-
-
 def outlier_removal(points: DataFrame, ident: str, k: int = 20, sigmas: float = 2.0) -> DataFrame:
     """Rows whose mean neighbour distance is positive and below mean + sigmas * deviation.
 

@@ -239,3 +239,32 @@ def test_block_pairs_grow_slower_than_their_square(spark, monkeypatch, metric):
         assert knn.nearest(queries, df, 3, metric).count() == 3 * queries.count()
         counts.append(sum(met))
     assert counts[1] < 8 * counts[0], counts
+
+
+@pytest.mark.parametrize("tile", [25, 8192])
+def test_nearest_rows_of_octree_tiles(spark, monkeypatch, tile):
+    from polyview.plans import octree
+
+    monkeypatch.setattr(octree, "TILE", tile)
+    monkeypatch.setattr(octree, "LEAF", 4)
+    rng = np.random.default_rng(8)
+    cloud = np.concatenate([rng.normal(0, 0.1, (120, 3)), rng.normal(3, 1.0, (60, 3)), [[40.0, 0.0, 0.0]]])
+    counts = rng.integers(1, 4, len(cloud))
+    df = spark.createDataFrame([(i, *map(float, p), int(n)) for i, (p, n) in enumerate(zip(cloud, counts))], "loc long, x double, y double, z double, n long")
+    got = {r["loc"]: r["mean_distance"] for r in octree.nearest_rows(df, 9).collect()}
+    assert len(got) == len(cloud)
+    for i, p in enumerate(cloud):
+        gaps = np.repeat(np.sqrt(((cloud - p) ** 2).sum(axis=1)), counts)
+        assert got[i] == pytest.approx(np.sort(gaps)[:9].mean(), abs=1e-9)
+
+
+def test_occupied_pairs_are_all_near_cells(spark):
+    from polyview.plans import octree
+
+    rng = random.Random(4)
+    cells = sorted({(rng.randint(-6, 6), rng.randint(-6, 6), rng.randint(-2, 2)) for _ in range(150)})
+    df = spark.createDataFrame(cells, "cx long, cy long, cz long")
+    for reach in (1, 2):
+        got = [(tuple(r["a"]), tuple(r["b"])) for r in octree.occupied_pairs(df, reach).collect()]
+        want = {(a, b) for a in cells for b in cells if max(abs(x - y) for x, y in zip(a, b)) <= reach}
+        assert len(got) == len(want) and set(got) == want
