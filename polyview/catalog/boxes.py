@@ -9,6 +9,7 @@ from polyview.catalog.registry import query, r6
 from polyview.functions import boxes as B
 from polyview.functions import sizes as S
 from polyview.operators import detections as D
+from polyview.operators import sampling as A
 
 IOU = """CASE WHEN (a.x2-a.x1)*(a.y2-a.y1)+(b.x2-b.x1)*(b.y2-b.y1)
  - greatest(least(a.x2,b.x2)-greatest(a.x1,b.x1),0)*greatest(least(a.y2,b.y2)-greatest(a.y1,b.y1),0) <= 0 THEN 0
@@ -268,3 +269,39 @@ def resize_rules(spark, d):
         "p_partkey", fw.alias("fit_w"), fh.alias("fit_h"), S.nearest_patch(w).alias("patch_w"),
         r6(scale, "scale"), r6(shift, "shift"),
     )
+
+
+_UNIFORM = "(('0x' || substr(md5({0}), 1, 12))::BIGINT + 0.5) / 281474976710656.0"
+
+
+@query("weighted_points", f"""WITH {X.DET}, b AS (SELECT *, CAST(greatest(5,least(floor(sqrt((x2-x1)*(y2-y1))*2),8)) AS BIGINT) AS budget FROM det),
+e AS (SELECT *, CAST(floor(sqrt(budget*4)) AS BIGINT) AS edge FROM b),
+g AS (SELECT e.*, j*edge+i AS k, i::DOUBLE/(edge-1) AS u, j::DOUBLE/(edge-1) AS v FROM e, unnest(range(edge)) AS t(i), unnest(range(edge)) AS r(j)),
+w AS (SELECT *, CASE WHEN sqrt((2*u-1)*(2*u-1)+(2*v-1)*(2*v-1))<=0.4*2.5 THEN exp(-((2*u-1)*(2*u-1)+(2*v-1)*(2*v-1))/(2*0.4*0.4)) ELSE 0 END AS weight FROM g),
+d AS (SELECT *, CASE WHEN count(*) FILTER (weight>0) OVER (PARTITION BY image_id,object_id) < budget THEN 1 ELSE weight END AS even FROM w),
+o AS (SELECT *, row_number() OVER (PARTITION BY image_id,object_id ORDER BY -ln({_UNIFORM.format("image_id || ':' || object_id || ':' || k")})/even, k) AS pos FROM d WHERE even>0)
+SELECT image_id, object_id, CAST(pos AS INTEGER) AS pos, round(x1+(x2-x1)*u,6)+0.0 AS x, round(y1+(y2-y1)*v,6)+0.0 AS y FROM o WHERE pos<=budget""")
+def weighted_points(spark, d):
+    det = X.detections(spark, d).withColumn("budget", S.point_budget(B.area(B.sides()), 8))
+    out = A.box_points(det, ["image_id", "object_id"], ["x1", "y1", "x2", "y2"], "budget", 0.4, 2.5)
+    return out.select("image_id", "object_id", "pos", r6(F.col("x"), "x"), r6(F.col("y"), "y"))
+
+
+@query("weighted_draw", f"""WITH {X.DET}, w AS (SELECT *, round((x2-x1)*(y2-y1),2)*(CASE WHEN l_returnflag='R' THEN 0 ELSE 1 END) AS weight FROM det),
+d AS (SELECT *, CASE WHEN count(*) FILTER (weight>0) OVER (PARTITION BY image_id) < 3 THEN 1 ELSE weight END AS even FROM w),
+o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY -ln({_UNIFORM.format("image_id || ':' || object_id")})/even, object_id) AS pos FROM d WHERE even>0)
+SELECT image_id, object_id, CAST(pos AS INTEGER) AS pos, weight FROM o WHERE pos<=3""")
+def weighted_draw(spark, d):
+    det = X.detections(spark, d, "l_returnflag")
+    weight = F.round(B.area(B.sides()), 2) * F.when(F.col("l_returnflag") == "R", 0).otherwise(1)
+    rows = det.select("image_id", "object_id", weight.alias("weight"), F.lit(3).alias("n"))
+    return A.weighted_draw(rows, ["image_id"], "weight", "object_id", "n", 3).select("image_id", "object_id", "pos", "weight")
+
+
+@query("area_shares", f"""WITH {X.DET}, s AS (SELECT image_id, object_id, (x2-x1)*(y2-y1) AS area, sum((x2-x1)*(y2-y1)) OVER (PARTITION BY image_id) AS total FROM det),
+e AS (SELECT *, area*100/total AS exact FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(exact-floor(exact),9) DESC, object_id) AS turn, 100-sum(floor(exact)) OVER (PARTITION BY image_id) AS over FROM e)
+SELECT image_id, object_id, area, CAST(floor(exact)+(CASE WHEN turn<=over THEN 1 ELSE 0 END) AS BIGINT) AS share FROM r""")
+def area_shares(spark, d):
+    det = X.detections(spark, d).select("image_id", "object_id", B.area(B.sides()).alias("area"))
+    return A.area_shares(det, ["image_id"], "object_id", "area", 100)

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyview.functions.sizes import centre_weight
 from polyview.plans.scan import along, group_size, group_sum, number, running_sum
 from polyview.plans.stats import attach, with_aggregates
 
@@ -264,3 +265,61 @@ def bounded_exchange(
     inside = along(turns.filter(left > 0), ["__layer"], [F.col(macro)], {"__at": number()})
     added = inside.filter((F.col("__size") <= left) | _evenly(F.col("__at") - 1, left, F.col("__size")))
     return removed.select(*baseline.columns), added.select(*pool.columns)
+
+
+def uniform(*key: Column) -> Column:
+    """A number between 0 and 1 from the hash of the key, the same on every run."""
+    digits = F.substring(F.md5(F.concat_ws(":", *[k.cast("string") for k in key])), 1, 12)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(16**12)
+
+
+def draw_order(weight: Column, *key: Column) -> Column:
+    """Exponential keys: the n lowest are a draw of n without replacement, by weight (null: never drawn)."""
+    return F.when(weight > 0, -F.log(uniform(*key)) / weight)
+
+
+def weighted_draw(rows: DataFrame, keys: Sequence[str], weight: str, ident: str, n: str, most: int, name: str = "pos") -> DataFrame:
+    """``n`` rows of each group (at most ``most``), drawn without replacement by weight, numbered in drawing order.
+
+    A group with fewer than ``n`` rows of positive weight is drawn evenly.  Only ``most`` rows of a group leave a task.
+    """
+    positive = F.count_if(F.col(weight) > 0)
+    known = with_aggregates(rows, keys, __some=positive)
+    even = F.when(F.col("__some") >= F.col(n), F.col(weight)).otherwise(F.lit(1.0))
+    keyed = known.withColumn("__draw", draw_order(even, *[F.col(k) for k in keys], F.col(ident))).filter("__draw IS NOT NULL")
+    return top_k(keyed, keys, [F.col("__draw"), F.col(ident)], most, name).filter(F.col(name) <= F.col(n)).drop("__draw", "__some")
+
+
+def box_points(boxes: DataFrame, keys: Sequence[str], sides: Sequence[str], budget: str, sigma: float, cut: float, factor: int = 4) -> DataFrame:
+    """Points of each box, drawn by the Gaussian weight of their place from an even grid of about ``factor`` candidates a point.
+
+    ``sides`` name left, top, right and bottom.  A box's candidates follow from its row alone, so nothing is shuffled.
+    """
+    edge = F.floor(F.sqrt(F.col(budget) * factor)).cast("int")
+    steps = F.sequence(F.lit(0), F.col("__edge") - 1)
+    along_axis = lambda i: F.when(F.col("__edge") > 1, i / (F.col("__edge") - 1)).otherwise(F.lit(0.0))
+    cells = F.flatten(F.transform(steps, lambda j: F.transform(steps, lambda i: F.struct(i.alias("i"), j.alias("j")))))
+    placed = F.transform("__cells", lambda c: F.struct(
+        (c["j"] * F.col("__edge") + c["i"]).alias("k"), along_axis(c["i"]).alias("u"), along_axis(c["j"]).alias("v"),
+    ))
+    weighed = F.transform("__placed", lambda p: p.withField("w", centre_weight(2 * p["u"] - 1, 2 * p["v"] - 1, sigma, cut)))
+    even = F.size(F.filter("__weighed", lambda p: p["w"] > 0)) < F.col(budget)
+    drawn = F.transform("__weighed", lambda p: F.struct(draw_order(F.when(even, F.lit(1.0)).otherwise(p["w"]), *[F.col(k) for k in keys], p["k"]).alias("d"), p["k"].alias("k"), p["u"].alias("u"), p["v"].alias("v")))
+    chosen = F.slice(F.array_sort(F.filter(drawn, lambda p: p["d"].isNotNull())), F.lit(1), F.col(budget).cast("int"))
+    left, top, right, bottom = [F.col(s) for s in sides]
+    rows = boxes.withColumn("__edge", edge).withColumn("__cells", cells).withColumn("__placed", placed).withColumn("__weighed", weighed)
+    rows = rows.select(*keys, *dict.fromkeys(sides), F.posexplode(chosen).alias("pos", "p"))
+    return rows.select(*keys, (F.col("pos") + 1).alias("pos"), (left + (right - left) * F.col("p.u")).alias("x"), (top + (bottom - top) * F.col("p.v")).alias("y"))
+
+
+def area_shares(regions: DataFrame, group: Sequence[str], key: str, area: str, budget: int) -> DataFrame:
+    """Each group's budget split by area: whole parts first, what is left to the largest remainders (ties by key).
+
+    A group without any area gets nothing.
+    """
+    known = with_aggregates(regions, group, __all=F.sum(area))
+    exact = F.when(F.col("__all") > 0, F.col(area) * budget / F.col("__all")).otherwise(F.lit(0.0))
+    split = known.withColumn("__exact", exact).withColumns({"__base": F.floor("__exact"), "__over": F.round(F.col("__exact") - F.floor("__exact"), 9)})
+    turn = along(split, list(group), [F.desc("__over"), F.col(key)], {"__turn": number(), "__given": group_sum(F.col("__base"))})
+    extra = (F.col("__all") > 0) & (F.col("__turn") <= F.lit(budget) - F.col("__given"))
+    return turn.select(*group, key, area, (F.col("__base") + extra.cast("long")).cast("long").alias("share"))
