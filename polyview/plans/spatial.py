@@ -13,10 +13,20 @@ from polyview.plans.scan import group_fits
 PAIR_LIMIT = 2_000
 
 
-def _cells(df: DataFrame, size: float) -> DataFrame:
-    span = lambda lo, hi: F.explode(
-        F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
-    )
+# Box sides are powers of two apart between levels; smaller sides share the lowest one.
+LOWEST, HIGHEST = -16, 60
+
+
+def _level(df: DataFrame) -> Column:
+    """The level whose cells are at least as wide as the box, so that it touches four of them at most."""
+    side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    return F.when(side > 2.0**LOWEST, F.least(F.ceil(F.log2(side)), F.lit(HIGHEST))).otherwise(LOWEST).cast("int")
+
+
+def _in_cells(df: DataFrame, level: str) -> DataFrame:
+    """A row for each cell of the ``level`` that a box touches."""
+    size = F.pow(F.lit(2.0), F.col(level))
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
     return df.withColumn("__cx", span("x1", "x2")).withColumn("__cy", span("y1", "y2"))
 
 
@@ -25,20 +35,21 @@ def overlapping(
     b: DataFrame,
     keys: Sequence[str],
     fits: bool | None = None,
-    cell: float | None = None,
 ) -> DataFrame:
     """Pairs of touching or overlapping boxes inside a key group, as structs ``a`` and ``b``.
 
     Points are boxes without extent.  While the larger side's groups are small the
-    key alone pairs them.  Otherwise both sides are laid on grid cells and joined by
-    (key, cell); a pair is kept only in the cell holding the lower corner of the
-    intersection, so it appears once and needs no ``distinct``.
+    key alone pairs them.  Otherwise boxes lie on grids of several levels, each on that of its own
+    size; of two boxes the smaller one also looks into the larger one's level, where it touches four cells
+    at most.  So a box as wide as the table is four rows and small boxes stay in small cells.  A pair is kept only in the
+    cell holding the lower corner of the intersection, so it appears once and needs no ``distinct``; Spark splits
+    crowded cells (skew join).
     """
     keys = list(keys)
     if fits is None:
         fits = group_fits(a, keys, PAIR_LIMIT) and group_fits(b, keys, PAIR_LIMIT)
     pack = lambda df, name, *more: df.select(
-        *keys, F.struct(*[c for c in df.columns if not c.startswith("__c")]).alias(name), *more
+        *keys, F.struct(*[c for c in df.columns if not c.startswith("__")]).alias(name), *more
     )
     touch = (
         (F.col("a.x1") <= F.col("b.x2"))
@@ -48,17 +59,21 @@ def overlapping(
     )
     if fits:
         return pack(a, "a").join(pack(b, "b"), keys).filter(touch)
-    if cell is None:
-        side = F.avg(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
-        sizes = [df.agg(side.alias("s")).first()["s"] or 0.0 for df in (a, b)]
-        cell = max(*sizes, 1e-9) * 2
-    left = pack(_cells(a, cell), "a", "__cx", "__cy")
-    right = pack(_cells(b, cell), "b", "__cx", "__cy")
-    owner = (F.col("__cx") == F.floor(F.greatest("a.x1", "b.x1") / cell)) & (
-        F.col("__cy") == F.floor(F.greatest("a.y1", "b.y1") / cell)
-    )
-    joined = left.join(right, [*keys, "__cx", "__cy"])
-    return joined.filter(touch & owner).drop("__cx", "__cy")
+    cell = ["__level", "__cx", "__cy"]
+    sides = {name: df.withColumn("__own", _level(df)) for name, df in (("a", a), ("b", b))}
+    levels = {name: sorted(r[0] for r in df.select("__own").distinct().collect() if r[0] is not None) for name, df in sides.items()}
+
+    def met(small: str, large: str, strict: bool) -> DataFrame:
+        """Pairs whose ``small`` side is on a lower level, or on the same one."""
+        least = F.col("__own") + 1 if strict else F.col("__own")
+        up = F.filter(F.array(*[F.lit(v) for v in levels[large]]).cast("array<int>"), lambda v: v >= least)
+        looking = pack(_in_cells(sides[small].withColumn("__level", F.explode(up)), "__level"), small, *cell)
+        lying = pack(_in_cells(sides[large].withColumn("__level", F.col("__own")), "__level"), large, *cell)
+        size = F.pow(F.lit(2.0), F.col("__level"))
+        owner = (F.col("__cx") == F.floor(F.greatest("a.x1", "b.x1") / size)) & (F.col("__cy") == F.floor(F.greatest("a.y1", "b.y1") / size))
+        return looking.join(lying, [*keys, *cell]).filter(touch & owner).select(*keys, "a", "b")
+
+    return met("a", "b", False).unionByName(met("b", "a", True))
 
 
 def lattice(axes: Sequence[Column], size: float, names: Sequence[str]) -> list[Column]:

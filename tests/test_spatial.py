@@ -268,3 +268,21 @@ def test_occupied_pairs_are_all_near_cells(spark):
         got = [(tuple(r["a"]), tuple(r["b"])) for r in octree.occupied_pairs(df, reach).collect()]
         want = {(a, b) for a in cells for b in cells if max(abs(x - y) for x, y in zip(a, b)) <= reach}
         assert len(got) == len(want) and set(got) == want
+
+
+def test_boxes_of_mixed_size_meet_on_levels(spark):
+    """One box as wide as the table, crowds of small ones, points and touching edges, with null and empty groups."""
+    from polyview.plans import spatial
+
+    rng = random.Random(6)
+    rows = [(0, 0.0, 0.0, 100_000.0, 100_000.0)]
+    rows += [(i, x := rng.uniform(0, 1e5), y := rng.uniform(0, 1e5), x + rng.uniform(0, 400), y + rng.uniform(0, 30)) for i in range(1, 150)]
+    rows += [(i, 10.0, 10.0, 10.0 + i % 3, 10.0) for i in range(200, 230)] + [(300, -5.0, -5.0, 0.0, 0.0), (301, 1e5, 1e5, 1e5, 1e5), (302, -4.0, 3.0, -1.0, 4.0)]
+    df = spark.createDataFrame([("v", *r) for r in rows], "k string, id int, x1 double, y1 double, x2 double, y2 double")
+    got = [(r["a"]["id"], r["b"]["id"]) for r in spatial.overlapping(df, df, ["k"], fits=False).collect()]
+    touch = lambda p, q: p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4]
+    want = {(p[0], q[0]) for p in rows for q in rows if touch(p, q)}
+    assert len(got) == len(want) and set(got) == want
+    cells = spatial._in_cells(df.withColumn("__level", spatial._level(df)), "__level")
+    assert cells.groupBy("id").count().agg(F.max("count")).first()[0] <= 4
+    assert spatial.overlapping(df.limit(0), df, ["k"], fits=False).count() == 0
