@@ -27,10 +27,16 @@ SELECT image_id, object_id, score, area, cx, cy, area_rank FROM (SELECT *,
  CAST(row_number() OVER (PARTITION BY image_id ORDER BY area DESC, object_id) AS INTEGER) AS area_rank
  FROM f WHERE score>=0.2 AND area>=3000) WHERE area_rank<=500""")
 def box_features(spark, d):
-    out = D.box_features(X.detections(spark, d), 0.2, 3000.0)
+    out = D.box_features(X.detections(spark, d), 0.2, 3000.0, 500)
     return out.select("image_id", "object_id", "score", "area", "cx", "cy", "area_rank")
 
 
+@query("box_limit", f"""WITH {X.DET}, f AS (SELECT image_id, count(*) AS n FROM det WHERE score>=0.2 AND greatest(0,(x2-x1)*(y2-y1))>=3000 GROUP BY 1)
+SELECT image_id, least(n,2) AS kept, greatest(n-2,0) AS dropped FROM f""")
+def box_limit(spark, d):
+    return D.boxes_over_limit(X.detections(spark, d), 0.2, 3000.0, 2)
+
+
 @query("box_valid", f"""WITH {X.DET}, b AS (SELECT image_id, object_id,
  x1, y1, CASE WHEN object_id%3=0 THEN x1 WHEN object_id%5=1 THEN 'nan'::DOUBLE ELSE x2 END AS x2,
  CASE WHEN object_id%7=2 THEN NULL ELSE y2 END AS y2 FROM det)

@@ -8,6 +8,7 @@ from polyview import fixtures as X
 from polyview.catalog.boxes import MAPPING, mapping
 from polyview.catalog.registry import query
 from polyview.operators import labels as L
+from polyview.sources import logs
 
 # Each record is broken in the way its part key selects.
 
@@ -230,12 +231,21 @@ def annotations_by_image(spark, d):
 @query("last_record", """SELECT user_id, max(event_id) AS line_no, arg_max(event_type,event_id) AS event_type,
  json_extract_string(arg_max(props,event_id),'$.k') AS k FROM events GROUP BY 1""")
 def last_record(spark, d):
+    """The users' event lines as JSON-lines logs, one log a user."""
     ev = X.table(spark, d, "events")
-    return (
-        ev.groupBy("user_id")
-        .agg(F.max("event_id").alias("line_no"), F.max_by(F.struct("event_type", "props"), "event_id").alias("r"))
-        .select("user_id", "line_no", "r.event_type", F.get_json_object("r.props", "$.k").alias("k"))
-    )
+    text = F.to_json(F.struct(F.col("event_id").alias("line_no"), "event_type", F.get_json_object("props", "$.k").alias("k")))
+    lines = ev.select(F.col("user_id").alias("file"), F.col("event_id").alias("seq"), text.alias("text"))
+    kind = ev.schema["event_id"].dataType
+    out = logs.last_records(lines, ["line_no", "event_type", "k"])
+    return out.select(F.col("file").alias("user_id"), F.col("line_no").cast(kind).alias("line_no"), "event_type", "k")
+
+
+@query("label_errors", """WITH o AS (SELECT DISTINCT l_partkey AS sku_id FROM lineitem), m AS (SELECT DISTINCT CASE WHEN p_partkey%7=0 THEN p_partkey+1000000 ELSE p_partkey END AS sku_id FROM part)
+SELECT coalesce(m.sku_id,o.sku_id) AS sku_id, CASE WHEN o.sku_id IS NULL THEN 'unknown id' ELSE 'missing id' END AS error FROM m FULL JOIN o ON m.sku_id=o.sku_id WHERE m.sku_id IS NULL OR o.sku_id IS NULL""")
+def label_errors(spark, d):
+    key = F.col("p_partkey")
+    data = X.table(spark, d, "part").select(F.when(key % 7 == 0, key + 1000000).otherwise(key).alias("sku_id"))
+    return L.label_errors(data, X.table(spark, d, "lineitem").select(F.col("l_partkey").alias("sku_id")), "sku_id")
 
 
 @query("props_json", """SELECT event_id, json_extract_string(props,'$.k') AS k, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k_num,

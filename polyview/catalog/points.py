@@ -166,6 +166,12 @@ def hit_counts_per_box(spark, d):
     return P.with_zero_boxes(hits, boxes, "frame").select("frame.video", "frame.frame", "box_id", "hits", r6(F.col("best_ratio"), "best_ratio"))
 
 
+@query("candidate_limit", f"""WITH {HITS} SELECT video, frame, ref_id, count(*) AS boxes, greatest(count(*)-1,0) AS unscored FROM hit GROUP BY ALL""")
+def candidate_limit(spark, d):
+    hits, _ = _hits(spark, d)
+    return P.candidates_over_limit(hits, "frame", 1).select("frame.video", "frame.frame", "ref_id", "boxes", "unscored")
+
+
 SCORED = f"""{HITS}, geo AS (SELECT video, idx, object_id, x1/100 AS cx, y1/100 AS cy, l_quantity/25 AS cz FROM pl),
 sh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video, frame, ref_id ORDER BY hits DESC, box_id) AS rk FROM hit) WHERE rk<=5 AND hits/total>=0.4),
 sc AS (SELECT sh.*, sqrt(pow(r.cx-t.cx,2)+pow(r.cy-t.cy,2)+pow(r.cz-t.cz,2)) AS dist FROM sh JOIN geo r ON r.video=sh.video AND r.idx=sh.frame-1 AND r.object_id=ref_id
@@ -181,7 +187,7 @@ def _scored(spark, d):
     )
     refs = geo.select(F.struct("video", (F.col("idx") + 1).alias("frame")).alias("frame"), F.col("object_id").alias("ref_id"), "cx", "cy", "cz")
     tgts = geo.select("frame", F.col("object_id").alias("box_id"), "cx", "cy", "cz")
-    return P.candidate_scores(hits, refs, tgts, "frame", 0.4, 2.0)
+    return P.candidate_scores(hits, refs, tgts, "frame", 0.4, 2.0, top=5)
 
 
 @query("candidate_scoring", f"""WITH {SCORED} SELECT video, frame, ref_id, box_id, hits, round(dist,6) AS distance, round(score,6) AS score,

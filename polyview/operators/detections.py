@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from polyview.functions import boxes as B
 from polyview.plans.spatial import overlapping
 
-MAX_BOXES = 500
+def large_boxes(det: DataFrame, min_score: float, min_area: float) -> DataFrame:
+    """Complete boxes that are large and confident, with their area."""
+    rows = det.dropna(subset=list(B.SIDES)).withColumn("area", B.clipped_area(B.sides()))
+    return rows.filter((F.col("score") >= min_score) & (F.col("area") >= min_area))
 
 
-def box_features(
-    det: DataFrame, min_score: float, min_area: float, max_boxes: int = MAX_BOXES
-) -> DataFrame:
-    """Large and confident boxes with centre and area, at most ``max_boxes`` per image.
+def boxes_over_limit(det: DataFrame, min_score: float, min_area: float, max_boxes: int) -> DataFrame:
+    """How many of an image's boxes ``box_features`` keeps and how many its limit drops."""
+    counts = large_boxes(det, min_score, min_area).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("image_id", F.least("n", F.lit(max_boxes).cast("long")).alias("kept"), F.greatest(F.col("n") - max_boxes, F.lit(0).cast("long")).alias("dropped"))
+
+
+def box_features(det: DataFrame, min_score: float, min_area: float, max_boxes: int) -> DataFrame:
+    """Large and confident boxes with centre and area, at most ``max_boxes`` per image (see ``boxes_over_limit``).
 
     The rank filter runs map-side first, so a crowded image ships only its top rows.
     """
@@ -24,9 +31,8 @@ def box_features(
         Window.partitionBy("image_id").orderBy(F.col("area").desc(), "object_id")
     )
     return (
-        det.dropna(subset=list(B.SIDES))
-        .withColumns({"area": B.clipped_area(box), "cx": cx, "cy": cy})
-        .filter((F.col("score") >= min_score) & (F.col("area") >= min_area))
+        large_boxes(det, min_score, min_area)
+        .withColumns({"cx": cx, "cy": cy})
         .withColumn("area_rank", rank)
         .filter(F.col("area_rank") <= max_boxes)
     )

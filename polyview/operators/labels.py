@@ -213,6 +213,18 @@ def fold_label(label: Column, pattern: str = FOLDED_LABELS, other: str = OTHER_L
     return F.when(label.rlike(pattern), F.lit(other)).otherwise(label)
 
 
+def label_errors(data: DataFrame, objects: DataFrame, ident: str) -> DataFrame:
+    """``(ident, error)`` where label data and objects don't cover each other: data of an unknown id, or an id without data.
+
+    Null ids on either side are unknown or missing as one id.
+    """
+    sides = data.select(ident).distinct().withColumn("__d", F.lit(True)).join(
+        objects.select(F.col(ident).alias("__o")).distinct().withColumn("__k", F.lit(True)), F.col(ident).eqNullSafe(F.col("__o")), "full_outer"
+    )
+    error = F.when(F.col("__k").isNull(), "unknown id").when(F.col("__d").isNull(), "missing id")
+    return sides.select(F.coalesce(ident, "__o").alias(ident), error.alias("error")).filter("error IS NOT NULL")
+
+
 def clean_text(text: Column) -> Column:
     """Trimmed text; empty or a literal NULL in any case becomes null."""
     t = F.trim(text)

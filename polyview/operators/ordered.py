@@ -174,8 +174,13 @@ def order_matches(a: DataFrame, b: DataFrame, ident: str, seq: str) -> DataFrame
     )
 
 
-def aligned_ids(a: DataFrame, b: DataFrame, ident: str) -> DataFrame:
-    """The repaired list: common ids, to be read in id order."""
+def aligned_ids(a: DataFrame, b: DataFrame, ident: str, strict: bool = False) -> DataFrame:
+    """The repaired list: common ids, to be read in id order.
+
+    Without any common id the list is empty; ``strict`` makes that an error, which one small job finds out.
+    """
+    if strict and a.select(ident).join(b.select(ident), ident, "left_semi").isEmpty():
+        raise ValueError(f"no {ident} is in both lists, nothing can be aligned")
     return a.select(ident).distinct().join(b.select(ident).distinct(), ident, "left_semi")
 
 

@@ -277,11 +277,16 @@ def with_zero_boxes(hits: DataFrame, boxes: DataFrame, frame: str) -> DataFrame:
     return boxes.select(frame, "box_id").join(per, [frame, "box_id"], "left").fillna(0, ["hits"]).fillna(0.0, ["best_ratio"])
 
 
+def candidates_over_limit(hits: DataFrame, frame: str, top: int) -> DataFrame:
+    """How many boxes each reference hit, and how many of them the limit of ``candidate_scores`` leaves unscored."""
+    return hits.groupBy(frame, "ref_id").agg(F.count(F.lit(1)).alias("boxes")).withColumn("unscored", F.greatest(F.col("boxes") - top, F.lit(0).cast("long")))
+
+
 def candidate_scores(
     hits: DataFrame, refs: DataFrame, targets: DataFrame, frame: str, least_ratio: float, reach: float,
     normals: bool = False, top: int = 5,
 ) -> DataFrame:
-    """Score the ``top`` most-hit boxes of each reference by ratio, distance and coplanarity."""
+    """Score the ``top`` most-hit boxes of each reference by ratio, distance and coplanarity (see ``candidates_over_limit``)."""
     order = [F.col("hits").desc(), F.col("box_id")]
     rank = F.row_number().over(Window.partitionBy(frame, "ref_id").orderBy(*order))
     short = hits.withColumn("__r", rank).filter(F.col("__r") <= top).drop("__r").filter(F.col("ratio") >= least_ratio)

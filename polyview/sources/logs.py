@@ -81,7 +81,9 @@ def attribute_matches(lines: DataFrame, min_ratio: float = 0.0) -> DataFrame:
 
 
 def read_match_log(spark: SparkSession, folder: str, min_ratio: float = 0.0) -> DataFrame:
-    return attribute_matches(read_lines(spark, folder, "matching_summary.txt"), min_ratio)
+    """Match rows of every summary in a folder named by digits alone; other folders don't count."""
+    lines = read_lines(spark, folder, "matching_summary.txt").filter(F.col("file").rlike("/[0-9]+/matching_summary[.]txt$"))
+    return attribute_matches(lines, min_ratio)
 
 
 def report_triples(texts: DataFrame) -> DataFrame:

@@ -71,6 +71,15 @@ def test_match_log_count_mismatch(spark, tmp_path):
         logs.read_match_log(spark, str(tmp_path)).collect()
 
 
+def test_only_folders_named_by_digits_are_read(spark, tmp_path):
+    write_log(tmp_path, 0, 1)
+    before = logs.read_match_log(spark, str(tmp_path)).count()
+    for name in ("7_old", "backup", "x1"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "matching_summary.txt").write_text(LOG.format(ref=3, tgt=4, n=2))
+    assert before > 0 and logs.read_match_log(spark, str(tmp_path)).count() == before
+
+
 def test_match_log_without_footer(spark, tmp_path):
     (tmp_path / "0").mkdir()
     (tmp_path / "0" / "matching_summary.txt").write_text("Matched ref 1 → target 2 (hit ratio: 0.50 1/2)\n")
@@ -163,3 +172,13 @@ def test_batch_scorer_length_check(spark):
     assert {r["label"]: r["count"] for r in seen} == {"ok": 32, "unavailable": 8}
     with pytest.raises(Exception, match="results for"):
         score_batches(docs, "doc_id", "text", lambda b: [("ok", 1.0)]).collect()
+
+
+def test_strict_alignment_fails_without_common_frames(spark):
+    from polyview.operators import ordered
+
+    a, b = (spark.createDataFrame([(i,) for i in ids], "id int") for ids in ((1, 2, 3), (3, 4)))
+    assert [r["id"] for r in ordered.aligned_ids(a, b, "id", strict=True).collect()] == [3]
+    with pytest.raises(ValueError, match="nothing can be aligned"):
+        ordered.aligned_ids(a, b.filter("id > 3"), "id", strict=True)
+    assert ordered.aligned_ids(a, b.filter("id > 3"), "id").count() == 0
