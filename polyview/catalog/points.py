@@ -8,6 +8,8 @@ from polyview import fixtures as X
 from polyview.catalog.registry import query, r6
 from polyview.functions import boxes as B
 from polyview.functions import geometry as G
+from polyview.operators import accuracy as A
+from polyview.operators import ordered as O
 from polyview.operators import points as P
 from polyview.operators import sampling as S
 from polyview.plans.spatial import within_radius
@@ -130,6 +132,52 @@ def pose_errors(spark, d):
     )
 
 
+def _relative_sql() -> str:
+    """Relative poses as quaternion products: the conjugate of one times the other, and the way turned by the conjugate."""
+    def cross(u, v):
+        return [f"({u[1]}*{v[2]}-{u[2]}*{v[1]})", f"({u[2]}*{v[0]}-{u[0]}*{v[2]})", f"({u[0]}*{v[1]}-{u[1]}*{v[0]})"]
+
+    out = []
+    for side, q, t in (("g", "q", "t"), ("p", "pq", "pt")):
+        a, b = [[f"{n}.{q}[{c}]" for c in range(1, 5)] for n in ("a", "b")]
+        turned = cross(a, b)
+        vector = [f"({a[3]}*{b[c]}-{b[3]}*{a[c]}-{turned[c]})" for c in range(3)]
+        real = "+".join(f"{x}*{y}" for x, y in zip(a, b))
+        way = [f"(b.{t}[{c}]-a.{t}[{c}])" for c in range(1, 4)]
+        u = [f"(-{x})" for x in a[:3]]
+        once = cross(u, way)
+        twice = cross(u, once)
+        moved = [f"{w}+2*{a[3]}*{o}+2*{x}" for w, o, x in zip(way, once, twice)]
+        out += [f"[{','.join([*vector, real])}] AS {side}q", f"[{','.join(moved)}] AS {side}t"]
+    unit = lambda n: f"list_transform({n}, lambda v: v/sqrt(list_inner_product({n},{n})))"
+    return f"""WITH n AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings),
+w AS (SELECT vec_id//8 AS seq, CAST(vec_id%8 AS INTEGER) AS idx, {unit("e[1:4]")} AS q, {unit("e[5:8]")} AS pq, e[9:11] AS t, e[12:14] AS pt FROM n),
+r AS (SELECT a.seq, a.idx AS i, b.idx AS j, {", ".join(out)} FROM w a JOIN w b ON a.seq=b.seq AND b.idx>a.idx AND b.idx<=a.idx+3),
+x AS (SELECT seq, i, j, 2*degrees(acos(least(1,abs(list_inner_product(gq,pq))))) AS rot,
+ degrees(acos(greatest(-1,least(1,list_inner_product(gt,pt)/sqrt(list_inner_product(gt,gt)*list_inner_product(pt,pt)))))) AS ang FROM r),
+y AS (SELECT seq, i, j, rot, least(ang,180-ang) AS trans FROM x)"""
+
+
+def _relative(spark, d):
+    e = F.col("embedding").cast("array<double>")
+    poses = X.table(spark, d, "embeddings").select(
+        F.floor(F.col("vec_id") / 8).alias("seq"), (F.col("vec_id") % 8).cast("int").alias("idx"),
+        F.slice(e, 1, 4).alias("q"), F.slice(e, 9, 3).alias("t"), F.slice(e, 5, 4).alias("pred_q"), F.slice(e, 12, 3).alias("pred_t"),
+    )
+    return A.relative_pose_errors(poses, O.frame_pairs(poses.select("seq", "idx"), ["seq"], "idx", "window", 3), "seq", "idx")
+
+
+@query("relative_poses", f"{_relative_sql()} SELECT seq, i, j, round(rot,4)+0.0 AS rotation_error, round(trans,4)+0.0 AS translation_error FROM y")
+def relative_poses(spark, d):
+    return _relative(spark, d).select("seq", "i", "j", r6(F.col("rotation_error"), "rotation_error", 4), r6(F.col("translation_error"), "translation_error", 4))
+
+
+@query("relative_pose_auc", f"""{_relative_sql()}, m AS (SELECT seq, greatest(rot,trans) AS worse FROM y)
+SELECT seq, count(*) AS pairs, round(coalesce(sum(CASE WHEN worse<=90 THEN 90-least(floor(worse),89) END),0)/count(*)/90,6) AS auc FROM m GROUP BY 1""")
+def relative_pose_auc(spark, d):
+    return A.pose_auc(_relative(spark, d), ["seq"], 90).withColumn("auc", F.round("auc", 6))
+
+
 # Sample points of each box, seen in the next frame of its video.
 HITS = f"""{X.DET}, {X.FRAMES}, pl AS (SELECT video, idx, det.* FROM det JOIN frames ON det.image_id=frames.image_id),
 sp AS (SELECT video, idx+1 AS frame, object_id AS ref_id, (x1+x2)/2+dx*(x2-x1)/4 AS x, (y1+y2)/2+dy*(y2-y1)/4 AS y FROM pl, (VALUES (0,0),(1,0),(-1,0),(0,1),(0,-1)) o(dx,dy)),
@@ -242,17 +290,36 @@ def reproject_classes(spark, d):
     return out.withColumn("residual", F.round("residual", 6) + F.lit(0.0))
 
 
-@query("multi_view_vote", "WITH " + WORLD.replace("SPAN", "3") + """, sh AS (SELECT frame, "row"-dr AS "row", col-dc AS col, CASE WHEN valid THEN depth END AS depth FROM grid, (VALUES (0),(1)) a(dr), (VALUES (0),(1)) b(dc)),
+VOTED = "WITH " + WORLD.replace("SPAN", "3") + """, sh AS (SELECT frame, "row"-dr AS "row", col-dc AS col, CASE WHEN valid THEN depth END AS depth FROM grid, (VALUES (0),(1)) a(dr), (VALUES (0),(1)) b(dc)),
 pt AS (SELECT frame, "row", col, avg(depth) AS mean FROM sh GROUP BY 1,2,3 HAVING count(depth)=4 AND min(depth)>0 AND max(depth)-min(depth)<=0.03::DOUBLE*min(depth)),
 vt AS (SELECT point_id, cz-mean AS dl, 0.015::DOUBLE*mean AS tol FROM pj JOIN pt ON pt.frame=target AND pt."row"=floor(v) AND pt.col=floor(u) WHERE cz>0 AND u>=0 AND u<19 AND v>=0 AND v<19),
 ag AS (SELECT point_id, count(*) FILTER (abs(dl)<=tol) AS support, count(*) FILTER (dl>tol) AS occlusion, count(*) FILTER (dl< -tol) AS conflict FROM vt GROUP BY 1),
-al AS (SELECT src.point_id, coalesce(support,0) AS support, coalesce(occlusion,0) AS occlusion, coalesce(conflict,0) AS conflict FROM src LEFT JOIN ag ON src.point_id=ag.point_id)
-SELECT *, conflict>=3 AND conflict*4>=(support+conflict)*3 AS hidden FROM al""")
+al AS (SELECT src.point_id, coalesce(support,0) AS support, coalesce(occlusion,0) AS occlusion, coalesce(conflict,0) AS conflict FROM src LEFT JOIN ag ON src.point_id=ag.point_id),
+vo AS (SELECT *, conflict>=3 AND conflict*4>=(support+conflict)*3 AS hidden FROM al)"""
+
+
+@query("multi_view_vote", f"{VOTED} SELECT * FROM vo")
 def multi_view_vote(spark, d):
     g, src, pairs = _world(spark, d, 3)
     return P.view_votes(src, pairs, g, CAMERA, 20, 20)
 
 
+@query("vote_histogram", f"""{VOTED} SELECT kind, votes, count(*) AS points FROM (SELECT 'support' AS kind, support AS votes FROM vo UNION ALL SELECT 'occlusion', occlusion FROM vo
+ UNION ALL SELECT 'conflict', conflict FROM vo) GROUP BY 1,2""")
+def vote_histogram(spark, d):
+    g, src, pairs = _world(spark, d, 3)
+    return P.vote_histogram(P.view_votes(src, pairs, g, CAMERA, 20, 20))
+
+
+@query("vote_retention", f"""{VOTED} SELECT point_id%7 AS gid, count(*) AS before, count(*)-count(*) FILTER (hidden) AS after, count(*) FILTER (hidden) AS hidden,
+ round((count(*)-count(*) FILTER (hidden))/count(*),6) AS retained FROM vo GROUP BY 1""")
+def vote_retention(spark, d):
+    g, src, pairs = _world(spark, d, 3)
+    owners = src.select("point_id", (F.col("point_id") % 7).alias("gid"))
+    out = P.vote_retention(P.view_votes(src, pairs, g, CAMERA, 20, 20), owners, "gid")
+    return out.withColumn("retained", F.round("retained", 6))
+
+
 @query("radius_pairs", f"""WITH {X.PTS}, c AS (SELECT *, CAST(floor(x/0.03) AS BIGINT) AS gx, CAST(floor(y/0.03) AS BIGINT) AS gy, CAST(floor(z/0.03) AS BIGINT) AS gz FROM pts),
 s AS (SELECT point_id, x, y, z, gx+i AS gx, gy+j AS gy, gz+k AS gz FROM c, (VALUES (-1),(0),(1)) a(i), (VALUES (-1),(0),(1)) b(j), (VALUES (-1),(0),(1)) e(k))
 SELECT a.point_id AS a_id, b.point_id AS b_id, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)),6) AS dist FROM c a JOIN s b ON a.gx=b.gx AND a.gy=b.gy AND a.gz=b.gz AND a.point_id<b.point_id

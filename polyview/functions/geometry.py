@@ -65,6 +65,13 @@ def direction_angle(a: Vector, b: Vector) -> Column:
     return F.least(angle, 180 - angle)
 
 
+def relative_pose(rot_a: Sequence[Vector], at_a: Vector, rot_b: Sequence[Vector], at_b: Vector) -> tuple[list[list[Column]], list[Column]]:
+    """Pose b seen from pose a: the transposed rotation of a times that of b, and times the way from a to b."""
+    way = [b - a for a, b in zip(at_a, at_b)]
+    turned = [[sum((rot_a[k][i] * rot_b[k][j] for k in range(3)), F.lit(0.0)) for j in range(3)] for i in range(3)]
+    return turned, [sum((rot_a[k][i] * way[k] for k in range(3)), F.lit(0.0)) for i in range(3)]
+
+
 def plane_coordinates(p: Vector, origin: Vector, u: Vector, v: Vector, n: Vector) -> list[Column]:
     d = [a - b for a, b in zip(p, origin)]
     return [dot(d, u), dot(d, v), dot(d, n)]

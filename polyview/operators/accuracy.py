@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polyview.functions import geometry as G
 from polyview.plans.scan import along, number, running_max, running_sum
 from polyview.plans.stats import ratio, with_aggregates
 
@@ -234,3 +235,39 @@ def average_precision(scored: DataFrame, recall_points: int = 101) -> DataFrame:
         (F.sum(points * F.col("envelope")) / recall_points).alias("ap"), F.count(F.lit(1)).alias("hits")
     )
 
+
+
+def relative_pose_errors(poses: DataFrame, pairs: DataFrame, sequence: str, frame: str) -> DataFrame:
+    """Rotation and translation errors in degrees of relative poses, for planned frame pairs ``(sequence, i, j)``.
+
+    ``poses(sequence, frame, q, t, pred_q, pred_t)`` hold true and predicted quaternions and positions as arrays.  Translations
+    compare by direction, opposite ones as equal.
+    """
+    # matrices are columns of their own, built once per pose, and relative ones once per pair
+    matrix = lambda q: F.array(*[F.array(*row) for row in G.quaternion_matrix([F.col(q)[c] for c in range(4)])])
+    turned = poses.select(sequence, frame, matrix("q").alias("r"), "t", matrix("pred_q").alias("pred_r"), "pred_t")
+    end = lambda name: turned.select(sequence, F.col(frame).alias(name), F.struct("r", "t", "pred_r", "pred_t").alias(f"__{name}"))
+    both = pairs.join(end("i"), [sequence, "i"]).join(end("j"), [sequence, "j"])
+    cells = lambda r: [[F.col(r)[i][k] for k in range(3)] for i in range(3)]
+    items = lambda t: [F.col(t)[i] for i in range(3)]
+    seen = {}
+    for name, r, t in (("", "r", "t"), ("pred_", "pred_r", "pred_t")):
+        turn, way = G.relative_pose(cells(f"__i.{r}"), items(f"__i.{t}"), cells(f"__j.{r}"), items(f"__j.{t}"))
+        seen |= {f"__{name}turn": F.array(*[F.array(*row) for row in turn]), f"__{name}way": F.array(*way)}
+    return both.withColumns(seen).select(
+        sequence, "i", "j", G.rotation_angle(cells("__turn"), cells("__pred_turn")).alias("rotation_error"),
+        G.direction_angle(items("__way"), items("__pred_way")).alias("translation_error"),
+    )
+
+
+def pose_auc(errors: DataFrame, keys: Sequence[str], threshold: int) -> DataFrame:
+    """Per group: pairs and the area under the cumulative histogram of the larger error, in whole degrees up to the threshold.
+
+    A pair without a direction (equal positions) counts as an error beyond it.
+    """
+    worse = F.when(F.col("rotation_error").isNotNull() & F.col("translation_error").isNotNull(), F.greatest("rotation_error", "translation_error"))
+    slot = F.when(worse == threshold, F.lit(threshold - 1)).otherwise(F.floor(worse))
+    inside = F.when(worse <= threshold, threshold - slot)
+    return errors.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("pairs"), (F.coalesce(F.sum(inside), F.lit(0)) / F.count(F.lit(1)) / threshold).alias("auc")
+    )

@@ -389,6 +389,20 @@ def view_votes(
     return out.withColumn("hidden", hidden)
 
 
+def vote_histogram(votes: DataFrame) -> DataFrame:
+    """``(kind, votes, points)``: how many points have each number of votes of each kind; one map-side combined count for all kinds."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("votes")) for k in ("support", "occlusion", "conflict")])
+    return votes.select(F.explode(kinds).alias("v")).groupBy("v.kind", "v.votes").agg(F.count(F.lit(1)).alias("points"))
+
+
+def vote_retention(votes: DataFrame, owners: DataFrame, owner: str) -> DataFrame:
+    """Per object of ``owners(point_id, owner)``: points before and after hiding, and the fraction that stays; unvoted points stay."""
+    joined = owners.join(votes.select("point_id", "hidden"), "point_id", "left")
+    hidden = F.count_if(F.coalesce("hidden", F.lit(False)))
+    before = F.count(F.lit(1))
+    return joined.groupBy(owner).agg(before.alias("before"), (before - hidden).alias("after"), hidden.alias("hidden"), ((before - hidden) / before).alias("retained"))
+
+
 def best_owner(points: DataFrame, patch: Sequence[str], fine: Sequence[str], frame: str, score: str) -> DataFrame:
     """Rows of each patch's best frame; fine voxels left empty are decided on their own."""
 
