@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyview.plans.scan import along, group_fits, running_sum, group_sum
+from polyview.plans.scan import group_fits
+from polyview.session import cut
+
+BUCKETS = 4096
 
 
 def quantiles(
@@ -20,8 +23,8 @@ def quantiles(
     """Exact linearly interpolated quantiles of ``value`` per group.
 
     Groups within the window limit use the built-in ``percentile`` aggregate, which
-    keeps a map of distinct values in memory.  Larger groups are first counted per
-    distinct value, ranked by a tiled scan, and read off at the wanted ranks.
+    keeps a map of distinct values in memory.  For larger groups histograms narrow down to
+    the wanted ranks (see ``_at_ranks``).
     """
     keys = list(keys)
     rows = df.select(*keys, value.cast("double").alias("__v")).filter("__v IS NOT NULL")
@@ -33,27 +36,50 @@ def quantiles(
         return grouped.select(
             *keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(probs)]
         )
-    counted = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    ranked = along(
-        counted,
-        keys,
-        [F.col("__v")],
-        {"__cum": running_sum(F.col("__n")), "__all": group_sum(F.col("__n"))},
-        fits=False,
-    )
-    picks = []
-    for i, p in enumerate(probs.values()):
-        rank = F.lit(float(p)) * (F.col("__all") - 1)
-        for side, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            inside = (at >= F.col("__cum") - F.col("__n")) & (at < F.col("__cum"))
-            picks.append(F.max(F.when(inside, F.col("__v"))).alias(f"__{side}{i}"))
-    picked = ranked.groupBy(*keys).agg(F.max("__all").alias("__all"), *picks)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__all"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    places = [f(F.lit(float(p)) * (F.col("__all") - 1)) for p in probs.values() for f in (F.floor, F.ceil)]
+    ranks = sizes.withColumn("__rank", F.explode(F.array_distinct(F.array(*places))))
+    found = _at_ranks(rows, keys, ranks)
     out = []
-    for i, (name, p) in enumerate(probs.items()):
+    for name, p in probs.items():
         rank = F.lit(float(p)) * (F.col("__all") - 1)
-        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        lo, hi = [F.element_at("__at", f(rank)) for f in (F.floor, F.ceil)]
         out.append((lo + (hi - lo) * (rank - F.floor(rank))).alias(name))
-    return picked.select(*keys, *out)
+    listed = found.groupBy(*keys).agg(F.max("__all").alias("__all"), F.map_from_entries(F.collect_list(F.struct("__rank", "__lo"))).alias("__at"))
+    return listed.select(*keys, *out)
+
+
+def _same(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """Null-safe equi-join on ``names``, which stay once."""
+    renamed = right.select(*[F.col(n).alias(f"__r_{n}") if n in names else F.col(n) for n in right.columns])
+    on = F.lit(True)
+    for n in names:
+        on = on & F.col(n).eqNullSafe(F.col(f"__r_{n}"))
+    return left.join(renamed if names else F.broadcast(renamed), on, how).drop(*[f"__r_{n}" for n in names])
+
+
+def _at_ranks(rows: DataFrame, keys: Sequence[str], ranks: DataFrame) -> DataFrame:
+    """The values at ``ranks(keys, __all, __lo, __hi, __rank)`` in the column ``__lo``, by histograms that narrow down.
+
+    A pass counts the values of each open range in ``BUCKETS`` equal parts, map-side, and goes on with the least and the largest value of
+    the part that holds the rank.  These two stand in different parts of the next pass, so ranges shrink until they hold one
+    value; neither all values nor all distinct values of a group ever meet.  Without keys there are two ranges a quantile at most.
+    """
+    state = cut(ranks.withColumn("__below", F.lit(0).cast("long")))
+    v, lo, hi = F.col("__v"), F.col("__lo"), F.col("__hi")
+    part = F.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * BUCKETS)
+    part = F.when(v == lo, 0).when(v == hi, BUCKETS - 1).when(F.isnan((v / 2 - lo / 2) / (hi / 2 - lo / 2)), BUCKETS // 2).otherwise(F.least(part, F.lit(BUCKETS - 1)))
+    ends = ["__lo", "__hi"]
+    while not (open_ := state.filter("__lo < __hi")).isEmpty():
+        inside = _same(rows, open_.select(*keys, *ends).distinct(), keys).filter((v >= lo) & (v <= hi))
+        counted = inside.groupBy(*keys, *ends, part.cast("int").alias("__part")).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__least"), F.max("__v").alias("__most"))
+        before = Window.partitionBy(*keys, *ends).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        counted = counted.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+        place = F.col("__rank") - F.col("__below")
+        narrowed = _same(open_, counted, [*keys, *ends]).filter((place >= F.col("__before")) & (place < F.col("__before") + F.col("__n")))
+        narrowed = narrowed.select(*keys, "__all", F.col("__least").alias("__lo"), F.col("__most").alias("__hi"), "__rank", (F.col("__below") + F.col("__before")).alias("__below"))
+        state = cut(state.filter("NOT __lo < __hi").unionByName(narrowed))
+    return state
 
 
 def attach(df: DataFrame, keys: Sequence[str], per_group: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +75,21 @@ def test_nearest_second_of_an_empty_table(spark):
     from polyview.operators.ordered import nearest_second
 
     assert nearest_second(spark.createDataFrame([], "t double, i long"), "t", "i").collect() == []
+
+
+@pytest.mark.parametrize("buckets", [2, 7, 4096])
+def test_quantiles_by_narrowing_histograms(spark, monkeypatch, buckets):
+    monkeypatch.setattr(stats, "BUCKETS", buckets)
+    rng = np.random.default_rng(1)
+    groups = {"a": rng.normal(size=60), "b": [3.0], "c": [1.0, 1.0, 1.0, 2.0], None: 10.0 ** rng.uniform(-12, 12, 25) if buckets > 2 else [4.0, 5.0], "d": [-1e308, 0.0, 1e308]}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = {"low": 0.0, "mid": 0.5, "most": 0.95}
+    got = {r["k"]: [r[n] for n in probs] for r in stats.quantiles(df, ["k"], F.col("v"), probs, fits=False).collect()}
+    assert got.keys() == groups.keys()
+    for k, vs in groups.items():
+        assert got[k] == pytest.approx(np.quantile(vs, list(probs.values())).tolist(), rel=1e-12)
+    flat = df.filter("k IN ('a', 'c')")
+    one = stats.quantiles(flat, [], F.col("v"), probs, fits=False).first()
+    every = [v for k, v in rows if k in ("a", "c") and v is not None]
+    assert list(one) == pytest.approx(np.quantile(every, list(probs.values())).tolist(), rel=1e-12)
