@@ -20,7 +20,7 @@ def op1_sharding(spark, sf_dir):
     docs = sharding.sized(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     placed = sharding.place(docs, "doc_id", tree)
     placed = sharding.place(placed, "doc_id", tree.grown(), ("grown_region", "grown_rack", "grown_shard"))
-    return sharding.slots(placed, "shard", "doc_id").select(
+    return sharding.slots(placed, "shard", "doc_id", ties=("text_crc32", "size")).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack"
     )
 

@@ -74,8 +74,10 @@ def place(df: DataFrame, key: str, tree: Tree, names: tuple[str, str, str] = ("r
     return out
 
 
-def slots(df: DataFrame, group: str, key: str, slot: str = "slot") -> DataFrame:
-    """``df`` plus a gapless number from 0 within each ``group``, in order of the hashed key.
+def slots(df: DataFrame, group: str, key: str, slot: str = "slot", ties: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` plus a gapless number from 0 within each ``group``, in order of the hash of key and ``ties``.
+
+    Rows of one key with other ties have cells of their own; rows equal in all of these are interchangeable.
 
     A group is dealt over many cells of the hash's value space; rows are numbered within
     their cell and start at the count of the cells before it (a table of cells, not rows).
@@ -83,12 +85,12 @@ def slots(df: DataFrame, group: str, key: str, slot: str = "slot") -> DataFrame:
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = max(1, (8 * parts - 1).bit_length())
-    hashed = without(df, [slot]).withColumn("__h", F.xxhash64(F.lit("slot"), F.col(key)))
+    hashed = without(df, [slot]).withColumn("__h", F.xxhash64(F.lit("slot"), F.col(key), *ties))
     hashed = hashed.withColumn("__cell", F.shiftrightunsigned("__h", 64 - bits))
     before = Window.partitionBy(group).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = hashed.groupBy(group, "__cell").agg(F.count(F.lit(1)).alias("__n"))
     starts = starts.select(F.col(group).alias("__g"), F.col("__cell").alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(group, "__cell").orderBy("__h", key)
+    inside = Window.partitionBy(group, "__cell").orderBy("__h", key, *ties)
     numbered = hashed.withColumn("__row", F.row_number().over(inside))
     joined = numbered.join(starts, numbered[group].eqNullSafe(starts["__g"]) & (numbered["__cell"] == starts["__c"]))
     return joined.withColumn(slot, F.col("__start") + F.col("__row") - 1).drop("__h", "__cell", "__g", "__c", "__start", "__row")

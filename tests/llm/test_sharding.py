@@ -75,3 +75,32 @@ def test_odd_rows(spark):
 def test_empty_table(spark, schema):
     df = spark.createDataFrame([], schema)
     assert slots(place(sized(df), "doc_id", Tree.even(2, 2, 4)), "shard", "doc_id").collect() == []
+
+
+def brute_place(tree, key_hashes):
+    """The descent in plain Python: at each level the child of the least exponential draw, from Spark's hashes of (key, depth, child)."""
+    import math
+
+    path, parent = [], -1
+    for depth in range(3):
+        draws = [(-math.log(((key_hashes[depth, c] >> 11) + 0.5) * 2.0**-53) / w, c) for c, w in tree.level(depth)[parent].items()]
+        parent = min(draws)[1]
+        path.append(parent)
+    return tuple(path)
+
+
+def test_descent_against_plain_python(spark):
+    tree = Tree.even(2, 2, 4).weighing(5, 3.0).grown()
+    nodes = sorted({(d, c) for d in range(3) for cs in tree.level(d).values() for c in cs})
+    keys = spark.range(400).withColumnRenamed("id", "k")
+    hashes = keys.select("k", *[F.xxhash64("k", F.lit(d), F.lit(c)).alias(f"h{d}_{c}") for d, c in nodes]).collect()
+    want = {r["k"]: brute_place(tree, {(d, c): r[f"h{d}_{c}"] % 2**64 for d, c in nodes}) for r in hashes}
+    got = {r["k"]: (r["region"], r["rack"], r["shard"]) for r in place(keys, "k", tree).collect()}
+    assert got == want
+
+
+def test_slots_of_rows_of_one_id_follow_their_texts(spark):
+    rows = [(1, f"text {i}") for i in range(40)] + [(1, "text 0")] * 3 + [(2, "b"), (None, None)]
+    df = sized(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("shard", F.lit(0))
+    runs = [sorted((r["slot"], r["doc_id"], r["text"]) for r in slots(df.repartition(n), "shard", "doc_id", ties=("text_crc32", "size")).collect()) for n in (1, 7)]
+    assert runs[0] == runs[1] and [s for s, _, _ in runs[0]] == list(range(len(rows)))
