@@ -29,7 +29,8 @@ from polyview.llm.common import append, without
 
 SPACE = "▁"
 UNKNOWN = -1_000_000
-NODES = 1_500_000  # trie nodes a worker keeps before it starts anew
+NODES = 1_500_000  # trie nodes a worker keeps before it starts anew (and one word's beyond)
+DEPTH = 256  # letters of a word that become nodes; the rest passes in a window as long as the longest piece
 
 
 def zipf_pieces(path: str) -> dict[str, int]:
@@ -56,6 +57,7 @@ class Trie:
                     self.piece_scores.append(None)
                 at = nxt
             self.piece_scores[at] = score
+        self.longest = max(map(len, pieces), default=1)
         self.clear()
 
     def clear(self) -> None:
@@ -64,8 +66,10 @@ class Trie:
 
     def insert(self, word: str) -> int:
         """The terminal count of ``word``; only prefixes that no earlier word had are computed."""
+        if len(self.score) > NODES:
+            self.clear()
         at = 0
-        for c in word:
+        for c in word[:DEPTH]:
             below = self.children[at]
             nxt = below.get(c) if below else None
             if nxt is None:
@@ -75,7 +79,31 @@ class Trie:
                 else:
                     below[c] = nxt
             at = nxt
-        return self.count[at]
+        return self.count[at] if len(word) <= DEPTH else self._beyond(at, word)
+
+    def _beyond(self, at: int, word: str) -> int:
+        """The terminal count of a long word from the node of its first ``DEPTH`` letters, without more nodes."""
+        letters, states = [], []  # the last letters, and score and count before each of them and after the last
+        while at and len(letters) < self.longest:
+            letters.append(self.letter[at])
+            states.append((self.score[at], self.count[at]))
+            at = self.parent[at]
+        letters, states = letters[::-1], [(self.score[at], self.count[at]), *states[::-1]]
+        for c in word[DEPTH:]:
+            letters.append(c)
+            best, pieces = states[-1][0] + UNKNOWN, states[-1][1] + 1
+            walk, i = 0, len(letters) - 1
+            while i >= 0 and (walk := self.backwards[walk].get(letters[i])) is not None:
+                own = self.piece_scores[walk]
+                if own is not None:
+                    total, number = states[i][0] + own, states[i][1] + 1
+                    if total > best or total == best and number < pieces:
+                        best, pieces = total, number
+                i -= 1
+            states.append((best, pieces))
+            if len(letters) > 8 * self.longest:
+                letters, states = letters[-self.longest :], states[-self.longest - 1 :]
+        return states[-1][1]
 
     def _grow(self, parent: int, c: str) -> int:
         best, pieces = self.score[parent] + UNKNOWN, self.count[parent] + 1
@@ -108,8 +136,6 @@ def token_counts(texts: pa.Array, own: Trie) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and pre-tokens of each text."""
     words = pc.utf8_split_whitespace(texts.fill_null(""))
     coded = words.flatten().dictionary_encode()
-    if len(own.score) > NODES:
-        own.clear()
     each = np.array([own.insert(SPACE + w) if w else 0 for w in coded.dictionary.to_pylist()], np.int64)
     full = np.array([w != "" for w in coded.dictionary.to_pylist()], np.int64)
     codes = coded.indices.to_numpy()

@@ -65,3 +65,20 @@ def test_odd_rows(spark, monkeypatch):
     own = counts.trie(PATH)
     assert counts.token_counts(pa.array(["the end", "the end"]), own)[0].tolist() == counts.token_counts(pa.array(["the end"] * 2), own)[0].tolist()
     assert counts.with_counts(spark.createDataFrame([], "text string"), PATH).collect() == []
+
+
+def test_long_words_stay_within_the_nodes(monkeypatch):
+    draw = random.Random(5)
+    pieces = {"".join(draw.choice("abc") for _ in range(draw.randint(1, 5))): -draw.randint(1, 9) for _ in range(70)}
+    monkeypatch.setattr(counts, "DEPTH", 12)
+    own = counts.Trie(pieces)
+    for size in (11, 12, 13, 17, 40, 400):
+        for _ in range(60):
+            word = "".join(draw.choice("abcd") for _ in range(size))
+            assert own.insert(word) == brute(word, pieces)
+    monkeypatch.undo()
+    monkeypatch.setattr(counts, "NODES", 3000)
+    wide = counts.Trie(pieces)
+    texts = pa.array(["".join(chr(draw.randint(0x4E00, 0x9FFF)) for _ in range(20_000)) for _ in range(40)])
+    counts.token_counts(texts, wide)
+    assert len(wide.score) <= counts.NODES + counts.DEPTH
