@@ -17,7 +17,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from polyview import catalog  # noqa: E402
-from polyview.session import build  # noqa: E402
+from polyview.session import build, clean  # noqa: E402
 
 HEADLINE = [
     "dedup_sequence", "global_ids", "greedy_match", "pair_metrics", "classification_vote", "dim_facets", "global_skus_json",
@@ -43,6 +43,7 @@ def main() -> None:
         "metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": float(found.group(1)) if found else None,
     }))
+    clean(spark)
     spark.stop()
 
 
