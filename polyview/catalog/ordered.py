@@ -226,6 +226,32 @@ def equal_quota(spark, d):
     return S.equal_quota(_caps(spark, d), "k", "cap", 5900)
 
 
+def _shared_sql(order: str) -> str:
+    """Rows of each event type inside equal quotas, in the given order."""
+    return f"""WITH caps AS (SELECT event_type AS k, count(*) AS cap FROM events GROUP BY 1), s AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap,k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS used,
+ row_number() OVER (ORDER BY cap,k) AS i, count(*) OVER () AS m FROM caps),
+l AS (SELECT arg_min(floor((1003-used)/(m-i+1)), i) FILTER (cap>floor((1003-used)/(m-i+1))) AS lev FROM s),
+q AS (SELECT k, cap, CASE WHEN lev IS NULL THEN cap ELSE least(cap,lev) END AS base, coalesce(cap>lev,false) AS hungry FROM caps, l),
+t AS (SELECT *, sum(CASE WHEN hungry THEN 1 ELSE 0 END) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS turn, sum(base) OVER () AS given FROM q),
+u AS (SELECT k, base+CASE WHEN hungry AND turn<=1003-given THEN 1 ELSE 0 END AS quota FROM t)
+SELECT event_id, event_type FROM events JOIN u ON event_type=k QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY {order}) <= quota"""
+
+
+@query("shared_sample", _shared_sql("(('0x' || substr(md5(event_id::VARCHAR), 1, 12))::BIGINT + 0.5) / 281474976710656.0, event_id"))
+def shared_sample(spark, d):
+    return S.shared_sample(X.table(spark, d, "events").select("event_id", "event_type"), "event_type", "event_id", 1003)
+
+
+@query("shared_sample_latest", _shared_sql("event_id DESC"))
+def shared_sample_latest(spark, d):
+    """The caller's own sampler: the latest rows inside the same quotas."""
+    def latest(rows, key, ident):
+        placed = along(rows, [key], [F.desc(ident)], {"__place": number()})
+        return placed.filter(F.col("__place") <= F.col("quota"))
+
+    return S.shared_sample(X.table(spark, d, "events").select("event_id", "event_type"), "event_type", "event_id", 1003, latest)
+
+
 @query("largest_remainder", f"""WITH {CAPS}, c2 AS (SELECT k, cap, mass, (SELECT count(*) FROM caps) AS n FROM caps), r AS (SELECT *, CASE WHEN 5900>=n THEN 1 ELSE 0 END AS seed, cap-CASE WHEN 5900>=n THEN 1 ELSE 0 END AS room FROM c2),
 s AS (SELECT *, coalesce(sum(room) OVER w,0) AS filled, coalesce(sum(mass) OVER w,0) AS mb, sum(mass) OVER () AS m, row_number() OVER (ORDER BY room/mass,k) AS i FROM r WHERE room>0
  WINDOW w AS (ORDER BY room/mass,k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

@@ -7,7 +7,7 @@ group table instead of by repeated rounds.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -323,3 +323,22 @@ def area_shares(regions: DataFrame, group: Sequence[str], key: str, area: str, b
     turn = along(split, list(group), [F.desc("__over"), F.col(key)], {"__turn": number(), "__given": group_sum(F.col("__base"))})
     extra = (F.col("__all") > 0) & (F.col("__turn") <= F.lit(budget) - F.col("__given"))
     return turn.select(*group, key, area, (F.col("__base") + extra.cast("long")).cast("long").alias("share"))
+
+
+def hash_sample(rows: DataFrame, key: str, ident: str) -> DataFrame:
+    """The first ``quota`` rows of each group in hash order: the default of ``shared_sample``."""
+    placed = along(rows, [key], [uniform(F.col(ident)), F.col(ident)], {"__place": number()})
+    return placed.filter(F.col("__place") <= F.col("quota")).drop("__place")
+
+
+def shared_sample(rows: DataFrame, key: str, ident: str, budget: int, sampler: Callable[[DataFrame, str, str], DataFrame] = hash_sample) -> DataFrame:
+    """At most ``budget`` rows, shared equally between groups; what small groups leave goes to the others.
+
+    ``sampler(rows, key, ident)`` chooses rows inside the quotas: it gets all rows with their group's ``quota`` and must not
+    return more than that; a group with more fails.
+    """
+    quotas = equal_quota(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__cap")), key, "__cap", budget)
+    chosen = sampler(rows.join(quotas.select(key, "quota"), key), key, ident)
+    counted = with_aggregates(chosen, [key], __taken=F.count(F.lit(1)))
+    over = F.when(F.col("__taken") > F.col("quota"), F.raise_error("the sampler took more rows than its quota").cast("boolean"))
+    return counted.filter(F.coalesce(over, F.lit(True))).select(rows.columns)

@@ -286,3 +286,12 @@ def test_boxes_of_mixed_size_meet_on_levels(spark):
     cells = spatial._in_cells(df.withColumn("__level", spatial._level(df)), "__level")
     assert cells.groupBy("id").count().agg(F.max("count")).first()[0] <= 4
     assert spatial.overlapping(df.limit(0), df, ["k"], fits=False).count() == 0
+
+
+def test_a_sampler_beyond_its_quota_fails(spark):
+    from polyview.operators import sampling
+
+    rows = spark.createDataFrame([(i, "a" if i else "b") for i in range(40)], "id long, k string")
+    assert sampling.shared_sample(rows, "k", "id", 11).groupBy("k").count().orderBy("k").collect() == [("a", 10), ("b", 1)]
+    with pytest.raises(Exception, match="more rows than its quota"):
+        sampling.shared_sample(rows, "k", "id", 11, lambda r, key, ident: r).collect()
