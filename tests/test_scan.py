@@ -93,3 +93,16 @@ def test_quantiles_by_narrowing_histograms(spark, monkeypatch, buckets):
     one = stats.quantiles(flat, [], F.col("v"), probs, fits=False).first()
     every = [v for k, v in rows if k in ("a", "c") and v is not None]
     assert list(one) == pytest.approx(np.quantile(every, list(probs.values())).tolist(), rel=1e-12)
+
+
+@pytest.mark.parametrize("fits", [True, False])
+def test_no_scan_runs_through_the_rest_of_its_group_for_every_row(spark, fits):
+    df = spark.range(50).select("id", F.when(F.col("id") % 7 == 3, F.col("id")).alias("v"))
+    specs = {"at": scan.next_seen(F.col("v")), "after": scan.next_seen(F.col("v"), strict=True), "last": scan.last_seen(F.col("v"))}
+    out = scan.along(df, [], [F.col("id")], specs, fits=fits)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    marks = range(3, 50, 7)
+    for r in out.collect():
+        assert r["at"] == next((m for m in marks if m >= r["id"]), None)
+        assert r["after"] == next((m for m in marks if m > r["id"]), None)
+        assert r["last"] == next((m for m in reversed(marks) if m <= r["id"]), None)
