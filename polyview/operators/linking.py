@@ -11,10 +11,13 @@ from polyview.functions import boxes as B
 from polyview.plans import folds, rounds
 from polyview.plans.scan import along, number, numbered
 from polyview.plans.octree import box_columns, box_gaps, occupied_pairs
-from polyview.plans.spatial import overlapping, within_radius
+from polyview.plans.spatial import overlapping
 from polyview.plans.stats import with_aggregates
 from polyview.session import cut
 
+CROWD = 4  # points that the first balls' cells hold, as their points see it
+MOST_HALVINGS = 16
+
 
 def allowed_pairs(edges: DataFrame, keys: Sequence[str], min_ratio: float = 0.0) -> DataFrame:
     """Forward frame pairs plus the one pair from the last frame back to the first."""
@@ -271,16 +274,65 @@ def scene_clusters(labelled: DataFrame, share: float = 0.01) -> DataFrame:
     return labelled.join(any_.filter(keep).select("cluster"), "cluster", "left_semi")
 
 
+def _nearest_by_part(points: DataFrame, reach: float) -> DataFrame:
+    """``(a, a_part, b_part, b, dist)``: each point's nearest point of every other part within ``reach``; the lowest id wins ties.
+
+    Balls grow by factors of two up to ``reach``; the first ones hold few points.  A part that a ball holds a point of is settled,
+    so what is still open has few points in the next ball, however many lie within ``reach``.
+    """
+    axes = ["x", "y", "z"]
+    steps = [F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)])).alias("d")]
+
+    def celled(df: DataFrame, size: float) -> DataFrame:
+        return df.withColumns({f"c{c}": F.floor(F.col(c) / size) for c in axes})
+
+    def spread(df: DataFrame) -> DataFrame:
+        for c in axes:
+            df = df.select("*", *steps).withColumn(f"c{c}", F.col(f"c{c}") + F.col("d")).drop("d")
+        return df
+
+    cells = [f"c{c}" for c in axes]
+    size, halvings = reach, 0
+    while halvings < MOST_HALVINGS:  # points that a point shares its cell with, on average
+        crowd = celled(points, size).groupBy(*cells).agg(F.count(F.lit(1)).cast("double").alias("n"))
+        if (crowd.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0) <= CROWD:
+            break
+        size, halvings = size / 2, halvings + 1
+    parts = points.select("part").distinct().count()
+    asking = points.select(F.col("node").alias("a"), F.col("part").alias("a_part"), *axes)
+    held = points.select(F.col("node").alias("b"), F.col("part").alias("b_part"), *axes)
+    gap = sum(((F.col(c) - F.col(f"b_{c}")) * (F.col(c) - F.col(f"b_{c}")) for c in axes), F.lit(0.0))
+    found = None
+    for k in range(halvings, -1, -1):
+        size = reach / 2**k
+        lying = celled(held, size).withColumnsRenamed({c: f"b_{c}" for c in axes})
+        if found is None:
+            met = spread(celled(asking, size)).join(lying, cells).filter("a_part <> b_part")
+        else:
+            known = found.groupBy("a").agg(F.collect_set("b_part").alias("known"))
+            asking = asking.select("a", "a_part", *axes).join(known, "a", "left").withColumn("known", F.array_append(F.coalesce("known", F.array().cast(known.schema["known"].dataType)), F.col("a_part")))
+            asking = cut(asking.filter(F.size("known") < parts))
+            there = lying.groupBy(*cells).agg(F.collect_set("b_part").alias("there"))
+            near = spread(celled(asking, size)).join(there, cells).withColumn("b_part", F.explode(F.array_except("there", "known"))).drop("there", "known")
+            met = near.join(lying, [*cells, "b_part"])
+        met = met.withColumn("dist", F.sqrt(gap)).filter(F.col("dist") <= size)
+        new = met.groupBy("a", "a_part", "b_part").agg(F.min(F.struct("dist", "b")).alias("m")).select("a", "a_part", "b_part", "m.b", "m.dist")
+        new = cut(new)
+        found = new if found is None else found.unionByName(new)
+    return found
+
+
 def reciprocal_pairs(points: DataFrame, reach: float) -> DataFrame:
-    """Cross-frame nearest neighbours that are each other's nearest, within ``reach``."""
-    pairs = within_radius(points, reach, "node", carry=["part"]).filter("a_part <> b_part")
-    both = pairs.select(
-        F.col("a_id").alias("x"), F.col("a_part").alias("xp"), F.col("b_id").alias("y"), F.col("b_part").alias("yp"), "dist"
-    )
-    both = both.union(both.select("y", "yp", "x", "xp", "dist"))
-    nearest = both.groupBy("x", "xp", "yp").agg(F.min(F.struct("dist", "y")).alias("m")).select("x", "xp", F.col("m.y").alias("y"), "yp", "m.dist")
-    mirrored = nearest.select(F.col("y").alias("x"), F.col("yp").alias("xp"), F.col("x").alias("y"), F.col("xp").alias("yp"))
-    return nearest.join(mirrored, ["x", "xp", "y", "yp"], "left_semi").filter("x < y").select("x", "y", "dist")
+    """Cross-frame nearest neighbours that are each other's nearest, within ``reach``.
+
+    Of points of one part at one place only the lowest is named back, so the others take no part.
+    """
+    placed = points.filter(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in "xyz") + " AND part IS NOT NULL")
+    folded = cut(placed.groupBy("x", "y", "z", "part").agg(F.min("node").alias("node")))
+    nearest = cut(_nearest_by_part(folded, reach))
+    mirrored = nearest.select(F.col("b").alias("a"), F.col("b_part").alias("a_part"), F.col("a").alias("b"), F.col("a_part").alias("b_part"))
+    pairs = nearest.join(mirrored, ["a", "a_part", "b", "b_part"], "left_semi").filter("a < b")
+    return pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "dist")
 
 
 def complete_link(points: DataFrame, reach: float, gate) -> DataFrame:

@@ -333,3 +333,24 @@ def test_long_tied_paths_take_few_rounds(spark, monkeypatch):
         spark.conf.unset(scan.LIMIT_SETTING)
     assert ids == {k: k // 50 + 1 for k in range(2001)}
     assert len(calls) < 30
+
+
+def test_reciprocal_pairs_in_crowds_equal_brute_force(spark):
+    """Points on a coarse grid tie and repeat; a few lie far out; two crowds of copies, which never meet one by one."""
+    rng = np.random.default_rng(3)
+    spots = [*rng.integers(0, 6, (150, 3)) / 50, *rng.uniform(0, 1, (60, 3)), *np.repeat([[0.01, 0.01, 0.01]], 30, axis=0)]
+    rows = [(i, i % 4, *map(float, s)) for i, s in enumerate(spots)]
+    best = {}
+    for i, p, *u in rows:
+        for j, q, *v in rows:
+            a, b, c = ((x - y) * (x - y) for x, y in zip(u, v))
+            d = float(np.sqrt(a + b + c))
+            if p != q and d <= 0.1:
+                best[i, q] = min(best.get((i, q), (9.0, -1)), (d, j))
+    want = {(i, j, d) for (i, q), (d, j) in best.items() if i < j and best[j, rows[i][1]][1] == i}
+    crowd = [(10000 + k, k % 2, 5.0 + k % 2 / 50, 5.0, 5.0) for k in range(60000)]
+    odd = [(9000, 0, None, 0.0, 0.0), (9001, None, 0.0, 0.0, 0.0), (9002, 1, float("nan"), 0.0, 0.0)]
+    df = spark.createDataFrame(rows + odd + crowd, "node long, part int, x double, y double, z double")
+    got = {(r["x"], r["y"], r["dist"]) for r in L.reciprocal_pairs(df, 0.1).collect()}
+    assert got == want | {(10000, 10001, abs(5.0 - 5.02))}
+    assert L.reciprocal_pairs(df.limit(0), 0.1).collect() == []
