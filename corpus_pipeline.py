@@ -20,7 +20,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on this corpus's labels, flags by the cut of their language go."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    model = toxicity.train_all(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).filter(~F.col("flagged")).select(docs.columns)
 
 

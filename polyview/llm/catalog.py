@@ -44,7 +44,7 @@ def op10_jaccard(spark, sf_dir):
 @query("op2_toxicity")
 def op2_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    model = toxicity.train_all(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "flagged")
 

@@ -108,3 +108,32 @@ def test_long_texts_and_repeated_ids_don_t_spoil_the_sample(spark, monkeypatch):
     assert taken[1] == taken[0] == (taken[0][0], len(ids))
     X.train(*frames([(k, "long " * 20000, lang, toxic) if k == ids[0] else (k, text, lang, toxic) for k, text, lang, toxic in rows]), words=10000)
     assert taken[2][1] == len(ids) - 1 and taken[2][0] <= 10000
+
+
+def test_every_labelled_row_trains_in_shards(spark):
+    """Toxic words that only a late part of the ids holds are learnt too, whatever the shards' size."""
+    rows = corpus(900, 7)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    model = X.train_all(docs, marks, sample=200, steps=150)
+    ids = sorted(r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1)
+    got = {r["shard"]: r["n"] for r in X._labelled(docs, marks, 200, X.WORDS).groupBy("shard").count().withColumnRenamed("count", "n").collect()}
+    assert len(got) > 1 and sum(got.values()) == len(ids)
+    test = corpus(400, 8)
+    flagged = model.rescale(X.raw_scores(model, pa.array([r[1] for r in test]))) >= X.CUT
+    assert (flagged == (np.array([r[3] for r in test]) == 1)).mean() > 0.95
+    assert set(model.cuts) == {"en", "de"}
+    again = X.train_all(docs, marks.union(marks), sample=200, steps=150)
+    np.testing.assert_allclose(again.table, model.table)
+    none = X.train_all(docs, spark.createDataFrame([(None, 1), (5, None), (6, 7)], "doc_id long, toxic int"))
+    assert max(r["score"] for r in X.score(docs, none).collect()) < 0.01
+
+
+def test_places_of_long_texts_equal_one_run(model, monkeypatch):
+    rows, ends = X.word_rows(pa.array([" ".join(r[1] for r in corpus(9, 9)), "", "vile"]))
+    whole = [X._places(model, k, rows, ends) for k in range(3)]
+    monkeypatch.setattr(X, "CHUNK", 7)
+    for (best, where), k in zip(whole, range(3), strict=True):
+        got = X._places(model, k, rows, ends)
+        np.testing.assert_allclose(got[0], best, atol=1e-5)
+        assert ((got[1] >= 0) == (where >= 0)).all()
