@@ -111,6 +111,29 @@ def _pairs(tree: Tree, targets: pd.DataFrame, sources: pd.DataFrame, df: DataFra
     return cut(asked.mapInPandas(run, "tc int, tr int, sc int, sr int, tb int, sb int"))
 
 
+def _candidates(a: np.ndarray, b: np.ndarray, ai: np.ndarray, bi: np.ndarray, some: int, metric: str, exclude_self: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of ``a`` and ``b`` that hold the ``some`` best of each row of ``a``, and few others.
+
+    One matrix product estimates all costs (squared distances, or negative products).  Each estimate is off by less than ``SLACK`` of
+    the squared lengths, so whatever lies more than that above the ``some``-th estimate isn't among the best, ties by rounding included.
+    """
+    size_a, size_b = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    rough = a @ b.T
+    rough *= -2.0 if metric == "l2" else -1.0
+    if metric == "l2":
+        rough += size_a[:, None]
+        rough += size_b[None, :]
+    off = SLACK * (1 + size_a + size_b.max())
+    if exclude_self:
+        rough[ai[:, None] == bi[None, :]] = np.inf
+    last = np.partition(rough, some - 1, axis=1)[:, some - 1]
+    odd = ~np.isfinite(last) | ~np.isfinite(off)  # fewer rows than asked for, or values beyond the doubles: all of them
+    close = (rough <= (last + off)[:, None]) | odd[:, None]
+    if exclude_self:
+        close &= ai[:, None] != bi[None, :]
+    return np.nonzero(close)
+
+
 def _met(targets: DataFrame, sources: DataFrame, pairs: DataFrame, k: int, metric: str, exclude_self: bool, length: float | None) -> DataFrame:
     """``(target, source, value, tc, tr, reach)``: the ``k`` best of each target in each pair of blocks; ``reach`` is the lifted distance."""
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -129,24 +152,18 @@ def _met(targets: DataFrame, sources: DataFrame, pairs: DataFrame, k: int, metri
             return pd.DataFrame({c: [] for c in types}).astype(types)
         a, b = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
         ai, bi = left["id"].to_numpy(), right["id"].to_numpy()
-        total = np.zeros((len(a), len(b)))
-        for dim in range(a.shape[1]):
-            if metric == "l2":
-                gap = a[:, dim, None] - b[None, :, dim]
-                total += gap * gap
-            else:
-                total += a[:, dim, None] * b[None, :, dim]
+        some = min(k, len(b))
+        rows, flat = _candidates(a, b, ai, bi, some, metric, exclude_self)
+        total = np.zeros(len(rows))
+        for dim in range(a.shape[1]):  # in the order of the dimensions, so that sums are those of a scan
+            x, y = a[rows, dim], b[flat, dim]
+            total += (x - y) * (x - y) if metric == "l2" else x * y
         cost = np.round(np.sqrt(total), 12) if metric == "l2" else -np.round(total, 12)
-        if exclude_self:
-            cost = np.where(ai[:, None] == bi[None, :], np.inf, cost)
-        some = min(k, cost.shape[1])
-        rows, flat = np.nonzero(cost <= np.partition(cost, some - 1, axis=1)[:, some - 1 : some])  # the k best of each row, and ties
-        order = np.lexsort((bi[flat], cost[rows, flat], rows))
-        rows, flat = rows[order], flat[order]
+        order = np.lexsort((bi[flat], cost, rows))
+        rows, flat, cost = rows[order], flat[order], cost[order]
         starts = np.searchsorted(rows, np.arange(len(a)))
         kept = np.arange(len(rows)) - starts[rows] < some
-        rows, flat = rows[kept], flat[kept]
-        value = cost[rows, flat]
+        rows, flat, value = rows[kept], flat[kept], cost[kept]
         reach = value if metric == "l2" else np.sqrt(np.maximum((a[rows] ** 2).sum(axis=1) + length**2 + 2 * value, 0))
         out = pd.DataFrame({"target": ai[rows], "source": bi[flat], "value": value if metric == "l2" else -value, "tc": left["tc"].iloc[0], "tr": left["tr"].iloc[0], "reach": reach})
         return out[np.isfinite(value)].astype(types)

@@ -295,3 +295,21 @@ def test_a_sampler_beyond_its_quota_fails(spark):
     assert sampling.shared_sample(rows, "k", "id", 11).groupBy("k").count().orderBy("k").collect() == [("a", 10), ("b", 1)]
     with pytest.raises(Exception, match="more rows than its quota"):
         sampling.shared_sample(rows, "k", "id", 11, lambda r, key, ident: r).collect()
+
+
+@pytest.mark.parametrize("metric", ["l2", "dot"])
+def test_blocks_evaluate_few_pairs_exactly(metric):
+    from polyview.plans import knn
+
+    draw = np.random.default_rng(3)
+    a, b = draw.normal(0, 1, (200, 64)), draw.normal(0, 1, (300, 64))
+    b[7], b[9], a[5] = b[3], b[3], b[3]  # copies tie
+    rows, flat = knn._candidates(a, b, np.arange(200), 1000 + np.arange(300), 3, metric, False)
+    assert len(rows) < 200 * 3 + 50
+    cost = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2)) if metric == "l2" else -(a[:, None] * b[None]).sum(axis=2)
+    found = set(zip(rows.tolist(), flat.tolist(), strict=True))
+    for k in range(200):
+        worst = np.sort(np.round(cost[k], 12))[2]
+        assert {(k, int(j)) for j in np.flatnonzero(np.round(cost[k], 12) <= worst)} <= found
+    rows, flat = knn._candidates(a, a, np.arange(200), np.arange(200), 200, metric, True)
+    assert len(rows) == 200 * 199 and not (rows == flat).any()
