@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import product
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from polyview.plans.scan import group_fits
 
 # Groups up to this size are paired by an equi-join on their key alone.
 PAIR_LIMIT = 2_000
+BLOCK = 4  # radii a block of points is wide
+BLOCK_POINTS = 20_000  # points of a block, or of one of its parts, about
+CANDIDATES = 500_000
+SLACK = 1e-6  # blocks and cells reach a little farther than the radius, so that rounding loses no pair
 
 
 # Box sides are powers of two apart between levels; smaller sides share the lowest one.
@@ -80,29 +89,71 @@ def lattice(axes: Sequence[Column], size: float, names: Sequence[str]) -> list[C
     return [F.floor(c / size).alias(n) for c, n in zip(axes, names)]
 
 
+def _near_pairs(xyz: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of points that lie in the same or in adjacent cells of a fine grid, each pair once, about ``CANDIDATES`` at a time."""
+    width = radius * (1 + SLACK) + np.abs(xyz).max() * 4e-15
+    cell = np.floor((xyz - xyz.min(axis=0)) / width).astype(np.int64) + 1
+    wide = cell.max() + 2
+    code = (cell[:, 0] * wide + cell[:, 1]) * wide + cell[:, 2]
+    order = np.argsort(code, kind="stable")
+    code, places = code[order], np.arange(len(order))
+    for step in [t for t in product((-1, 0, 1), repeat=3) if t >= (0, 0, 0)]:
+        there = code + (step[0] * wide + step[1]) * wide + step[2]
+        lo = np.searchsorted(code, there, "left") if any(step) else places + 1
+        count = np.searchsorted(code, there, "right") - lo
+        ends = np.cumsum(count)
+        at = 0
+        while at < len(code):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CANDIDATES, "right")))
+            n = count[at:to]
+            one = np.repeat(places[at:to], n)
+            if len(one):
+                yield order[one], order[np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at:to], n)]
+            at = to
+
+
 def within_radius(points: DataFrame, radius: float, ident: str, carry: Sequence[str] = ()) -> DataFrame:
     """Every unordered pair of 3-D points at most ``radius`` apart, ``a_id < b_id``.
 
-    Points are keyed by grid cells as wide as the radius; one side is repeated into
-    the 27 surrounding cells, so only neighbouring points meet.
+    Points are dealt to blocks of ``BLOCK`` radii, and also to those they are within reach of at the upper sides: about two copies each.
+    A pair belongs to the block of its lower corner.  A block of more than ``BLOCK_POINTS`` points is dealt into hashed parts, and each pair of parts
+    is a group of its own, so no group holds more than two parts.  Groups find their pairs on a grid as fine as the radius.
     """
-    axes = ["x", "y", "z"]
-    cells = ["__cx", "__cy", "__cz"]
-    base = points.select(ident, *axes, *carry, *lattice([F.col(c) for c in axes], radius, cells))
-    steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    spread = base
-    for c in cells:
-        spread = spread.withColumn("__d", F.explode(steps)).withColumn(c, F.col(c) + F.col("__d"))
-    spread = spread.drop("__d")
-    side = lambda df, p: df.select(
-        *cells, *[F.col(c).alias(f"{p}_{c}") for c in (*axes, *carry)], F.col(ident).alias(f"{p}_id")
-    )
-    dist2 = sum((F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in axes)
-    return (
-        side(base, "a")
-        .join(side(spread, "b"), cells)
-        .filter(F.col("a_id") < F.col("b_id"))
-        .withColumn("dist", F.sqrt(dist2))
-        .filter(F.col("dist") <= radius)
-        .drop(*cells)
-    )
+    axes, blocks = ["x", "y", "z"], ["__bx", "__by", "__bz"]
+    side = radius * BLOCK
+    base = points.select(F.col(ident).alias("__id"), *[F.col(c).cast("double").alias(c) for c in axes], *carry)
+    base = base.filter(" AND ".join(f"abs({c}) < double('infinity')" for c in axes))
+    dealt = base
+    for c, b in zip(axes, blocks, strict=True):
+        low = F.floor((F.col(c) - radius * (1 + SLACK) - F.abs(c) * 4e-15) / side)
+        dealt = dealt.withColumn(b, F.explode(F.array_distinct(F.array(F.floor(F.col(c) / side), low))))
+    crowded = dealt.groupBy(*blocks).agg(F.ceil(F.count(F.lit(1)) / BLOCK_POINTS).cast("int").alias("__parts")).filter("__parts > 1")
+    dealt = dealt.join(crowded, blocks, "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
+    part = F.pmod(F.xxhash64("__id"), F.col("__parts")).cast("int")
+    dealt = dealt.withColumn("__part", part).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    dealt = dealt.withColumns({"__p": F.least("__part", "__other"), "__q": F.greatest("__part", "__other")}).drop("__other")
+    kept = [*axes, *carry, "__id"]
+    names = [f"{s}_{'id' if c == '__id' else c}" for s in "ab" for c in kept]
+    kinds = [base.schema[c].dataType for c in kept] * 2
+    schema = T.StructType([T.StructField(n, k) for n, k in zip([*names, "dist"], [*kinds, T.DoubleType()], strict=True)])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(list(batches)).combine_chunks()
+        xyz = np.stack([group.column(c).to_numpy() for c in axes], axis=1)
+        block = np.array([group.column(b)[0].as_py() for b in blocks])
+        across = group.column("__p")[0].as_py() != group.column("__q")[0].as_py()
+        rank = pc.rank(group.column("__id"), "ascending", tiebreaker="dense").to_numpy()
+        own = group.column("__part").to_numpy()
+        rows = group.select(kept).to_batches()[0]
+        for one, two in _near_pairs(xyz, radius):
+            gap = xyz[one] - xyz[two]
+            dist = np.sqrt(gap[:, 0] * gap[:, 0] + gap[:, 1] * gap[:, 1] + gap[:, 2] * gap[:, 2])
+            keep = (dist <= radius) & (rank[one] != rank[two]) & ((own[one] != own[two]) | (not across))
+            one, two, dist = one[keep], two[keep], dist[keep]
+            mine = (np.floor(np.minimum(xyz[one], xyz[two]) / side) == block).all(axis=1)
+            one, two, dist = one[mine], two[mine], dist[mine]
+            first = rank[one] < rank[two]
+            a, b = rows.take(pa.array(np.where(first, one, two))), rows.take(pa.array(np.where(first, two, one)))
+            yield pa.RecordBatch.from_arrays([*a.columns, *b.columns, pa.array(dist)], names=[*names, "dist"])
+
+    return dealt.groupBy(*blocks, "__p", "__q").applyInArrow(pairs, schema)

@@ -313,3 +313,25 @@ def test_blocks_evaluate_few_pairs_exactly(metric):
         assert {(k, int(j)) for j in np.flatnonzero(np.round(cost[k], 12) <= worst)} <= found
     rows, flat = knn._candidates(a, a, np.arange(200), np.arange(200), 200, metric, True)
     assert len(rows) == 200 * 199 and not (rows == flat).any()
+
+
+@pytest.mark.parametrize("limit", [20_000, 25])
+def test_radius_pairs_in_blocks_and_parts(spark, monkeypatch, limit):
+    """Each point travels about twice, not 27 times, and a crowded block is dealt into parts."""
+    from polyview.plans import spatial
+
+    monkeypatch.setattr(spatial, "BLOCK_POINTS", limit)
+    draw = random.Random(4)
+    rows = [(k, *[draw.choice([0.0, 0.1, -0.1, draw.uniform(-1, 1), draw.uniform(-0.1, 0.1)]) for _ in range(3)], f"c{k}") for k in range(300)]
+    rows += [(7, 0.0, 0.0, 0.0, "again"), (900, float("nan"), 0.0, 0.0, "odd"), (901, None, 0.0, 0.0, "odd"), (902, float("inf"), 0.0, 0.0, "odd")]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double, tag string")
+    got = sorted((r["a_id"], r["b_id"], r["a_tag"], r["b_tag"], r["dist"]) for r in spatial.within_radius(df, 0.1, "id", ["tag"]).collect())
+    want = []
+    for p in rows[:301]:
+        for q in rows[:301]:
+            dist = ((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2) ** 0.5
+            if p[0] < q[0] and dist <= 0.1:
+                want.append((p[0], q[0], p[4], q[4], dist))
+    assert [g[:4] for g in got] == [w[:4] for w in sorted(want)] and np.allclose([g[4] for g in got], [w[4] for w in sorted(want)])
+    assert spatial.within_radius(df.limit(0), 0.1, "id").count() == 0
+    assert "__d" not in spatial.within_radius(df, 0.1, "id")._jdf.queryExecution().toString()
