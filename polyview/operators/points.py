@@ -14,7 +14,7 @@ from polyview.functions import boxes as B
 from polyview.functions import geometry as G
 from polyview.operators.ordered import merge_intervals
 from polyview.plans.scan import along, group_fits, leading
-from polyview.plans.spatial import overlapping
+from polyview.plans.spatial import PAIR_LIMIT, overlapping
 from polyview.plans.stats import quantiles, with_aggregates
 from polyview.session import cut as written
 
@@ -271,6 +271,30 @@ def hit_counts(points: DataFrame, boxes: DataFrame, frame: str, fits: bool | Non
     return hits.join(totals, [frame, "ref_id"]).withColumn("ratio", F.col("hits") / F.col("total"))
 
 
+def sampled_hits(
+    refs: DataFrame, boxes: DataFrame, frame: str, samples: Sequence[tuple[Column, Column]], fits: bool | None = None
+) -> DataFrame:
+    """``hit_counts`` of references that have the same few points each.
+
+    ``refs(frame, ref_id, …)`` has one row per reference and ``samples`` are the x and y of its points over that row.
+    While frames are small, a reference meets each box of its frame once and its points are counted there: neither
+    points nor single hits are shuffled.
+    """
+    if fits is None:
+        fits = group_fits(refs, [frame], PAIR_LIMIT) and group_fits(boxes, [frame], PAIR_LIMIT)
+    if not fits:
+        spots = F.explode(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in samples]))
+        points = refs.select(frame, "ref_id", spots.alias("p")).select(frame, "ref_id", "p.x", "p.y")
+        return hit_counts(points, boxes, frame, False)
+    pairs = refs.join(boxes.select(frame, F.struct("box_id", *B.SIDES).alias("b")), frame)
+    inside = [x.between(F.col("b.x1"), F.col("b.x2")) & y.between(F.col("b.y1"), F.col("b.y2")) for x, y in samples]
+    hits = sum((F.when(i, 1).otherwise(0) for i in inside[1:]), F.when(inside[0], 1).otherwise(0))
+    total = F.lit(len(samples)).cast("long")
+    return pairs.select(
+        frame, "ref_id", F.col("b.box_id").alias("box_id"), hits.cast("long").alias("hits"), total.alias("total")
+    ).filter("hits > 0").withColumn("ratio", F.col("hits") / F.col("total"))
+
+
 def with_zero_boxes(hits: DataFrame, boxes: DataFrame, frame: str) -> DataFrame:
     """Every box with its hit total and best ratio; boxes nobody hit have zeros."""
     per = hits.groupBy(frame, "box_id").agg(F.sum("hits").alias("hits"), F.max("ratio").alias("best_ratio"))

@@ -160,6 +160,22 @@ def test_hit_counts_on_edges(spark):
         assert all_ == {7: 3, 8: 0}
 
 
+def test_sampled_hits_count_as_hit_counts_do_without_shuffling_points(spark):
+    rng = np.random.default_rng(3)
+    sides = lambda n: [(int(f), i, float(x), float(y), float(x + w), float(y + h)) for i, (f, x, y, w, h) in enumerate(rng.integers(0, 8, (n, 5)))]
+    refs = spark.createDataFrame(sides(40) + [(0, 99, None, 1.0, 2.0, 2.0)], "frame int, ref_id int, x1 double, y1 double, x2 double, y2 double")
+    box = spark.createDataFrame(sides(40), "frame int, box_id int, x1 double, y1 double, x2 double, y2 double")
+    samples = [(F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2")), (F.col("x2"), F.col("y2"))]
+    pts = refs.select("frame", "ref_id", F.explode(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in samples])).alias("p")).select("frame", "ref_id", "p.*")
+    rows = lambda df: sorted(tuple(r) for r in df.select("frame", "ref_id", "box_id", "hits", "total", "ratio").collect())
+    want = rows(P.hit_counts(pts, box, "frame", True))
+    assert len(want) > 40
+    for fits in (None, True, False):
+        assert rows(P.sampled_hits(refs, box, "frame", samples, fits)) == want
+    plan = P.sampled_hits(refs, box, "frame", samples, True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan and plan.count("Join") == 1
+
+
 def test_coplanar_score(spark):
     hits = spark.createDataFrame([(0, 1, 7, 4, 4, 1.0), (0, 1, 8, 2, 4, 0.5)], "frame int, ref_id int, box_id int, hits long, total long, ratio double")
     geo = lambda key, rows: spark.createDataFrame(rows, f"frame int, {key} int, cx double, cy double, cz double, nx double, ny double, nz double, rms double")
