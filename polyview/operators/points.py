@@ -272,26 +272,30 @@ def hit_counts(points: DataFrame, boxes: DataFrame, frame: str, fits: bool | Non
 
 
 def sampled_hits(
-    refs: DataFrame, boxes: DataFrame, frame: str, samples: Sequence[tuple[Column, Column]], fits: bool | None = None
+    refs: DataFrame, boxes: DataFrame, frame: str, samples: Sequence[tuple[Column, Column]], fits: bool | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """``hit_counts`` of references that have the same few points each.
 
     ``refs(frame, ref_id, …)`` has one row per reference and ``samples`` are the x and y of its points over that row.
     While frames are small, a reference meets each box of its frame once and its points are counted there: neither
-    points nor single hits are shuffled.
+    points nor single hits are shuffled.  Columns ``carry`` of both sides come along in structs ``r`` and ``t``.
     """
+    packed = lambda df, key, name: df.select(frame, key, F.struct(*carry).alias(name))
     if fits is None:
         fits = group_fits(refs, [frame], PAIR_LIMIT) and group_fits(boxes, [frame], PAIR_LIMIT)
     if not fits:
         spots = F.explode(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in samples]))
         points = refs.select(frame, "ref_id", spots.alias("p")).select(frame, "ref_id", "p.x", "p.y")
-        return hit_counts(points, boxes, frame, False)
-    pairs = refs.join(boxes.select(frame, F.struct("box_id", *B.SIDES).alias("b")), frame)
+        hits = hit_counts(points, boxes, frame, False)
+        return hits.join(packed(refs, "ref_id", "r"), [frame, "ref_id"]).join(packed(boxes, "box_id", "t"), [frame, "box_id"]) if carry else hits
+    pairs = refs.join(boxes.select(frame, F.struct("box_id", *dict.fromkeys([*B.SIDES, *carry])).alias("b")), frame)
     inside = [x.between(F.col("b.x1"), F.col("b.x2")) & y.between(F.col("b.y1"), F.col("b.y2")) for x, y in samples]
     hits = sum((F.when(i, 1).otherwise(0) for i in inside[1:]), F.when(inside[0], 1).otherwise(0))
     total = F.lit(len(samples)).cast("long")
+    carried = [F.struct(*carry).alias("r"), F.struct(*[f"b.{c}" for c in carry]).alias("t")] if carry else []
     return pairs.select(
-        frame, "ref_id", F.col("b.box_id").alias("box_id"), hits.cast("long").alias("hits"), total.alias("total")
+        frame, "ref_id", F.col("b.box_id").alias("box_id"), hits.cast("long").alias("hits"), total.alias("total"), *carried
     ).filter("hits > 0").withColumn("ratio", F.col("hits") / F.col("total"))
 
 
@@ -307,15 +311,19 @@ def candidates_over_limit(hits: DataFrame, frame: str, top: int) -> DataFrame:
 
 
 def candidate_scores(
-    hits: DataFrame, refs: DataFrame, targets: DataFrame, frame: str, least_ratio: float, reach: float,
+    hits: DataFrame, refs: DataFrame | None, targets: DataFrame | None, frame: str, least_ratio: float, reach: float,
     normals: bool = False, top: int = 5,
 ) -> DataFrame:
-    """Score the ``top`` most-hit boxes of each reference by ratio, distance and coplanarity (see ``candidates_over_limit``)."""
+    """Score the ``top`` most-hit boxes of each reference by ratio, distance and coplanarity (see ``candidates_over_limit``).
+
+    Without ``refs`` and ``targets`` the hits carry their geometry in structs ``r`` and ``t`` (see ``sampled_hits``).
+    """
     order = [F.col("hits").desc(), F.col("box_id")]
     rank = F.row_number().over(Window.partitionBy(frame, "ref_id").orderBy(*order))
     short = hits.withColumn("__r", rank).filter(F.col("__r") <= top).drop("__r").filter(F.col("ratio") >= least_ratio)
     packed = lambda df, key, name: df.select(frame, key, F.struct(*[c for c in df.columns if c not in (frame, key)]).alias(name))
-    both = short.join(packed(refs, "ref_id", "r"), [frame, "ref_id"]).join(packed(targets, "box_id", "t"), [frame, "box_id"])
+    both = short if refs is None else short.join(packed(refs, "ref_id", "r"), [frame, "ref_id"])
+    both = both if targets is None else both.join(packed(targets, "box_id", "t"), [frame, "box_id"])
     gap = [F.col(f"r.c{a}") - F.col(f"t.c{a}") for a in XYZ]
     distance = G.norm(gap)
     geometry = F.greatest(F.lit(0.0), 1 - distance / reach)

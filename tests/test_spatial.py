@@ -172,6 +172,13 @@ def test_sampled_hits_count_as_hit_counts_do_without_shuffling_points(spark):
     assert len(want) > 40
     for fits in (None, True, False):
         assert rows(P.sampled_hits(refs, box, "frame", samples, fits)) == want
+    geometry = {"cx": F.col("x1"), "cy": F.col("y1"), "cz": F.col("x2")}
+    refs, box = refs.withColumns(geometry), box.withColumns(geometry)
+    score = lambda hits, r, t: sorted(tuple(x) for x in P.candidate_scores(hits, r, t, "frame", 0.3, 4.0, top=2).collect())
+    places = score(P.hit_counts(pts, box, "frame", True), refs, box)
+    assert len(places) > 10
+    for fits in (True, False):
+        assert score(P.sampled_hits(refs, box, "frame", samples, fits, ("cx", "cy", "cz")), None, None) == places
     plan = P.sampled_hits(refs, box, "frame", samples, True)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Aggregate" not in plan and plan.count("Join") == 1
 
