@@ -19,6 +19,7 @@ from polyview.plans.stats import quantiles, with_aggregates
 from polyview.session import cut as written
 
 XYZ = ("x", "y", "z")
+AREA_LIMIT = 256  # boxes of a key that ``union_area`` sweeps in one row
 
 
 def xyz(prefix: str = "") -> list[Column]:
@@ -485,13 +486,35 @@ def footprint_points(points: DataFrame, label: str, ident: str, voxel: float, le
     ).select(label, "u", "v")
 
 
-def union_area(boxes: DataFrame, key: str, tile: float = 256.0) -> DataFrame:
+def _swept_area(boxes: DataFrame, key: str) -> DataFrame:
+    """``union_area`` of small groups: in each slab between two x edges, boxes add the y range above what lower ones reached."""
+    rows = boxes.filter("x2 > x1 AND y2 > y1").groupBy(key).agg(F.sort_array(F.collect_set(F.struct("y1", "y2", "x1", "x2"))).alias("__b"))
+    ends = lambda side: F.transform("__b", lambda b: b[side])
+    rows = rows.withColumn("__x", F.sort_array(F.array_distinct(F.concat(ends("x1"), ends("x2")))))
+    start = F.struct(F.lit(0.0).alias("height"), F.lit(float("-inf")).alias("reach"))
+
+    def raised(seen: Column, b: Column) -> Column:
+        height = seen["height"] + F.greatest(F.lit(0.0), b["y2"] - F.greatest(b["y1"], seen["reach"]))
+        return F.struct(height.alias("height"), F.greatest(seen["reach"], b["y2"]).alias("reach"))
+
+    def slab(left: Column, right: Column) -> Column:
+        return (right - left) * F.aggregate(F.filter("__b", lambda b: (b["x1"] <= left) & (b["x2"] >= right)), start, raised, lambda s: s["height"])
+
+    last = F.size("__x") - 1
+    slabs = F.zip_with(F.slice("__x", F.lit(1), last), F.slice("__x", F.lit(2), last), slab)
+    return rows.select(key, F.aggregate(slabs, F.lit(0.0), lambda a, b: a + b).alias("area"))
+
+
+def union_area(boxes: DataFrame, key: str, tile: float = 256.0, fits: bool | None = None) -> DataFrame:
     """Exact area of the union of axis-aligned boxes per key.
 
-    Boxes are cut at tile borders, so areas add up over tiles and a crowded key is
+    Keys of at most ``AREA_LIMIT`` boxes (measured) sweep their own row of boxes, see ``_swept_area``; rows are grouped once and
+    no slab is shuffled.  Otherwise boxes are cut at tile borders, so areas add up over tiles and a crowded key is
     spread.  Inside a tile the distinct x edges form slabs; the y intervals of the
     boxes that span a slab are merged.
     """
+    if group_fits(boxes, [key], AREA_LIMIT) if fits is None else fits:
+        return _swept_area(boxes, key)
     span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / tile), F.ceil(F.col(hi) / tile) - 1))
     pieces = (
         boxes.filter("x2 > x1 AND y2 > y1").select(key, *B.SIDES)

@@ -160,6 +160,16 @@ def test_hit_counts_on_edges(spark):
         assert all_ == {7: 3, 8: 0}
 
 
+def test_union_area_sweeps_small_groups_without_slabs(spark):
+    det = boxes(spark, seed=4)
+    area = lambda fits: {r["image_id"]: r["area"] for r in P.union_area(det, "image_id", tile=70.0, fits=fits).collect()}
+    assert area(True) == pytest.approx(area(False)) and area(None) == area(True)
+    flat = spark.createDataFrame([(0, 1.0, 1.0, 1.0, 5.0), (1, 0.0, -9.0, 4.0, -5.0), (1, 2.0, -7.0, 6.0, -3.0)], "image_id int, x1 double, y1 double, x2 double, y2 double")
+    assert [tuple(r) for r in P.union_area(flat, "image_id").collect()] == [(1, 28.0)]
+    plan = P.union_area(flat, "image_id", fits=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and plan.count("Aggregate") == 1
+
+
 def test_sampled_hits_count_as_hit_counts_do_without_shuffling_points(spark):
     rng = np.random.default_rng(3)
     sides = lambda n: [(int(f), i, float(x), float(y), float(x + w), float(y + h)) for i, (f, x, y, w, h) in enumerate(rng.integers(0, 8, (n, 5)))]
