@@ -39,11 +39,7 @@ def classification_validate(spark, d):
         .when(kind.isin(1, 11), gone).otherwise(full)
     )
     rows = det.select("image_id", "object_id", record.alias("record"))
-    valid, rejects = L.validate_records(rows, "record")
-    keys = ["image_id", "object_id"]
-    return valid.select(*keys, F.lit("ok").alias("outcome")).union(
-        rejects.select(*keys, F.col("reason").alias("outcome"))
-    )
+    return L.record_outcomes(rows, "record").select("image_id", "object_id", "outcome")
 
 
 LABELS = """lab AS (SELECT p_partkey, CASE p_size%5 WHEN 0 THEN p_name WHEN 1 THEN concat('^', p_name)

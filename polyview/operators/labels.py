@@ -28,12 +28,12 @@ OTHER_LABEL = "其他"
 FOLDED_LABELS = "^(?:100)?[冲沖]劲$"
 
 
-def reject_reason(text: Column) -> Column:
-    """Why a JSON classification record is not valid; null for a valid one."""
-    v = F.try_parse_json(text)
+def reject_reason(text: Column, parsed: Column | None = None) -> Column:
+    """Why a JSON classification record is not valid; null for a valid one.  ``parsed`` is its variant, if a column holds it."""
+    v = F.try_parse_json(text) if parsed is None else parsed
     get = lambda path, kind: F.try_variant_get(v, path, kind)
     kind = lambda path: F.schema_of_variant(F.variant_get(v, path, "variant"))
-    keys = F.array_sort(F.json_object_keys(text))
+    keys = F.sort_array(F.json_object_keys(text))
     status = get("$.status", "string")
     expected = F.when(status == "resolved", F.array(*[F.lit(k) for k in sorted(RESOLVED_KEYS)]))
     expected = expected.when(
@@ -64,6 +64,12 @@ def reject_reason(text: Column) -> Column:
     )
 
 
+def record_outcomes(records: DataFrame, text: str) -> DataFrame:
+    """Every record with its ``outcome``, ok or why it is not valid, read once (``validate_records`` reads them for each side)."""
+    parsed = records.withColumn("__v", F.try_parse_json(text))
+    return parsed.withColumn("outcome", F.coalesce(reject_reason(F.col(text), F.col("__v")), F.lit("ok"))).drop("__v")
+
+
 def validate_records(records: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """Split records into valid rows and rejects with their reason."""
     marked = records.withColumn("reason", reject_reason(F.col(text)))

@@ -182,3 +182,16 @@ def test_strict_alignment_fails_without_common_frames(spark):
     with pytest.raises(ValueError, match="nothing can be aligned"):
         ordered.aligned_ids(a, b.filter("id > 3"), "id", strict=True)
     assert ordered.aligned_ids(a, b.filter("id > 3"), "id").count() == 0
+
+
+def test_record_outcomes_read_each_record_once(spark):
+    good = {"schema_version": "1.0.0", "source": L.RECORD_SOURCE, "project_id": L.PROJECT_ID, "status": "unavailable", "reason": "low_quality"}
+    texts = [json.dumps(good), json.dumps({**good, "source": "x"}), json.dumps({**good, "more": 1}), "[1]", "{", None, json.dumps({**good, "reason": ""})]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, record string")
+    out = L.record_outcomes(rows, "record")
+    got = [r["outcome"] for r in out.orderBy("i").collect()]
+    assert got == ["ok", "source", "schema", "object", "object", "object", "reason"]
+    valid, rejects = L.validate_records(rows, "record")
+    assert [r["i"] for r in valid.collect()] == [0] and {r["i"]: r["reason"] for r in rejects.collect()} == {i: g for i, g in enumerate(got) if i}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Scan") + plan.count("LogicalRDD") <= 1
