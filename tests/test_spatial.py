@@ -321,6 +321,30 @@ def test_boxes_of_mixed_size_meet_on_levels(spark):
     assert spatial.overlapping(df.limit(0), df, ["k"], fits=False).count() == 0
 
 
+def test_box_points_are_the_lowest_draws_of_each_box(spark):
+    from hashlib import md5
+
+    from polyview.operators import sampling
+
+    sides = [(0.0, 0.0, 8.0, 4.0), (1.0, 2.0, 3.0, float("nan")), (None, 0.0, 1.0, 1.0)]
+    rows = [(i, *sides[i % 3], n) for i, n in enumerate([1, 2, 5, 8, 8, 7, 0, None, 30])]
+    df = spark.createDataFrame(rows, "i int, x1 double, y1 double, x2 double, y2 double, n int")
+    want = []
+    for i, x1, y1, x2, y2, n in rows:
+        e = max(1, int(((n or 0) * 4) ** 0.5))
+        cells = [(k, (k % e) / (e - 1) if e > 1 else 0.0, (k // e) / (e - 1) if e > 1 else 0.0) for k in range(e * e)]
+        square = [(2 * u - 1) ** 2 + (2 * v - 1) ** 2 for _, u, v in cells]
+        weight = [np.exp(-s / 0.32) if np.sqrt(s) <= 1.0 else 0.0 for s in square]
+        if sum(w > 0 for w in weight) < (n or 0):
+            weight = [1.0] * len(cells)
+        chance = lambda k: (int(md5(f"{i}:{k}".encode()).hexdigest()[:12], 16) + 0.5) / 16**12  # noqa: B023, E731
+        drawn = sorted((-np.log(chance(c[0])) / w, *c) for c, w in zip(cells, weight, strict=True) if w > 0)[: n or 0]
+        want += [(i, p + 1, None if x1 is None else x1 + (x2 - x1) * u, y1 + (y2 - y1) * v) for p, (_, _, u, v) in enumerate(drawn)]
+    out = sampling.box_points(df, ["i"], ["x1", "y1", "x2", "y2"], "n", 0.4, 2.5)
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert str(sorted(tuple(r) for r in out.collect())) == str(sorted((i, p, None if x is None else float(x), float(y)) for i, p, x, y in want))
+
+
 def test_a_sampler_beyond_its_quota_fails(spark):
     from polyview.operators import sampling
 
