@@ -9,6 +9,7 @@ from polyview.catalog.boxes import IOU
 from polyview.catalog.registry import GREEDY, query
 from polyview.functions import boxes as B
 from polyview.operators import linking as L
+from polyview.session import cut
 
 
 @query("greedy_match", f"""WITH {X.MATCH}, ls AS (SELECT ref_img, tgt_img, list({{'g':ref_id,'k':tgt_id,'s':hit_ratio}} ORDER BY hit_ratio DESC, ref_id, tgt_id) AS es FROM edges GROUP BY 1,2),
@@ -118,9 +119,10 @@ UNION ALL SELECT 'lost', video, CAST(idx+1 AS INTEGER), NULL, object_id FROM r W
 UNION ALL SELECT 'new', video, idx, object_id, NULL FROM r WHERE score>=0.5 AND NOT EXISTS (SELECT 1 FROM pr WHERE pr.video=r.video AND pr.idx=r.idx AND pr.gg=r.object_id AND iou>=0.1)""")
 def det_track_assoc(spark, d):
     det = X.detections(spark, d).join(X.frames(spark, d).select("video", "idx", "image_id"), "image_id")
+    det = cut(det.select("video", "idx", "object_id", "score", *B.SIDES))  # pairs, lone tracks and new detections read it, twice and once each
     now = det.select("video", "idx", F.col("object_id").alias("det_id"), "score", *B.SIDES)
     trk = det.select("video", (F.col("idx") + 1).alias("idx"), F.col("object_id").alias("trk_id"), *B.SIDES)
-    matched, lone, fresh, _ = L.associate(now, trk, ["video", "idx"], 0.1, 0.2, 0.5)
+    matched, lone, fresh, _ = L.associate(now, trk, ["video", "idx"], 0.1, 0.2, 0.5, X.images_pair(spark, d))
     keys = ["video", "idx"]
     null = F.lit(None).cast("int")
     return (

@@ -36,3 +36,8 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["video", "image_id", "detections", "kept", "ids"]
     assert df.count() > 0
+
+
+def test_det_track_assoc_builds_its_detections_once(spark):
+    plan = entry.queries()["det_track_assoc"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan  # pairs, lone tracks and new detections read what was written
