@@ -13,7 +13,7 @@ from polyview.plans.scan import along, number, numbered
 from polyview.plans.octree import box_columns, box_gaps, occupied_pairs
 from polyview.plans.spatial import overlapping
 from polyview.plans.stats import with_aggregates
-from polyview.session import cut
+from polyview.session import cut, cut_counted
 
 CROWD = 4  # points that the first balls' cells hold, as their points see it
 MOST_HALVINGS = 16
@@ -183,13 +183,36 @@ def associate(det: DataFrame, trk: DataFrame, keys: Sequence[str], threshold: fl
     return matched, lone.select(*keys, "trk_id"), fresh.select(*keys, "det_id"), links
 
 
+def _gap(p: Column, q: Column) -> Column:
+    return F.sqrt(sum(((p[c] - q[c]) * (p[c] - q[c]) for c in "xyz"), F.lit(0.0)))
+
+
+def _meeting(pairs: DataFrame, core: DataFrame, eps: float) -> DataFrame:
+    """``(a, b)``: components joined by core points at most ``eps`` apart, of paired cells of different components.
+
+    ``pairs`` holds the cells, as columns, the boxes ``a`` and ``b`` of their core points and the two components.  Points
+    farther than ``eps`` from the other cell's box don't meet.
+    """
+    cells = ["cx", "cy", "cz"]
+    keys = [f"{s}{c}" for s in "ab" for c in cells]
+
+    def facing(side: str, other: str) -> DataFrame:
+        point = core.select(F.struct("x", "y", "z").alias(f"{side}_at"), *[F.col(c).alias(f"{side}{c}") for c in cells])
+        out = [F.greatest(F.col(f"{other}.lo{c}") - F.col(f"{side}_at.{c}"), F.col(f"{side}_at.{c}") - F.col(f"{other}.hi{c}"), F.lit(0.0)) for c in "xyz"]
+        return pairs.join(point, [f"{side}{c}" for c in cells]).filter(F.sqrt(sum((o * o for o in out), F.lit(0.0))) <= eps)
+
+    both = facing("a", "b").select(*keys, "a_part", "b_part", "a_at").join(facing("b", "a").select(*keys, "b_at"), keys)
+    return both.filter(_gap(F.col("a_at"), F.col("b_at")) <= eps).select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct()
+
+
 def dbscan(points: DataFrame, ident: str, eps: float, least: int) -> DataFrame:
     """Density clusters of 3-D points ``(ident, x, y, z)``; noise is -1.
 
     Equal points are folded.  Cells have a diagonal of ``eps``, so the points of a cell
     are neighbours: a cell with ``least`` points is all core without looking at pairs,
     and the core points of a cell always share a cluster.  Only occupied cells near each other
-    are paired; the boxes of their points settle most pairs, points meet in the rest, and links join cells.
+    are paired; the boxes of their core points and the outermost of these, six a cell, settle most pairs.  Points meet only where
+    two cells lie in different components of the links so far, so full cells cost nothing more the fuller they are.
     """
     axes = ["x", "y", "z"]
     cells = ["cx", "cy", "cz"]
@@ -220,15 +243,29 @@ def dbscan(points: DataFrame, ident: str, eps: float, least: int) -> DataFrame:
     )
     cell = F.struct(*cells)
     struct = lambda side: F.struct(*[F.col(f"{side}{c}").alias(c) for c in cells])
+    place = F.struct(*axes)
+    tips = F.array(*[f(place, F.col(c)) for c in axes for f in (F.min_by, F.max_by)]).alias("tips")
+    touching = F.exists("a.tips", lambda p: F.exists("b.tips", lambda q: _gap(p, q) <= eps))
+    held = [*cells, *[f"{n}{c}" for c in axes for n in ("lo", "hi")]]
+    boxes = lambda side: F.struct(*[F.col(f"{side}.{c}").alias(c) for c in held]).alias(side)
     forward = cut(
-        occupied_pairs(boxed(core)).filter(struct("a.") < struct("b.")).filter(least_gap <= eps)
-        .select(*of("a"), *of("b"), (largest_gap <= eps).alias("sure"))
+        occupied_pairs(boxed(core, tips)).filter(struct("a.") < struct("b.")).filter(least_gap <= eps)
+        .withColumn("sure", (largest_gap <= eps) | touching).select(boxes("a"), boxes("b"), "sure")
     )
-    open_ = forward.filter(~F.col("sure"))
-    some = met(core, core, open_.drop("sure")).select(*open_.drop("sure").columns).distinct()
-    links = forward.filter("sure").drop("sure").union(some.select(forward.drop("sure").columns)).select(struct("a").alias("a"), struct("b").alias("b"))
     per_cell = core.groupBy(*cells).agg(F.min("loc").alias("first")).select(cell.alias("node"), "first")
-    parts = rounds.components(per_cell, links)
+    parts = cut(rounds.components(per_cell, forward.filter("sure").select(struct("a.").alias("a"), struct("b.").alias("b"))))
+    # Only cells that are not in one component yet can still add something; points far from the other cell's box can't.
+    named = lambda side: parts.select(*[F.col(f"node.{c}").alias(f"{side}{c}") for c in cells], F.col("component").alias(f"{side}_part"))
+    open_ = forward.filter(~F.col("sure")).select(*of("a"), *of("b"), "a", "b")
+    open_, left = cut_counted(
+        open_.join(named("a"), [f"a{c}" for c in cells]).join(named("b"), [f"b{c}" for c in cells]).filter("a_part <> b_part")
+    )
+    if left:
+        more = _meeting(open_, core, eps)
+        joined = rounds.components(parts.select("component").distinct().withColumnRenamed("component", "node"), more)
+        parts = parts.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component").select(
+            "node", "first", F.col("whole").alias("component")
+        )
     # Clusters are numbered by their first core point.
     firsts = parts.groupBy("component").agg(F.min("first").alias("first"))
     named = numbered(firsts, [F.col("first")], "cluster", start=0).select("component", "cluster")

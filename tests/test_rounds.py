@@ -137,6 +137,25 @@ def test_dbscan_with_copies(spark):
     assert (main["size"], -main["cluster"]) == sizes[0]
 
 
+def test_dbscan_meets_points_only_between_components(spark, monkeypatch):
+    """Full cells are joined by their boxes and outermost points; what these don't settle is still exact."""
+    seen = []
+    real = L._meeting
+    monkeypatch.setattr(L, "_meeting", lambda pairs, core, eps: seen.append(pairs.count()) or real(pairs, core, eps))
+    rng = np.random.default_rng(31)
+    table = lambda cloud: spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(cloud)], "point_id long, x double, y double, z double")
+    full = L.dbscan(table(rng.uniform(0, 0.3, (6000, 3))), "point_id", 0.1, 5)
+    assert [tuple(r) for r in full.groupBy("cluster").count().collect()] == [(0, 6000)] and not seen
+    for seed in range(2):
+        cloud = np.random.default_rng(seed).uniform(0, 1, (400, 3))
+        got = {r["point_id"]: r["cluster"] for r in L.dbscan(table(cloud), "point_id", 0.12, 4).collect()}
+        assert got == brute_dbscan(dict(enumerate(cloud)), 0.12, 4)
+    rods = [(x, y, z) for x, s in ((0.0, 1), (0.055, -1)) for y, z in [(0.0, 0.0), (0.05, 0.01), (0.02, 0.05), (0.03, 0.03), (0.045, 0.045)] for x in (x + s * (0.001 if (y, z) == (0.03, 0.03) else 0) + s * y * z,)]
+    got = {r["point_id"]: r["cluster"] for r in L.dbscan(table(np.array(rods)), "point_id", 0.054, 2).collect()}
+    assert got == brute_dbscan(dict(enumerate(np.array(rods))), 0.054, 2)
+    assert seen
+
+
 def test_complete_link(spark):
     rng = np.random.default_rng(10)
     rows = [(i, i % 4, *map(float, rng.uniform(0, 0.3, 3))) for i in range(60)]
