@@ -39,19 +39,17 @@ gi AS (SELECT *, dense_rank() OVER (PARTITION BY video ORDER BY head) AS global_
 
 
 def _global(spark, d, least: float = 0.0):
-    det = X.detections(spark, d).select("image_id", "object_id")
-    fr = X.frames(spark, d).select("video", "idx", "image_id")
-    node = lambda v, i, o: F.struct(F.col(v).alias("video"), i.alias("idx"), F.col(o).alias("object_id"))
-    nodes = det.join(fr, "image_id").select(
-        node("video", F.col("idx"), "object_id").alias("node"), F.struct("video", "idx").alias("part"), "video", "idx", "image_id", "object_id"
-    )
-    e = X.matches(spark, d)
+    lines = cut(X.placed(spark, d).drop("l_partkey"))  # nodes and both ends of the edges read it
+    node = lambda i, o: F.struct("video", i.alias("idx"), F.col(o).alias("object_id"))
+    nodes = lines.select(node(F.col("idx"), "object_id").alias("node"), F.col("idx").alias("part"), "video", "image_id")
+    e = X.matches(spark, d, lines)
     if least > 0:
         e = e.filter(F.col("hit_ratio") >= least)
     edges = e.select(
-        node("video", F.col("ref_idx"), "ref_id").alias("a"), node("video", F.col("ref_idx") + 1, "tgt_id").alias("b"), "hit_ratio", "edge_seq"
+        node(F.col("ref_idx"), "ref_id").alias("a"), node(F.col("ref_idx") + 1, "tgt_id").alias("b"), "video", "hit_ratio",
+        F.struct("ref_idx", "ref_id", "tgt_id").alias("edge_seq"),
     )
-    return L.global_ids(nodes, edges, "hit_ratio", "edge_seq", "video")
+    return L.global_ids(nodes, edges, "hit_ratio", "edge_seq", "video").withColumn("object_id", F.col("node.object_id"))
 
 
 @query("global_ids", f"WITH {_linked(0)} SELECT video, image_id, object_id, global_id, removed FROM gi")

@@ -58,27 +58,36 @@ def match_one_to_one(
 def global_ids(nodes: DataFrame, edges: DataFrame, ratio: str, seq: str, sequence: str) -> DataFrame:
     """Global ids of all detections: edges merge unless a cluster would hold an image twice.
 
-    ``nodes(node, part, <sequence>)`` lists every detection; ``edges(a, b)`` name nodes
-    of one sequence.  Each sequence's edges stream through one scan.  Ids count from 1 in the order of each
-    cluster's first node within its sequence; every other member is ``removed``.
+    ``nodes(node, part, <sequence>, ...)`` lists every detection; ``edges(a, b, ...)`` name nodes of one sequence, which
+    they may carry as ``<sequence>``.  Whole sequences are scanned in packs, those beyond the limit by components.  Ids count from 1
+    in the order of each cluster's first node within its sequence; every other member is ``removed``.
     """
-    nodes = cut(nodes)
-    side = lambda e: nodes.select(F.col("node").alias(e), F.col("part").alias(f"{e}_part"), F.col(sequence).alias(f"{e}_seq"))
-    ranked = edges.select(_ranked(ratio, seq, F.col("a"), F.col("b")).alias("p"), "a", "b")
-    known = ranked.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    wrong = F.when(F.col("a_part").isNull() | F.col("b_part").isNull(), "unknown detection in match edge").when(
-        F.col("a_seq") != F.col("b_seq"), "match edge between sequences"
-    )
-    failed = F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean").cast("int").cast(nodes.schema[sequence].dataType))
-    checked = known.withColumn(sequence, failed.otherwise(F.col("a_seq"))).drop("a_seq", "b_seq")
-    grown = folds.clustered(checked, [sequence])
-    clusters = nodes.join(grown, "node", "left")
+    if sequence in edges.columns:
+        checked = edges.select("a", "b", sequence, (-F.col(ratio)).alias("__r"), F.col(seq).alias("__s"))
+    else:
+        nodes = cut(nodes)
+        side = lambda e: nodes.select(F.col("node").alias(e), F.col("part").alias(f"{e}_part"), F.col(sequence).alias(f"{e}_seq"))
+        known = edges.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        wrong = F.when(F.col("a_part").isNull() | F.col("b_part").isNull(), "unknown detection in match edge").when(
+            F.col("a_seq") != F.col("b_seq"), "match edge between sequences"
+        )
+        failed = F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean").cast("int").cast(nodes.schema[sequence].dataType))
+        checked = known.select("a", "b", failed.otherwise(F.col("a_seq")).alias(sequence), (-F.col(ratio)).alias("__r"), F.col(seq).alias("__s"))
+    found, wide, links = folds.grouped_clusters(nodes, cut(checked), sequence, ["__r", "__s"])
+    found = found.select(*nodes.columns, F.col("head").alias("cluster"), F.col("place").alias("global_id"), "removed")
+    if wide is None:
+        return found
+    wide = cut(wide)
+    side = lambda e: wide.select(F.col("node").alias(e), F.col("part").alias(f"{e}_part"), F.col(sequence))
+    ranked = links.join(side("a"), [sequence, "a"], "left").join(side("b"), [sequence, "b"], "left")
+    lost = F.when(F.col("a_part").isNull() | F.col("b_part").isNull(), F.raise_error(F.lit("unknown detection in match edge")).cast("boolean"))
+    ranked = ranked.filter(lost.isNull()).select(F.struct(F.col("__r").alias("r"), F.col("__s").alias("s"), "a", "b").alias("p"), "a", "a_part", "b", "b_part", sequence)
+    clusters = wide.join(folds.clustered(ranked, [sequence]), "node", "left")
     clusters = cut(clusters.withColumn("cluster", F.coalesce("cluster", "node")))
     heads = clusters.filter(F.col("node") == F.col("cluster")).select(sequence, "cluster")
     ids = along(heads, [sequence], [F.col("cluster")], {"global_id": number()})
-    return clusters.join(ids.select("cluster", "global_id"), "cluster").withColumn(
-        "removed", F.col("node") != F.col("cluster")
-    )
+    out = clusters.join(ids.select("cluster", "global_id"), "cluster").withColumn("removed", F.col("node") != F.col("cluster"))
+    return found.unionByName(out)
 
 
 def survivors(mapping: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -204,6 +204,40 @@ def test_global_ids(spark):
     assert {r["node"]: (r["global_id"], r["removed"]) for r in got} == want
 
 
+@pytest.mark.parametrize("limit", [None, 12])
+def test_global_ids_scans_packs_of_sequences(spark, monkeypatch, limit):
+    """Edges that carry their sequence: nodes as structs, nulls in them, alone and in several packs, as the sequential scan has it."""
+    from polyview.plans import folds, scan
+
+    monkeypatch.setattr(folds, "PACK", 40)
+    nodes, edges, want = [], [], {}
+    for video in [*range(6), 2**40]:
+        rnd = random.Random(video)
+        part = {n: rnd.randrange(5) for n in range(3 + video % 5 * 6)}
+        mine = edges_of(video, len(part), min(3, video % 5 * 9))
+        name = lambda n, v=video: (v, None if n == 0 else n % 4, f"é{n:03}")
+        nodes += [(name(n), f"p{p}", video) for n, p in part.items()]
+        edges += [(name(a), name(b), video, -float(r), i) for r, i, a, b in mine]
+        sort = sorted(part, key=lambda n: (n != 0, n % 4, n))
+        home = {n: sort[k] for n, k in sequential_clusters(range(len(part)), [part[n] for n in sort], sorted((r, i, sort.index(a), sort.index(b)) for r, i, a, b in mine)).items()}
+        home = {sort[n]: k for n, k in home.items()}
+        order = {c: k + 1 for k, c in enumerate(n for n in sort if home[n] == n)}
+        want |= {name(n): (order[c], n != c) for n, c in home.items()}
+    kind = "struct<v: long, k: int, t: string>"
+    table = spark.createDataFrame(nodes, f"node {kind}, part string, video long")
+    links = spark.createDataFrame(edges, f"a {kind}, b {kind}, video long, hit_ratio double, seq int")
+    if limit:
+        spark.conf.set(scan.LIMIT_SETTING, str(limit))
+    try:
+        got = L.global_ids(table, links, "hit_ratio", "seq", "video").collect()
+    finally:
+        spark.conf.unset(scan.LIMIT_SETTING)
+    assert len(got) == len(want) and {tuple(r["node"]): (r["global_id"], r["removed"]) for r in got} == want
+    wrong = spark.createDataFrame([(nodes[0][0], nodes[-1][0], 0, 1.0, 1)], links.schema)
+    with pytest.raises(Exception, match="unknown detection"):
+        L.global_ids(table, wrong, "hit_ratio", "seq", "video").collect()
+
+
 def test_long_tied_paths_finish(spark):
     """2000 frames tied in input order: matching takes every other edge, clusters grow over the whole path."""
     from polyview.plans import folds
