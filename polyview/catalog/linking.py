@@ -9,6 +9,7 @@ from polyview.catalog.boxes import IOU
 from polyview.catalog.registry import GREEDY, query
 from polyview.functions import boxes as B
 from polyview.operators import linking as L
+from polyview.plans import folds
 from polyview.session import cut
 
 
@@ -69,14 +70,12 @@ r AS (SELECT video, idx AS i, object_id AS o, idx AS ri, object_id AS ro FROM n
 m AS (SELECT video, i, o, min((ri,ro)) AS root FROM r GROUP BY 1,2,3)
 SELECT video, i AS idx, o AS object_id, root[1] AS root_idx, root[2] AS root_object FROM m""")
 def components(spark, d):
-    from polyview.plans import rounds
-
-    det = X.detections(spark, d).select("image_id", "object_id").join(X.frames(spark, d).select("video", "idx", "image_id"), "image_id")
+    lines = cut(X.placed(spark, d).drop("l_partkey"))  # nodes and both ends of the edges read it
     node = lambda i, o: F.struct("video", i.alias("idx"), o.alias("object_id"))
-    nodes = det.select(node(F.col("idx"), F.col("object_id")).alias("node"))
-    e = X.matches(spark, d).filter("hit_ratio >= 0.8")
-    edges = e.select(node(F.col("ref_idx"), F.col("ref_id")).alias("a"), node(F.col("ref_idx") + 1, F.col("tgt_id")).alias("b"))
-    out = rounds.components(nodes, edges)
+    nodes = lines.select(node(F.col("idx"), F.col("object_id")).alias("node"), "video")
+    e = X.matches(spark, d, lines).filter("hit_ratio >= 0.8")
+    edges = e.select(node(F.col("ref_idx"), F.col("ref_id")).alias("a"), node(F.col("ref_idx") + 1, F.col("tgt_id")).alias("b"), "video")
+    out = folds.connected(nodes, cut(edges), "video")
     return out.select(
         "node.video", "node.idx", "node.object_id", F.col("component.idx").alias("root_idx"), F.col("component.object_id").alias("root_object")
     )

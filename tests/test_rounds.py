@@ -238,6 +238,30 @@ def test_global_ids_scans_packs_of_sequences(spark, monkeypatch, limit):
         L.global_ids(table, wrong, "hit_ratio", "seq", "video").collect()
 
 
+@pytest.mark.parametrize("limit", [None, 30])
+def test_components_of_packs(spark, monkeypatch, limit):
+    from polyview.plans import folds, scan
+
+    monkeypatch.setattr(folds, "PACK", 50)
+    nodes, edges, want = [], [], {}
+    for g in range(8):
+        mine = edges_of(g, 20, g * 3) + [(0, 0, 20 + k, 21 + k) for k in range(g)]
+        nodes += [(100 * g + n, g) for n in range(30)]
+        edges += [(100 * g + b, 100 * g + a, g) for _, _, a, b in mine]
+        low = list(range(30))
+        for _ in low:
+            for _, _, a, b in mine:
+                low[a] = low[b] = min(low[a], low[b])
+        want |= {100 * g + n: 100 * g + c for n, c in enumerate(low)}
+    if limit:
+        spark.conf.set(scan.LIMIT_SETTING, str(limit))
+    try:
+        found = folds.connected(spark.createDataFrame(nodes, "node long, g int"), spark.createDataFrame(edges, "a long, b long, g int"), "g")
+        assert {r["node"]: r["component"] for r in found.collect()} == want
+    finally:
+        spark.conf.unset(scan.LIMIT_SETTING)
+
+
 def test_long_tied_paths_finish(spark):
     """2000 frames tied in input order: matching takes every other edge, clusters grow over the whole path."""
     from polyview.plans import folds
