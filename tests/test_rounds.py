@@ -238,6 +238,17 @@ def test_global_ids_scans_packs_of_sequences(spark, monkeypatch, limit):
         L.global_ids(table, wrong, "hit_ratio", "seq", "video").collect()
 
 
+def test_matches_pair_runs_of_slots(spark):
+    """Lines of long frames meet in runs: every pair of slots at most one apart once, about one copy a line."""
+    from polyview import fixtures
+
+    rows = [(7, idx, 10 + idx, slot - 1, float(slot % 5), 3, slot) for idx, count in ((0, 37), (1, 29), (3, 20)) for slot in range(1, count + 1)]
+    lines = spark.createDataFrame(rows, "video long, idx int, image_id long, object_id int, l_quantity double, digit long, slot long")
+    found = fixtures.matches(spark, "", lines)
+    got = sorted((r["ref_idx"], r["ref_id"], r["tgt_id"]) for r in found.collect())
+    assert got == sorted((0, a, b) for a in range(37) for b in range(29) if abs(a - b) <= 1)
+
+
 @pytest.mark.parametrize("limit", [None, 30])
 def test_components_of_packs(spark, monkeypatch, limit):
     from polyview.plans import folds, scan
