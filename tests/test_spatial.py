@@ -221,6 +221,20 @@ def test_guarded_filter(spark):
     assert same.count() == len(cloud) and report[0]["status"] == "too_few"
 
 
+def test_guarded_filter_meets_no_points_of_full_cells(spark, monkeypatch):
+    from polyview.operators import linking
+    from polyview.operators.cleaning import FilterOptions, guarded_filter
+
+    seen = []
+    real = linking._meeting
+    monkeypatch.setattr(linking, "_meeting", lambda *given: seen.append(1) or real(*given))
+    cloud = np.random.default_rng(3).uniform(0, 0.3, (4000, 3))
+    rows = [(i, *map(float, p), False) for i, p in enumerate(cloud)]
+    df = spark.createDataFrame(rows, "point_id long, x double, y double, z double, protected boolean")
+    kept, report = guarded_filter(df, FilterOptions(eps=0.1, plane_least=4000, least_rows=100))
+    assert report[1] == {"stage": "clusters", "status": "applied", "rows": report[0]["rows"]} and kept.count() == report[0]["rows"] and not seen
+
+
 @pytest.mark.parametrize("bad", [{"neighbours": 0}, {"sigmas": float("nan")}, {"eps": -1.0}, {"least_core": 0}, {"cluster_share": 2.0}, {"plane_reach": 0.0},
                                  {"plane_least": 0}, {"plane_share": -0.1}, {"plane_side": 0.6}, {"keep_share": 0.0}, {"least_rows": 0}])
 def test_filter_options_are_checked(bad):
