@@ -313,15 +313,17 @@ def candidates_over_limit(hits: DataFrame, frame: str, top: int) -> DataFrame:
 
 def candidate_scores(
     hits: DataFrame, refs: DataFrame | None, targets: DataFrame | None, frame: str, least_ratio: float, reach: float,
-    normals: bool = False, top: int = 5,
+    normals: bool = False, top: int | None = None,
 ) -> DataFrame:
-    """Score the ``top`` most-hit boxes of each reference by ratio, distance and coplanarity (see ``candidates_over_limit``).
+    """Score the boxes that each reference hits by ratio, distance and coplanarity.
 
-    Without ``refs`` and ``targets`` the hits carry their geometry in structs ``r`` and ``t`` (see ``sampled_hits``).
+    All of them are scored, unless the caller wants only the ``top`` most-hit ones (see ``candidates_over_limit``).  Without ``refs`` and ``targets`` the hits carry their geometry in structs ``r`` and ``t`` (see ``sampled_hits``).
     """
-    order = [F.col("hits").desc(), F.col("box_id")]
-    rank = F.row_number().over(Window.partitionBy(frame, "ref_id").orderBy(*order))
-    short = hits.withColumn("__r", rank).filter(F.col("__r") <= top).drop("__r").filter(F.col("ratio") >= least_ratio)
+    short = hits
+    if top is not None:
+        rank = F.row_number().over(Window.partitionBy(frame, "ref_id").orderBy(F.col("hits").desc(), "box_id"))
+        short = hits.withColumn("__r", rank).filter(F.col("__r") <= top).drop("__r")
+    short = short.filter(F.col("ratio") >= least_ratio)
     packed = lambda df, key, name: df.select(frame, key, F.struct(*[c for c in df.columns if c not in (frame, key)]).alias(name))
     both = short if refs is None else short.join(packed(refs, "ref_id", "r"), [frame, "ref_id"])
     both = both if targets is None else both.join(packed(targets, "box_id", "t"), [frame, "box_id"])

@@ -203,6 +203,15 @@ def test_coplanar_score(spark):
     assert out[0]["score"] == pytest.approx(0.5 + 0.2 * 0.5 + 0.3 * 0.75)
 
 
+def test_candidate_scores_score_every_box(spark):
+    geo = "struct<cx:double,cy:double,cz:double>"
+    rows = [(0, 1, b, 9 - b % 2, 9, 1.0 - b % 2 / 9, (0.0, 0.0, 0.0), (0.0, 0.0, b / 10)) for b in range(9)]
+    hits = spark.createDataFrame(rows, f"frame int, ref_id int, box_id int, hits long, total long, ratio double, r {geo}, t {geo}")
+    places = lambda **more: {r["box_id"]: r["place"] for r in P.candidate_scores(hits, None, None, "frame", 0.3, 2.0, **more).collect()}
+    assert sorted(places()) == list(range(9)) and sorted(places().values()) == list(range(1, 10))
+    assert sorted(places(top=2)) == [0, 2]
+
+
 def test_guarded_filter(spark):
     from polyview.operators.cleaning import FilterOptions, guarded_filter
 
