@@ -395,6 +395,35 @@ def test_blocks_evaluate_few_pairs_exactly(metric):
     assert len(rows) == 200 * 199 and not (rows == flat).any()
 
 
+@pytest.mark.parametrize(("metric", "kind"), [("l2", "float"), ("dot", "double")])
+def test_blocks_meet_without_shuffling_a_vector_for_each_pair(spark, monkeypatch, metric, kind):
+    from polyview.plans import knn
+
+    monkeypatch.setattr(knn, "PIVOT_ROWS", 20)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(knn, "CHUNK", 5)
+    monkeypatch.setattr(knn, "PART_BYTES", 2_000)
+    real, plans = knn._met, []
+
+    def met(*args):
+        plans.append(real(*args))
+        return plans[-1]
+
+    monkeypatch.setattr(knn, "_met", met)
+    rng = np.random.default_rng(11)
+    vecs = rng.normal(0, 1, (180, 8)).astype("f4").astype(float)
+    vecs[60:80] = vecs[3]  # copies tie
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], f"id long, vec array<{kind}>")
+    cost = np.sqrt(((vecs[:, None] - vecs[None]) ** 2).sum(axis=2)) if metric == "l2" else -(vecs @ vecs.T)
+    np.fill_diagonal(cost, np.inf)
+    want = {(i, r + 1): j for i in range(180) for r, j in enumerate(np.lexsort((np.arange(180), np.round(cost[i], 9)))[:4])}
+    assert {(r["target"], r["rank"]): r["source"] for r in knn.nearest(df, df, 4, metric, True).collect()} == want
+    assert len(plans) == 2
+    for plan in (p._jdf.queryExecution().optimizedPlan().toString() for p in plans):
+        assert "CoGroup" not in plan and "Generate" not in plan and "Expand" not in plan
+    assert all("CartesianProduct" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+
+
 @pytest.mark.parametrize("limit", [20_000, 25])
 def test_radius_pairs_in_blocks_and_parts(spark, monkeypatch, limit):
     """Each point travels about twice, not 27 times, and a crowded block is dealt into parts."""
