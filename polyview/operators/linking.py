@@ -11,7 +11,7 @@ from polyview.functions import boxes as B
 from polyview.plans import folds, rounds
 from polyview.plans.scan import along, number, numbered
 from polyview.plans.octree import box_columns, box_gaps, occupied_pairs
-from polyview.plans.spatial import overlapping
+from polyview.plans.spatial import SLACK, overlapping
 from polyview.plans.stats import with_aggregates
 from polyview.session import cut, cut_counted
 
@@ -324,17 +324,19 @@ def _nearest_by_part(points: DataFrame, reach: float) -> DataFrame:
     """``(a, a_part, b_part, b, dist)``: each point's nearest point of every other part within ``reach``; the lowest id wins ties.
 
     Balls grow by factors of two up to ``reach``; the first ones hold few points.  A part that a ball holds a point of is settled,
-    so what is still open has few points in the next ball, however many lie within ``reach``.
+    so what is still open has few points in the next ball, however many lie within ``reach``.  Joins are sorted ones (``rounds.sorted_side``).
     """
     axes = ["x", "y", "z"]
-    steps = [F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)])).alias("d")]
 
-    def celled(df: DataFrame, size: float) -> DataFrame:
-        return df.withColumns({f"c{c}": F.floor(F.col(c) / size) for c in axes})
+    def celled(df: DataFrame, width: float) -> DataFrame:
+        return df.withColumns({f"c{c}": F.floor(F.col(c) / width) for c in axes})
 
-    def spread(df: DataFrame) -> DataFrame:
+    def spread(df: DataFrame, size: float) -> DataFrame:
+        """A row for each cell, two balls' radii wide, that the ball of a point touches: eight on average."""
         for c in axes:
-            df = df.select("*", *steps).withColumn(f"c{c}", F.col(f"c{c}") + F.col("d")).drop("d")
+            far = size * (1 + SLACK) + F.abs(F.col(c)) * 4e-15  # so that rounding loses no pair
+            ends = [F.floor((F.col(c) + sign * far) / (2 * size * (1 + 2 * SLACK))) for sign in (-1, 1)]
+            df = df.withColumn(f"c{c}", F.explode(F.array_distinct(F.array(F.floor(F.col(c) / (2 * size * (1 + 2 * SLACK))), *ends))))
         return df
 
     cells = [f"c{c}" for c in axes]
@@ -351,15 +353,15 @@ def _nearest_by_part(points: DataFrame, reach: float) -> DataFrame:
     found = None
     for k in range(halvings, -1, -1):
         size = reach / 2**k
-        lying = celled(held, size).withColumnsRenamed({c: f"b_{c}" for c in axes})
+        lying = rounds.sorted_side(celled(held, 2 * size * (1 + 2 * SLACK)).withColumnsRenamed({c: f"b_{c}" for c in axes}))
         if found is None:
-            met = spread(celled(asking, size)).join(lying, cells).filter("a_part <> b_part")
+            met = spread(asking, size).join(lying, cells).filter("a_part <> b_part")
         else:
             known = found.groupBy("a").agg(F.collect_set("b_part").alias("known"))
-            asking = asking.select("a", "a_part", *axes).join(known, "a", "left").withColumn("known", F.array_append(F.coalesce("known", F.array().cast(known.schema["known"].dataType)), F.col("a_part")))
+            asking = asking.select("a", "a_part", *axes).join(rounds.sorted_side(known), "a", "left").withColumn("known", F.array_append(F.coalesce("known", F.array().cast(known.schema["known"].dataType)), F.col("a_part")))
             asking = cut(asking.filter(F.size("known") < parts))
             there = lying.groupBy(*cells).agg(F.collect_set("b_part").alias("there"))
-            near = spread(celled(asking, size)).join(there, cells).withColumn("b_part", F.explode(F.array_except("there", "known"))).drop("there", "known")
+            near = spread(asking, size).join(rounds.sorted_side(there), cells).withColumn("b_part", F.explode(F.array_except("there", "known"))).drop("there", "known")
             met = near.join(lying, [*cells, "b_part"])
         met = met.withColumn("dist", F.sqrt(gap)).filter(F.col("dist") <= size)
         new = met.groupBy("a", "a_part", "b_part").agg(F.min(F.struct("dist", "b")).alias("m")).select("a", "a_part", "b_part", "m.b", "m.dist")
@@ -377,7 +379,7 @@ def reciprocal_pairs(points: DataFrame, reach: float) -> DataFrame:
     folded = cut(placed.groupBy("x", "y", "z", "part").agg(F.min("node").alias("node")))
     nearest = cut(_nearest_by_part(folded, reach))
     mirrored = nearest.select(F.col("b").alias("a"), F.col("b_part").alias("a_part"), F.col("a").alias("b"), F.col("a_part").alias("b_part"))
-    pairs = nearest.join(mirrored, ["a", "a_part", "b", "b_part"], "left_semi").filter("a < b")
+    pairs = nearest.join(rounds.sorted_side(mirrored), ["a", "a_part", "b", "b_part"], "left_semi").filter("a < b")
     return pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "dist")
 
 

@@ -16,6 +16,18 @@ from polyview.plans import chains
 from polyview.session import cut, cut_counted, fresh_folder
 
 
+FEW = 50_000  # edges that may be broadcast
+
+
+def sorted_side(df: DataFrame, many: bool = True) -> DataFrame:
+    """``df`` as a side of a sort-merge join, where there are ``many`` rows on both sides.
+
+    Spark takes the size of a written table for that of its rows in memory.  Tables of few, well packed columns are many times larger
+    there, and a plan that broadcasts several of them at once fills the driver.
+    """
+    return df.hint("merge") if many else df
+
+
 def _added(rows: DataFrame, folder: str) -> DataFrame:
     """Append ``rows`` to the table that collects every round's rows, and read back what was added."""
     now = cut(rows)
@@ -128,18 +140,18 @@ def constrained_clusters(nodes: DataFrame, edges: DataFrame, gate=None) -> DataF
     members = cut(nodes.withColumn("cluster", F.col("node")))
     row = F.struct(*nodes.columns)
 
-    def clash(candidates: DataFrame, members: DataFrame) -> DataFrame:
+    def clash(candidates: DataFrame, members: DataFrame, many: bool) -> DataFrame:
         """Candidates (p) whose two clusters hold the same part."""
         parts = members.select("cluster", "part")
-        left = candidates.join(parts.withColumnRenamed("cluster", "a"), "a").select("p", "b", "part")
-        right = parts.withColumnRenamed("cluster", "b")
+        left = candidates.join(sorted_side(parts.withColumnRenamed("cluster", "a"), many), "a").select("p", "b", "part")
+        right = sorted_side(parts.withColumnRenamed("cluster", "b"), many)
         return left.join(right, ["b", "part"]).select("p").distinct()
 
-    def passed(tried: DataFrame) -> DataFrame:
+    def passed(tried: DataFrame, many: bool) -> DataFrame:
         side = lambda c, n: members.select(F.col("cluster").alias(c), row.alias(n))
-        pairs = tried.join(side("a", "x"), "a").join(side("b", "y"), "b")
+        pairs = tried.join(sorted_side(side("a", "x"), many), "a").join(sorted_side(side("b", "y")), "b")
         bad = pairs.filter(~F.coalesce(gate(pairs), F.lit(False))).select("p").distinct()
-        good = _without(tried, bad)
+        good = _without(tried, bad, many)
         return good.select(F.greatest("a", "b").alias("__old"), F.least("a", "b").alias("__new"))
 
     def once(edges: DataFrame) -> DataFrame:
@@ -147,31 +159,32 @@ def constrained_clusters(nodes: DataFrame, edges: DataFrame, gate=None) -> DataF
         return pairs.agg(F.min("p").alias("p")).select("p", "a", "b")
 
     first = cut(once(edges.select("p", "a", "b")))
-    left, count = cut_counted(_without(first, clash(first, members)))
+    left, count = cut_counted(_without(first, clash(first, members, True)))
     while count:
+        many = count > FEW
         tried = cut(_dominant(left)) if gate is not None else chains.settled(left)
-        moved = passed(tried) if gate is not None else chains.merged(tried, members).select(F.col("old").alias("__old"), F.col("new").alias("__new"))
+        moved = passed(tried, many) if gate is not None else chains.merged(tried, members).select(F.col("old").alias("__old"), F.col("new").alias("__new"))
         moved = cut(moved)
         members = cut(
-            members.join(moved, F.col("cluster") == F.col("__old"), "left")
+            members.join(sorted_side(moved, many), F.col("cluster") == F.col("__old"), "left")
             .withColumn("cluster", F.coalesce("__new", "cluster")).drop("__old", "__new")
         )
-        rest = _without(left, tried.select("p"))
+        rest = _without(left, tried.select("p"), many)
         for end in ("a", "b"):
-            rest = rest.join(moved, F.col(end) == F.col("__old"), "left").withColumn(
+            rest = rest.join(sorted_side(moved, many), F.col(end) == F.col("__old"), "left").withColumn(
                 end, F.coalesce("__new", end)
             ).drop("__old", "__new")
         rest = cut(once(rest))
         grown = moved.select(F.col("__new").alias("__g")).distinct()
-        touched = rest.join(grown, F.col("a") == F.col("__g"), "left_semi").union(
-            rest.join(grown, F.col("b") == F.col("__g"), "left_semi")
+        touched = rest.join(sorted_side(grown, many), F.col("a") == F.col("__g"), "left_semi").union(
+            rest.join(sorted_side(grown, many), F.col("b") == F.col("__g"), "left_semi")
         ).distinct()
-        left, count = cut_counted(_without(rest, clash(touched, members)))
+        left, count = cut_counted(_without(rest, clash(touched, members, many), many))
     return members
 
 
-def _without(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    return edges.join(ids, "p", "left_anti")
+def _without(edges: DataFrame, ids: DataFrame, many: bool = True) -> DataFrame:
+    return edges.join(sorted_side(ids, many), "p", "left_anti")
 
 
 def window_suppress(pairs: DataFrame, width: int) -> DataFrame:

@@ -180,6 +180,29 @@ def test_complete_link(spark):
     assert got == want
 
 
+def test_complete_link_broadcasts_no_table_of_points(spark, monkeypatch):
+    """Written tables are far larger in memory; several of them broadcast at once fill the driver."""
+    monkeypatch.setattr(rounds, "FEW", 0)
+    plans = []
+
+    def watched(real):
+        def cut(df):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return real(df)
+
+        return cut
+
+    for module in (rounds, L):
+        for name in ("cut", "cut_counted"):
+            monkeypatch.setattr(module, name, watched(getattr(module, name)))
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 3, *map(float, rng.uniform(0, 0.3, 3))) for i in range(90)]
+    df = spark.createDataFrame(rows, "node long, part int, x double, y double, z double")
+    gate = lambda pairs: F.sqrt(sum(((F.col(f"x.{c}") - F.col(f"y.{c}")) ** 2 for c in "xyz"), F.lit(0.0))) <= 0.1
+    assert L.complete_link(df, 0.1, gate).count() == 90
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
 def test_unknown_endpoint_is_an_error(spark):
     nodes = spark.createDataFrame([(0, 0, 1)], "node long, part int, video int")
     edges = spark.createDataFrame([(0, 7, 0.5, 1)], "a long, b long, hit_ratio double, seq int")
