@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 from itertools import product
 
 import numpy as np
@@ -17,8 +18,8 @@ from polyview.plans.scan import group_fits
 # Groups up to this size are paired by an equi-join on their key alone.
 PAIR_LIMIT = 2_000
 BLOCK = 4  # radii a block of points is wide
-BLOCK_POINTS = 20_000  # points of a block, or of one of its parts, about
-CANDIDATES = 500_000
+BLOCK_POINTS = 40_000  # points of a block, or of one of its parts, about
+CANDIDATES = 200_000
 SLACK = 1e-6  # blocks and cells reach a little farther than the radius, so that rounding loses no pair
 
 
@@ -89,39 +90,80 @@ def lattice(axes: Sequence[Column], size: float, names: Sequence[str]) -> list[C
     return [F.floor(c / size).alias(n) for c, n in zip(axes, names)]
 
 
-def _near_pairs(xyz: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of points that lie in the same or in adjacent cells of a fine grid, each pair once, about ``CANDIDATES`` at a time."""
-    width = radius * (1 + SLACK) + np.abs(xyz).max() * 4e-15
-    cell = np.floor((xyz - xyz.min(axis=0)) / width).astype(np.int64) + 1
-    wide = cell.max() + 2
-    code = (cell[:, 0] * wide + cell[:, 1]) * wide + cell[:, 2]
-    order = np.argsort(code, kind="stable")
-    code, places = code[order], np.arange(len(order))
-    for step in [t for t in product((-1, 0, 1), repeat=3) if t >= (0, 0, 0)]:
-        there = code + (step[0] * wide + step[1]) * wide + step[2]
-        lo = np.searchsorted(code, there, "left") if any(step) else places + 1
-        count = np.searchsorted(code, there, "right") - lo
+def _near_pairs(a: np.ndarray, b: np.ndarray | None, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in ``a`` and in ``b`` of points at most ``radius`` apart and their distances, from about ``CANDIDATES`` pairs at a time; without ``b`` each pair of ``a`` once.
+
+    Points stand in columns half a radius wide, in the order of their height: a point looks into the columns around it, as high and as deep as the
+    distance of the column leaves.
+    """
+    alone, b = b is None, a if b is None else b
+    if not len(a) or not len(b):
+        return
+    both = np.concatenate([a, b])
+    reach = radius * (1 + SLACK) + np.abs(both).max() * 4e-15
+    width, low = reach / 2, both.min(axis=0)
+    ny = int((both[:, 1].max() - low[1]) / width) + 6
+    span = both[:, 2].max() - low[2] + 4 * reach
+
+    def ordered(xyz: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        cell = np.floor((xyz[:, :2] - low[:2]) / width) + 2
+        key = (cell[:, 0] * ny + cell[:, 1]) * span + (xyz[:, 2] - low[2])
+        order = np.argsort(key, kind="stable")
+        return order, key[order], [np.ascontiguousarray(xyz[order, c]) for c in range(3)]
+
+    a_order, a_key, a_at = ordered(a)
+    b_order, b_key, b_at = (a_order, a_key, a_at) if alone else ordered(b)
+    for step in product(range(-2, 3), repeat=2):
+        rest = reach * reach - sum((max(abs(t) - 1, 0) * width) ** 2 for t in step)
+        if rest < 0 or alone and step < (0, 0):
+            continue
+        there, high = a_key + (step[0] * ny + step[1]) * span, rest**0.5
+        lo = np.searchsorted(b_key, there - high, "left") if any(step) or not alone else np.arange(1, len(a) + 1)
+        count = np.searchsorted(b_key, there + high, "right") - lo
         ends = np.cumsum(count)
         at = 0
-        while at < len(code):
+        while at < len(a):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CANDIDATES, "right")))
             n = count[at:to]
-            one = np.repeat(places[at:to], n)
-            if len(one):
-                yield order[one], order[np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at:to], n)]
+            two = np.arange(n.sum()) + np.repeat(lo[at:to] - (np.cumsum(n) - n), n)
+            square = np.zeros(len(two))
+            for x, y in zip(a_at, b_at, strict=True):
+                gap = y[two]
+                gap -= np.repeat(x[at:to], n)
+                gap *= gap
+                square += gap
+            near = np.flatnonzero(square <= radius * radius * (1 + SLACK))
+            dist = np.sqrt(square[near])
+            near, dist = near[dist <= radius], dist[dist <= radius]
+            if len(near):
+                one = np.repeat(np.arange(at, to), n)[near]
+                yield a_order[one], b_order[two[near]], dist
             at = to
 
 
-def within_radius(points: DataFrame, radius: float, ident: str, carry: Sequence[str] = ()) -> DataFrame:
-    """Every unordered pair of 3-D points at most ``radius`` apart, ``a_id < b_id``.
+def _rounded(values: np.ndarray, digits: int) -> np.ndarray:
+    """Halves away from zero in the shortest decimal form, as Spark's ``round`` does it, for values that are not negative."""
+    scaled = values * 10.0**digits
+    out = np.floor(scaled + 0.5) / 10.0**digits
+    half = np.abs(scaled - np.floor(scaled) - 0.5)
+    odd = np.flatnonzero((half <= np.maximum(scaled, 1) * 1e-15) | (scaled > 2.0**50))
+    step = Decimal(1).scaleb(-digits)
+    out[odd] = [float(Decimal(repr(v)).quantize(step, ROUND_HALF_UP)) if v < 1e20 else v for v in values[odd].tolist()]
+    return out
+
+
+def within_radius(points: DataFrame, radius: float, ident: str, carry: Sequence[str] = (), digits: int | None = None) -> DataFrame:
+    """Every unordered pair of 3-D points at most ``radius`` apart, ``a_id < b_id``, with ``dist``, rounded to ``digits`` if they are given.
+
+    Columns that ``carry`` names come along as ``a_…`` and ``b_…``.
 
     Points are dealt to blocks of ``BLOCK`` radii, and also to those they are within reach of at the upper sides: about two copies each.
     A pair belongs to the block of its lower corner.  A block of more than ``BLOCK_POINTS`` points is dealt into hashed parts, and each pair of parts
-    is a group of its own, so no group holds more than two parts.  Groups find their pairs on a grid as fine as the radius.
+    is a group of its own, so no group holds more than two parts.  Groups find their pairs in columns finer than the radius.
     """
     axes, blocks = ["x", "y", "z"], ["__bx", "__by", "__bz"]
     side = radius * BLOCK
-    base = points.select(F.col(ident).alias("__id"), *[F.col(c).cast("double").alias(c) for c in axes], *carry)
+    base = points.select(F.col(ident).alias("__id"), *[F.col(c).cast("double").alias(c) for c in axes], *[c for c in carry if c not in axes])
     base = base.filter(" AND ".join(f"abs({c}) < double('infinity')" for c in axes))
     dealt = base
     for c, b in zip(axes, blocks, strict=True):
@@ -132,7 +174,7 @@ def within_radius(points: DataFrame, radius: float, ident: str, carry: Sequence[
     part = F.pmod(F.xxhash64("__id"), F.col("__parts")).cast("int")
     dealt = dealt.withColumn("__part", part).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
     dealt = dealt.withColumns({"__p": F.least("__part", "__other"), "__q": F.greatest("__part", "__other")}).drop("__other")
-    kept = [*axes, *carry, "__id"]
+    kept = [*carry, "__id"]
     names = [f"{s}_{'id' if c == '__id' else c}" for s in "ab" for c in kept]
     kinds = [base.schema[c].dataType for c in kept] * 2
     schema = T.StructType([T.StructField(n, k) for n, k in zip([*names, "dist"], [*kinds, T.DoubleType()], strict=True)])
@@ -141,19 +183,26 @@ def within_radius(points: DataFrame, radius: float, ident: str, carry: Sequence[
         group = pa.Table.from_batches(list(batches)).combine_chunks()
         xyz = np.stack([group.column(c).to_numpy() for c in axes], axis=1)
         block = np.array([group.column(b)[0].as_py() for b in blocks])
-        across = group.column("__p")[0].as_py() != group.column("__q")[0].as_py()
-        rank = pc.rank(group.column("__id"), "ascending", tiebreaker="dense").to_numpy()
+        p, q = group.column("__p")[0].as_py(), group.column("__q")[0].as_py()
+        rank = pc.rank(group.column("__id"), "ascending", tiebreaker="dense").to_numpy().astype(np.int64) - 1
+        firsts = np.unique(rank, return_index=True)[1]
+        ids = group.column("__id").combine_chunks().take(pa.array(firsts))
+        numbers = ids.to_numpy() if pa.types.is_integer(ids.type) and not ids.null_count else None
+        named = lambda at: pa.array(numbers[at], ids.type) if numbers is not None else ids.take(pa.array(at))
+        here = (np.floor(xyz / side) == block) @ np.array([1, 2, 4], np.uint8)  # the axes on which a point lies in the block; else it lies above
         own = group.column("__part").to_numpy()
-        rows = group.select(kept).to_batches()[0]
-        for one, two in _near_pairs(xyz, radius):
-            gap = xyz[one] - xyz[two]
-            dist = np.sqrt(gap[:, 0] * gap[:, 0] + gap[:, 1] * gap[:, 1] + gap[:, 2] * gap[:, 2])
-            keep = (dist <= radius) & (rank[one] != rank[two]) & ((own[one] != own[two]) | (not across))
-            one, two, dist = one[keep], two[keep], dist[keep]
-            mine = (np.floor(np.minimum(xyz[one], xyz[two]) / side) == block).all(axis=1)
-            one, two, dist = one[mine], two[mine], dist[mine]
-            first = rank[one] < rank[two]
-            a, b = rows.take(pa.array(np.where(first, one, two))), rows.take(pa.array(np.where(first, two, one)))
-            yield pa.RecordBatch.from_arrays([*a.columns, *b.columns, pa.array(dist)], names=[*names, "dist"])
+        ia, ib = np.flatnonzero(own == p), np.flatnonzero(own == q)
+        rows = group.select(list(carry)).to_batches()[0] if carry else None
+        for one, two, dist in _near_pairs(xyz[ia], None if p == q else xyz[ib], radius):
+            one, two = ia[one], ib[two]
+            mine = ((here[one] | here[two]) == 7) & (rank[one] != rank[two])
+            if not mine.all():
+                one, two, dist = one[mine], two[mine], dist[mine]
+            less, more = rank[one], rank[two]
+            first = less < more
+            less, more = np.minimum(less, more), np.maximum(less, more)
+            taken = [rows.take(pa.array(np.where(first, x, y))).columns for x, y in ((one, two), (two, one))] if carry else [[], []]
+            dist = dist if digits is None else _rounded(dist, digits)
+            yield pa.RecordBatch.from_arrays([*taken[0], named(less), *taken[1], named(more), pa.array(dist)], names=[*names, "dist"])
 
     return dealt.groupBy(*blocks, "__p", "__q").applyInArrow(pairs, schema)

@@ -444,3 +444,18 @@ def test_radius_pairs_in_blocks_and_parts(spark, monkeypatch, limit):
     assert [g[:4] for g in got] == [w[:4] for w in sorted(want)] and np.allclose([g[4] for g in got], [w[4] for w in sorted(want)])
     assert spatial.within_radius(df.limit(0), 0.1, "id").count() == 0
     assert "__d" not in spatial.within_radius(df, 0.1, "id")._jdf.queryExecution().toString()
+
+
+def test_radius_pairs_meet_only_once_and_round_as_spark_does(spark):
+    from polyview.plans import spatial
+
+    rng = np.random.default_rng(12)
+    a = np.concatenate([rng.normal(0, 0.1, (300, 3)), rng.integers(-2, 3, (100, 3)) * 0.05, [[0.0, 0.0, 0.1], [0.0, 0.0, 0.0]]])
+    gaps = np.sqrt(((a[:, None] - a[None]) ** 2).sum(axis=2))
+    listed = lambda found: sorted((int(i), int(j)) for one, two, _ in found for i, j in zip(one, two, strict=True))
+    want = sorted((int(i), int(j)) for i, j in np.argwhere(gaps <= 0.1) if i < j)
+    assert sorted((min(p), max(p)) for p in listed(spatial._near_pairs(a, None, 0.1))) == want
+    assert listed(spatial._near_pairs(a[:150], a[150:], 0.1)) == sorted((i, j - 150) for i, j in want if i < 150 <= j)
+    values = [0.0, 0.0000005, 0.0000015, 0.0123455, 0.0123445, 1.0000005, 2.5, 1 / 3, 123456.7890125, 5e15, *rng.uniform(0, 0.03, 500).round(7).tolist()]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v double")
+    assert [r[0] for r in frame.orderBy("id").select(F.round("v", 6)).collect()] == spatial._rounded(np.array(values), 6).tolist()
